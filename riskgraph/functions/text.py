@@ -78,7 +78,7 @@ def _numeric_entity(part: Column) -> Column:
     deci = F.regexp_extract(part, "^([0-9]{1,7});", 1)
     code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).cast("int")
     ok = code.isNotNull() & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     rest = F.regexp_replace(part, "^[xX]?[0-9a-fA-F]+;", "")
     return F.when(ok, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
 

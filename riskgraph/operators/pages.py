@@ -22,22 +22,23 @@ from ..functions.urls import (
     absolute_url, is_social_url, unwrap_redirect, unwrap_result_link, url_extension, url_host,
     url_path,
 )
-from .ranking import dedup_first
+from .ranking import dedup_first, with_rank
 
 ALL = 2**31 - 1
 
 
 # --- node helpers ---------------------------------------------------------------
+# A lambda variable is evaluated once per element, so a chain of F.transform calls serves
+# as "let": what a later step reads several times is computed in an earlier one.
 def attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
 def has_class(node: Column, *names: str) -> Column:
     """All the classes, as in '.a.b'."""
-    classes = F.concat(F.lit(" "), F.regexp_replace(attr(node, "class"), r"\s+", " "), F.lit(" "))
     out = F.lit(True)
     for name in names:
-        out = out & F.coalesce(classes.contains(f" {name} "), F.lit(False))
+        out = out & node["cls"].contains(f" {name} ")
     return out
 
 
@@ -48,46 +49,73 @@ def any_class(node: Column, *names: str) -> Column:
     return out
 
 
-def inside(outer: Column, inner: Column) -> Column:
-    return (outer["id"] < inner["id"]) & (inner["id"] <= outer["last"])
+def elements(nodes: Column, test) -> Column:
+    return F.filter(nodes["list"], test)
 
 
-def ancestors(nodes: Column, node: Column) -> Column:
-    """Outermost first."""
-    return F.filter(nodes, lambda a: inside(a, node))
+def node_at(nodes: Column, position: Column) -> Column:
+    return F.try_element_at(nodes["list"], position + 1)
+
+
+def parent(nodes: Column, node: Column, up: int = 1) -> Column:
+    return node_at(nodes, F.try_element_at(node["anc"], F.lit(-up)))
 
 
 def descendants(nodes: Column, node: Column, test) -> Column:
-    return F.filter(nodes, lambda d: inside(node, d) & test(d))
+    return F.filter(
+        F.slice(nodes["list"], node["id"] + 2, node["last"] - node["id"]), test)
+
+
+def under(nodes: Column, node: Column, *classes: str) -> Column:
+    """node lies below elements with these classes, outermost first."""
+    wanted = F.array(*[F.lit(f" {c} ") for c in classes])
+    matched = F.aggregate(
+        node["anc"], F.lit(0),
+        lambda n, i: F.when(
+            (n < len(classes))
+            & node_at(nodes, i)["cls"].contains(F.try_element_at(wanted, n + 1)), n + 1,
+        ).otherwise(n))
+    return matched == len(classes)
 
 
 def first(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 
 
-def text_of(nodes: Column, node: Column, sep: str = "") -> Column:
-    texts = F.filter(nodes, lambda t: (t["tag"] == "#text") & inside(node, t))
-    return F.array_join(F.transform(texts, lambda t: t["text"]), sep)
+def text_of(nodes: Column, node: Column) -> Column:
+    """Text pieces of the element put together."""
+    return F.substr(nodes["text"], node["t0"] + 1, node["t1"] - node["t0"])
 
 
-def page_text(nodes: Column | str, sep: str = " ") -> Column:
-    texts = F.filter(col(nodes), lambda t: t["tag"] == "#text")
-    return collapse(F.array_join(F.transform(texts, lambda t: t["text"]), sep))
+def words_of(nodes: Column, node: Column) -> Column:
+    """Text pieces of the element with a blank between them."""
+    return F.substr(nodes["spaced"], node["s0"] + 1, node["s1"] - node["s0"])
 
 
-def _visible(nodes: Column) -> Column:
-    """Node array without the text of scripts and styles."""
-    hidden = F.filter(nodes, lambda n: n["tag"].isin("script", "style"))
-    return F.filter(
-        nodes,
-        lambda n: (n["tag"] != "#text") | ~F.exists(hidden, lambda h: inside(h, n)),
-    )
+def page_text(nodes: Column | str) -> Column:
+    return collapse(col(nodes)["spaced"])
+
+
+def _rows(df: DataFrame, array: Column, carry: list[str] | None = None) -> DataFrame:
+    """One row per array item: the other columns, ``pos`` and the fields of the item.
+
+    The outer form keeps the optimizer from computing the array a second time for an
+    inferred filter.
+    """
+    others = [c for c in df.columns if c != "nodes" and c not in (carry or [])]
+    exploded = df.withColumn("__items", array).select(
+        *others, *(carry or []), F.posexplode_outer("__items").alias("pos", "__r"))
+    return exploded.where(F.col("pos").isNotNull())
+
+
+def _fields(rows: DataFrame, *drop: str) -> DataFrame:
+    keep = [c for c in rows.columns if c != "__r" and c not in drop]
+    return rows.select(*keep, "__r.*")
 
 
 # --- main text --------------------------------------------------------------------
 def _longest_text(nodes: Column, test) -> Column:
-    found = F.filter(nodes, test)
-    texts = F.transform(found, lambda e: collapse(text_of(nodes, e, " ")))
+    texts = F.transform(elements(nodes, test), lambda e: collapse(words_of(nodes, e)))
     return F.aggregate(
         texts,
         F.lit(""),
@@ -95,31 +123,33 @@ def _longest_text(nodes: Column, test) -> Column:
     )
 
 
-def main_text(nodes: DataFrame, cap: int = 2000, with_scripts: bool = True) -> DataFrame:
+def main_text(nodes: DataFrame, cap: int = 2000) -> DataFrame:
     """Longest text of main, article and body; social pages use their own description.
 
     ``nodes`` needs the columns ``url``, ``html`` and ``nodes``.  Pages without text give their HTML.
     """
-    n = F.col("nodes") if with_scripts else _visible(F.col("nodes"))
+    n = F.col("nodes")
     plain = _longest_text(n, lambda e: e["tag"].isin("main", "article", "body"))
-    plain = F.when(plain == "", F.col("html")).otherwise(plain)
-    described = first(F.filter(n, lambda e: (e["tag"] == "meta")
-                               & (attr(e, "property") == "og:description")))
-    og = decode_entities(attr(described, "content"))
-    og = F.when(F.octet_length(og) >= 20, og)
+    described = first(elements(
+        n, lambda e: (e["tag"] == "meta") & (attr(e, "property") == "og:description")))
     story = _longest_text(
         n,
         lambda e: ((e["tag"] == "div") & (has_class(e, "story_body_container")
                                           | attr(e, "data-ft").isNotNull()))
         | (e["tag"] == "article"),
     )
-    story = F.when(story == "", F.col("html")).otherwise(story)
-    story = F.when(F.octet_length(story).between(40, 4999), story)
-    content = F.when(
-        is_social_url("url"), F.coalesce(og, story, F.lit(""))
-    ).otherwise(plain)
+    social = F.col("__social")
+    staged = nodes.withColumn("__social", is_social_url("url")).withColumns({
+        "__plain": F.when(~social, non_empty(plain)),
+        "__og": F.when(social, decode_entities(attr(described, "content"))),
+        "__story": F.when(social, non_empty(story)),
+    }).withColumn("__story", F.coalesce("__story", "html"))
+    og = F.when(F.octet_length("__og") >= 20, F.col("__og"))
+    story = F.when(F.octet_length("__story").between(40, 4999), F.col("__story"))
+    content = F.when(social, F.coalesce(og, story, F.lit(""))).otherwise(
+        F.coalesce("__plain", "html"))
     others = [c for c in nodes.columns if c not in ("nodes", "html")]
-    return nodes.select(*others, truncate(content, cap).alias("content"))
+    return staged.select(*others, truncate(content, cap).alias("content"))
 
 
 # --- search results -----------------------------------------------------------------
@@ -132,103 +162,98 @@ def _is_snippet(n: Column) -> Column:
     )
 
 
-def _heading_results(nodes: Column) -> Column:
+def _heading_rows(nodes: DataFrame) -> DataFrame:
+    """Headings with link and nearest snippet: in the closest ancestor that has one."""
+    n = F.col("nodes")
     snippets = F.filter(
-        F.transform(
-            F.filter(nodes, _is_snippet),
-            lambda s: F.struct(s["id"].alias("id"), strip(text_of(nodes, s)).alias("text")),
-        ),
-        lambda s: s["text"] != "",
-    )
+        F.transform(elements(n, _is_snippet), lambda s: F.struct(
+            s["id"].alias("id"), strip(text_of(n, s)).alias("text"))),
+        lambda s: s["text"] != "")
 
-    def snippet(h: Column) -> Column:
-        per_ancestor = F.transform(
-            F.reverse(ancestors(nodes, h)),
-            lambda a: first(F.filter(snippets, lambda s: inside(a, s)))["text"],
-        )
-        return F.coalesce(first(F.filter(per_ancestor, lambda t: t.isNotNull())), F.lit(""))
-
-    def result(h: Column) -> Column:
-        links = F.filter(
-            ancestors(nodes, h), lambda a: (a["tag"] == "a") & attr(a, "href").isNotNull()
-        )
-        href = attr(F.try_element_at(links, F.lit(-1)), "href")
+    def heading(h: Column) -> Column:
+        around = F.transform(F.reverse(h["anc"]), lambda i: node_at(n, i))
+        links = F.filter(around, lambda a: (a["tag"] == "a") & attr(a, "href").isNotNull())
         return F.struct(
-            strip(text_of(nodes, h)).alias("title"),
-            unwrap_redirect(href).alias("url"),
-            snippet(h).alias("snippet"),
-        )
+            strip(text_of(n, h)).alias("title"), attr(first(links), "href").alias("href"),
+            F.transform(around, lambda a: F.struct(a["id"].alias("a"), a["last"].alias("b"))).alias(
+                "around"))
+
+    staged = nodes.withColumn("__snips", snippets)
+    rows = _rows(
+        staged, F.transform(elements(n, lambda e: e["tag"] == "h3"), heading), ["__snips"])
+    per_ancestor = F.transform(
+        F.col("__r.around"),
+        lambda a: first(F.filter(
+            F.col("__snips"), lambda s: (a["a"] < s["id"]) & (s["id"] <= a["b"])))["text"])
+    nearest = F.array_compact(per_ancestor)
+    keys = [c for c in nodes.columns if c != "nodes"]
+    return rows.select(
+        *keys, "pos", F.col("__r.title").alias("title"),
+        unwrap_redirect("__r.href").alias("url"),
+        F.coalesce(first(nearest), F.lit("")).alias("snippet"),
+    ).where(F.col("url").rlike("^https?://"))
 
-    rows = F.transform(F.filter(nodes, lambda n: n["tag"] == "h3"), result)
-    return F.filter(rows, lambda r: r["url"].rlike("^https?://"))
 
+def _block_rows(nodes: DataFrame) -> DataFrame:
+    n = F.col("nodes")
 
-def _block_results(nodes: Column) -> Column:
-    def result(block: Column) -> Column:
-        link = first(descendants(
-            nodes, block,
-            lambda a: has_class(a, "result__a")
-            | ((a["tag"] == "a") & F.exists(ancestors(nodes, a),
-                                            lambda p: has_class(p, "result__title"))),
-        ))
-        text = first(descendants(nodes, block, lambda s: has_class(s, "result__snippet")))
+    def pick(block: Column) -> Column:
         return F.struct(
-            strip(text_of(nodes, link)).alias("title"),
-            F.coalesce(unwrap_result_link(attr(link, "href")), F.lit("")).alias("url"),
-            F.coalesce(strip(text_of(nodes, text)), F.lit("")).alias("snippet"),
-        )
-
-    blocks = F.slice(F.filter(nodes, lambda n: has_class(n, "result")), 1, V.CANDIDATE_LIMIT)
-    return F.filter(F.transform(blocks, result), lambda r: r["title"].isNotNull())
+            first(descendants(n, block, lambda a: has_class(a, "result__a") | (
+                (a["tag"] == "a") & under(n, a, "result__title")))).alias("link"),
+            first(descendants(n, block, lambda s: has_class(s, "result__snippet"))).alias("text"))
+
+    blocks = F.slice(elements(n, lambda e: has_class(e, "result")), 1, V.CANDIDATE_LIMIT)
+    picked = F.filter(F.transform(blocks, pick), lambda p: p["link"].isNotNull())
+    texts = F.transform(picked, lambda p: F.struct(
+        strip(text_of(n, p["link"])).alias("title"), attr(p["link"], "href").alias("href"),
+        F.coalesce(strip(text_of(n, p["text"])), F.lit("")).alias("snippet")))
+    rows = _rows(nodes, texts)
+    keys = [c for c in nodes.columns if c != "nodes"]
+    return rows.select(
+        *keys, "pos", F.col("__r.title").alias("title"),
+        F.coalesce(unwrap_result_link("__r.href"), F.lit("")).alias("url"),
+        F.col("__r.snippet").alias("snippet"))
 
 
-def search_results(nodes: DataFrame, layout: str = "headings") -> DataFrame:
+def search_results(nodes: DataFrame, layout: str = "headings", keys: list[str] | None = None
+                   ) -> DataFrame:
     """One row per result with its 1-based position, at most 30 per page."""
-    build = {"headings": _heading_results, "blocks": _block_results}[layout]
-    results = F.slice(build(F.col("nodes")), 1, V.CANDIDATE_LIMIT)
-    others = [F.col(c) for c in nodes.columns if c != "nodes"]
-    return (
-        nodes.select(*others, F.posexplode(results).alias("pos0", "r"))
-        .select(*others, (F.col("pos0") + 1).alias("pos"), "r.title", "r.url", "r.snippet")
-    )
+    keys = keys or [c for c in nodes.columns if c != "nodes"]
+    rows = {"headings": _heading_rows, "blocks": _block_rows}[layout](nodes)
+    return with_rank(
+        rows.withColumnRenamed("pos", "__pos"), keys, ["__pos"], "pos", V.CANDIDATE_LIMIT
+    ).drop("__pos")
 
 
 def result_links(nodes: DataFrame, domain: str = V.POST_SITE) -> DataFrame:
     """Links of the first results block, first occurrence of each."""
     n = F.col("nodes")
-    block = first(F.filter(n, lambda e: has_class(e, "pst")))
+    block = F.slice(elements(n, lambda e: has_class(e, "pst")), 1, 1)
 
     def is_link(a: Column) -> Column:
-        parent = F.try_element_at(ancestors(n, a), F.lit(-1))
-        grand = F.try_element_at(ancestors(n, a), F.lit(-2))
         return ((a["tag"] == "a") & attr(a, "href").isNotNull()
-                & has_class(parent, "ct1") & has_class(grand, "ct"))
+                & has_class(parent(n, a), "ct1") & has_class(parent(n, a, 2), "ct"))
 
-    hrefs = F.transform(descendants(n, block, is_link), lambda a: attr(a, "href"))
+    hrefs = F.flatten(F.transform(block, lambda b: F.transform(
+        descendants(n, b, is_link), lambda a: attr(a, "href"))))
     kept = F.array_distinct(F.filter(
         hrefs, lambda h: ~h.contains("qh_ss=") & h.contains(domain + "/")))
-    others = [F.col(c) for c in nodes.columns if c != "nodes"]
-    return nodes.select(*others, F.posexplode(kept).alias("pos", "href"))
+    return _rows(nodes, kept).withColumnRenamed("__r", "href")
 
 
 def slug_links(nodes: DataFrame, domain: str = V.POST_SITE) -> DataFrame:
     """Post slugs linked from a page: not static, not nested, first occurrence of each."""
     n = F.col("nodes")
-    rows = F.transform(
-        F.filter(n, lambda a: (a["tag"] == "a") & attr(a, "href").contains(domain + "/")),
+    links = F.transform(
+        elements(n, lambda a: (a["tag"] == "a") & attr(a, "href").contains(domain + "/")),
         lambda a: F.struct(
-            a["id"].alias("pos"),
             strip(F.regexp_replace(
                 F.split_part(attr(a, "href"), F.lit(domain + "/"), F.lit(2)), "^/+|/+$", "")
             ).alias("slug"),
-            attr(a, "href").alias("href"),
-            strip(text_of(n, a)).alias("title"),
-        ),
-    )
-    others = [F.col(c) for c in nodes.columns if c != "nodes"]
+            attr(a, "href").alias("href"), strip(text_of(n, a)).alias("title")))
     keys = [c for c in nodes.columns if c != "nodes"]
-    flat = nodes.select(*others, F.explode(rows).alias("r")).select(*others, "r.*")
-    kept = flat.where(valid_slug("slug"))
+    kept = _fields(_rows(nodes, F.filter(links, lambda r: valid_slug(r["slug"]))))
     return dedup_first(kept, [*keys, "slug"], ["pos"])
 
 
@@ -251,7 +276,7 @@ def is_detail_url(url, domain: str = V.POST_SITE) -> Column:
 def evidence_images(nodes: Column | str, domain: str = V.POST_SITE) -> Column:
     """Uploaded pictures linked from a gallery, without their query, first of each."""
     n = col(nodes)
-    links = F.filter(
+    links = elements(
         n,
         lambda a: (a["tag"] == "a") & attr(a, "href").startswith("http")
         & (F.coalesce(attr(a, "class").contains("gallery"), F.lit(False))
@@ -273,50 +298,30 @@ def evidence_images(nodes: Column | str, domain: str = V.POST_SITE) -> Column:
 
 
 # --- incident posts -------------------------------------------------------------------
-def _under(nodes: Column, node: Column, *classes: str) -> Column:
-    """node lies under the classes, outermost first."""
-    chain = ancestors(nodes, node)
-
-    def level(i: int, bound: Column) -> Column:
-        if i < 0:
-            return F.lit(True)
-        return F.exists(
-            chain,
-            lambda a: (a["id"] < bound) & has_class(a, classes[i]) & level(i - 1, a["id"]),
-        )
-
-    return level(len(classes) - 1, node["id"])
-
-
 def incident_posts(nodes: DataFrame, fallback_title: str = "title") -> DataFrame:
     """Adds title, content and date of each incident page (``parsed_*`` columns)."""
     n = F.col("nodes")
-    heading = first(F.filter(n, lambda e: e["tag"].isin("h1", "h2")))
-    heading_text = non_empty(strip(text_of(n, heading)))
-    heading_text = F.when(heading_text != V.GENERIC_HEADING, heading_text)
-    dated = first(F.filter(
+    heading = first(elements(n, lambda e: e["tag"].isin("h1", "h2")))
+    dated = first(elements(
         n, lambda e: (e["tag"] == "time") | any_class(e, "entry-date", "meta-date")))
     history = F.filter(
         F.transform(
-            F.filter(n, lambda a: (a["tag"] == "a")
-                     & (_under(n, a, "sclq", "b", "c") | _under(n, a, "sclq2", "b", "c"))),
-            lambda a: strip(text_of(n, a)),
-        ),
-        lambda t: (t != "") & (t != V.MORE_LABEL),
-    )
-    base = nodes.select(
-        "*",
-        page_text(n).alias("__text"),
-        heading_text.alias("__heading"),
-        non_empty(strip(text_of(n, dated))).alias("parsed_date"),
-        F.slice(history, 1, 6).alias("__history"),
-    ).withColumn("__f", incident_fields("__text"))
-    return _assemble_post(base, fallback_title)
+            elements(n, lambda a: (a["tag"] == "a")
+                     & (under(n, a, "sclq", "b", "c") | under(n, a, "sclq2", "b", "c"))),
+            lambda a: strip(text_of(n, a))),
+        lambda t: (t != "") & (t != V.MORE_LABEL))
+    staged = nodes.withColumns({"__h": heading, "__d": dated, "__text": page_text(n)}).select(
+        "*", non_empty(strip(text_of(n, F.col("__h")))).alias("__ht"),
+        non_empty(strip(text_of(n, F.col("__d")))).alias("parsed_date"),
+        F.slice(history, 1, 6).alias("__history"))
+    base = staged.withColumn(
+        "__heading", F.when(F.col("__ht") != V.GENERIC_HEADING, F.col("__ht")))
+    return _assemble_post(base.withColumn("__f", incident_fields("__text")), fallback_title)
 
 
 def _assemble_post(base: DataFrame, fallback_title: str) -> DataFrame:
     f = F.col("__f")
-    warning = non_empty(strip_embedded_noise(f["warning"]))
+    base = base.withColumn("__warning", non_empty(strip_embedded_noise(f["warning"])))
     named = F.when(
         f["owner"].isNotNull() & f["account"].isNotNull(),
         F.concat_ws(" - ", f["owner"], f["account"], f["bank"]),
@@ -326,16 +331,17 @@ def _assemble_post(base: DataFrame, fallback_title: str) -> DataFrame:
         F.concat(F.lit(V.PHONE_LINE), f["phone"]),
         F.concat(F.lit(V.ACCOUNT_LINE), f["account"]),
         F.concat(F.lit(V.BANK_LINE), f["bank"]),
-        F.concat(F.lit(V.WARNING_LINE), warning),
+        F.concat(F.lit(V.WARNING_LINE), F.col("__warning")),
         F.concat(F.lit(V.COUNT_LINE), f["report_count"]),
         F.when(F.size("__history") > 0,
                F.concat(F.lit(V.HISTORY_LINE), F.array_join("__history", "; "))),
     ))
+    base = base.withColumn("__lines", lines)
     rest = strip(F.split_part(F.col("__text"), F.lit(V.BODY_END), F.lit(1)))
     return base.select(
         *[c for c in base.columns if not c.startswith("__")],
         F.coalesce(F.col("__heading"), named, col(fallback_title)).alias("parsed_title"),
-        F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(rest).alias(
+        F.when(F.size("__lines") > 0, F.array_join("__lines", "\n")).otherwise(rest).alias(
             "parsed_content"),
     )
 
@@ -375,34 +381,39 @@ def post_entities(posts: DataFrame) -> DataFrame:
         return F.filter(values, lambda v: v != "")
 
     title, raw_title = F.col("parsed_title"), F.col("title")
-    folded = ascii_lower(title)
     none = F.array().cast("array<string>")
-    labelled = cleaned(_all_matches(title, V.TITLE_LABELLED_PHONE, 1), "phone")
-    labelled_raw = cleaned(_all_matches(raw_title, V.TITLE_LABELLED_PHONE, 1), "phone")
-    line_phones = cleaned(after(V.PHONE_LINE), "phone")
+    folded = F.col("__folded")
+    staged = posts.withColumns({"__lines": lines, "__folded": ascii_lower(title)}).withColumns({
+        "__phones": cleaned(after(V.PHONE_LINE), "phone"),
+        "__labelled": cleaned(_all_matches(title, V.TITLE_LABELLED_PHONE, 1), "phone"),
+        "__raw": cleaned(_all_matches(raw_title, V.TITLE_LABELLED_PHONE, 1), "phone"),
+        "__title_phones": F.when(
+            contains_any(folded, V.PHONE_WORDS), _all_matches(title, "(?U)" + V.TITLE_PHONE, 0)
+        ).otherwise(none),
+        "__accounts": cleaned(after(V.ACCOUNT_LINE), "bank"),
+        "__title_accounts": F.when(
+            contains_any(folded, V.ACCOUNT_WORDS),
+            _all_matches(title, "(?U)" + V.TITLE_ACCOUNT, 0)).otherwise(none),
+        "__count": last(V.COUNT_LINE),
+    })
     phones = (
-        F.when(F.size(line_phones) > 0, line_phones)
-        .when(F.size(labelled) > 0, labelled)
-        .otherwise(F.coalesce(labelled_raw, none))
+        F.when(F.size("__phones") > 0, F.col("__phones"))
+        .when(F.size("__labelled") > 0, F.col("__labelled"))
+        .otherwise(F.coalesce("__raw", none))
     )
-    title_phones = F.when(
-        contains_any(folded, V.PHONE_WORDS), _all_matches(title, "(?U)" + V.TITLE_PHONE, 0)
-    ).otherwise(none)
-    line_accounts = cleaned(after(V.ACCOUNT_LINE), "bank")
-    title_accounts = F.when(
-        contains_any(folded, V.ACCOUNT_WORDS), _all_matches(title, "(?U)" + V.TITLE_ACCOUNT, 0)
-    ).otherwise(none)
-    accounts = F.when(F.size(line_accounts) > 0, line_accounts).otherwise(title_accounts)
-    count = last(V.COUNT_LINE)
-    out = posts.withColumn("__lines", lines).withColumns({
-        "phones": F.array_distinct(F.concat(phones, title_phones)),
+    accounts = F.when(F.size("__accounts") > 0, F.col("__accounts")).otherwise(
+        F.col("__title_accounts"))
+    out = staged.withColumns({
+        "phones": F.array_distinct(F.concat(phones, F.col("__title_phones"))),
         "bank_accounts": F.array_distinct(accounts),
         "owner": last(V.OWNER_LINE),
         "bank": last(V.BANK_LINE),
         "warning": last(V.WARNING_LINE),
-        "report_count": F.when(count.rlike(r"^\+?[0-9]+$"), count.try_cast("int")),
+        "report_count": F.when(
+            F.col("__count").rlike(r"^\+?[0-9]+$"), F.col("__count").try_cast("int")),
         "post_date": F.coalesce(F.col("parsed_date"), F.col("date")),
-    }).drop("__lines")
+    })
+    out = out.select(*[c for c in out.columns if not c.startswith("__")])
     if "image_urls" not in posts.columns:
         out = out.withColumn("image_urls", none)
     return out
@@ -416,21 +427,18 @@ def post_subjects(entities: DataFrame) -> DataFrame:
             lambda v: F.struct(F.lit(kind).alias("subject_type"), v.alias("value")),
         )
 
-    return (
+    rows = (
         entities.withColumn(
             "__all", F.concat(typed("phones", "phone"), typed("bank_accounts", "bank")))
-        .select("*", F.posexplode("__all").alias("subject_pos", "__s"))
-        .withColumn("subject_type", F.col("__s.subject_type"))
-        .withColumn("value", F.col("__s.value"))
-        .withColumn(
-            "mentioned_subjects",
-            F.transform(
-                F.filter("__all", lambda s: s != F.col("__s")),
-                lambda s: F.concat(s["subject_type"], F.lit(":"), s["value"]),
-            ),
-        )
-        .drop("__all", "__s")
+        .select("*", F.posexplode_outer("__all").alias("subject_pos", "__s"))
+        .where(F.col("subject_pos").isNotNull())
     )
+    others = F.transform(
+        F.filter("__all", lambda s: s != F.col("__s")),
+        lambda s: F.concat(s["subject_type"], F.lit(":"), s["value"]))
+    return rows.withColumns({
+        "subject_type": F.col("__s.subject_type"), "value": F.col("__s.value"),
+        "mentioned_subjects": others}).drop("__all", "__s")
 
 
 def split_empty_posts(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -512,97 +520,84 @@ def _label(text: Column) -> Column:
 
 def card_report_count(nodes: Column | str) -> Column:
     n = col(nodes)
-    alert = first(F.filter(n, lambda e: has_class(e, "alert", "alert-danger")))
-    return F.coalesce(digits_to_number(_label(text_of(n, alert, " "))), F.lit(0))
+    alert = F.transform(
+        F.slice(elements(n, lambda e: has_class(e, "alert", "alert-danger")), 1, 1),
+        lambda e: digits_to_number(_label(words_of(n, e))))
+    return F.coalesce(first(alert), F.lit(0))
 
 
 def scam_cards(nodes: DataFrame, base: str = V.CARD_SITE) -> DataFrame:
     """Search cards with their seven columns."""
     n = F.col("nodes")
 
-    def card(c: Column) -> Column:
-        link = first(descendants(
-            n, c, lambda a: (a["tag"] == "a") & has_class(a, "stretched-link")))
-        title = first(descendants(
-            n, c,
-            lambda t: has_class(t, "scam-title")
-            | (has_class(t, "limit") & _under(n, t, "scam-title"))))
-        cells = F.transform(
-            descendants(n, c, lambda x: has_class(x, "scam-column")),
-            lambda x: _label(text_of(n, x, " ")))
-
-        def cell(i: int) -> Column:
-            return F.coalesce(F.try_element_at(cells, F.lit(i + 1)), F.lit(""))
-
+    def pick(c: Column) -> Column:
         return F.struct(
-            F.coalesce(_label(text_of(n, title, " ")), F.lit("")).alias("title"),
-            absolute_url(base, attr(link, "href")).alias("url"),
-            cell(1).alias("amount"), cell(2).alias("phone"), cell(3).alias("account_number"),
-            cell(4).alias("bank"), cell(5).alias("views"), cell(6).alias("date"),
-        )
+            first(descendants(n, c, lambda a: (a["tag"] == "a") & has_class(
+                a, "stretched-link"))).alias("link"),
+            first(descendants(n, c, lambda t: has_class(t, "scam-title") | (
+                has_class(t, "limit") & under(n, t, "scam-title")))).alias("title"),
+            F.transform(descendants(n, c, lambda x: has_class(x, "scam-column")),
+                        lambda x: _label(words_of(n, x))).alias("cells"))
+
+    def texts(p: Column) -> Column:
+        return F.struct(
+            F.coalesce(_label(words_of(n, p["title"])), F.lit("")).alias("title"),
+            attr(p["link"], "href").alias("href"), p["cells"].alias("cells"))
 
-    cards = F.filter(
-        F.transform(F.filter(n, lambda e: has_class(e, "scam-card")), card),
-        lambda c: c["url"].isNotNull())
-    others = [F.col(c) for c in nodes.columns if c != "nodes"]
-    return nodes.select(*others, F.posexplode(cards).alias("pos", "c")).select(
-        *others, "pos", "c.*")
+    cards = F.transform(F.transform(elements(n, lambda e: has_class(e, "scam-card")), pick), texts)
+    rows = _fields(_rows(nodes, F.filter(cards, lambda c: c["href"].isNotNull())))
+    named = rows.withColumn("url", absolute_url(base, "href")).where(F.col("url").isNotNull())
+    names = ["amount", "phone", "account_number", "bank", "views", "date"]
+    return named.withColumns({
+        name: F.coalesce(F.try_element_at("cells", F.lit(i + 2)), F.lit(""))
+        for i, name in enumerate(names)}).drop("cells", "href")
 
 
 def scam_details(nodes: DataFrame, base: str = V.CARD_SITE) -> DataFrame:
     """Detail pages by the icon of each item; pages without owner, account and complaint go."""
     n = F.col("nodes")
-    items = F.transform(
-        F.filter(n, lambda e: has_class(e, "information-item")),
+    picked = F.transform(
+        elements(n, lambda e: has_class(e, "information-item")),
         lambda i: F.struct(
-            F.coalesce(_label(text_of(n, first(descendants(
-                n, i, lambda v: has_class(v, "information-item_value"))), " ")), F.lit("")
-            ).alias("value"),
-            F.coalesce(attr(first(descendants(
-                n, i, lambda g: (g["tag"] == "img") & _under(n, g, "information-item_title"))),
-                "src"), F.lit("")).alias("icon"),
-        ),
-    )
-
-    # an item counts for the first icon it matches; the last item of an icon wins
-    icons = ["user", "credit", "bank", "price", "list", "content"]
+            first(descendants(n, i, lambda v: has_class(v, "information-item_value"))).alias("v"),
+            first(descendants(n, i, lambda g: (g["tag"] == "img") & under(
+                n, g, "information-item_title"))).alias("g")))
+    items = F.transform(picked, lambda p: F.struct(
+        F.coalesce(_label(words_of(n, p["v"])), F.lit("")).alias("value"),
+        F.regexp_extract(F.coalesce(attr(p["g"], "src"), F.lit("")),
+                         "/(user|credit|bank|price|list|content)[.]png", 1).alias("icon")))
 
     def by_icon(name: str) -> Column:
-        def test(i: Column) -> Column:
-            out = i["icon"].contains(f"/{name}.png")
-            for earlier in icons[: icons.index(name)]:
-                out = out & ~i["icon"].contains(f"/{earlier}.png")
-            return out
-
-        hit = F.try_element_at(F.filter(F.col("__items"), test), F.lit(-1))
+        # the last item of an icon wins
+        hit = F.try_element_at(
+            F.filter(F.col("__items"), lambda i: i["icon"] == name), F.lit(-1))
         return F.coalesce(hit["value"], F.lit(""))
 
+    def one(test, value) -> Column:
+        return first(F.transform(F.slice(elements(n, test), 1, 1), value))
+
     def votes(name: str) -> Column:
-        hit = first(F.filter(n, lambda e: has_class(e, name)))
-        return F.coalesce(digits_to_number(_label(text_of(n, hit, " "))), F.lit(0))
+        found = one(lambda e: has_class(e, name),
+                    lambda e: digits_to_number(_label(words_of(n, e))))
+        return F.coalesce(found, F.lit(0))
 
-    title = first(F.filter(n, lambda e: e["tag"] == "title"))
-    meta = first(F.filter(
-        n, lambda e: (e["tag"] == "meta") & (attr(e, "property") == "article:published_time")))
-    proofs = F.filter(
-        F.transform(
-            F.filter(n, lambda a: (a["tag"] == "a") & (attr(a, "data-fancybox") == "scammer-images")),
-            lambda a: absolute_url(base, attr(a, "href"))),
-        lambda u: u.isNotNull())
+    proofs = F.transform(
+        elements(n, lambda a: (a["tag"] == "a") & (attr(a, "data-fancybox") == "scammer-images")),
+        lambda a: absolute_url(base, attr(a, "href")))
     out = nodes.withColumn("__items", items).select(
         *[c for c in nodes.columns if c != "nodes"],
-        F.coalesce(_label(text_of(n, title, " ")), F.lit("admin.vn")).alias("title"),
+        F.coalesce(one(lambda e: e["tag"] == "title", lambda e: _label(words_of(n, e))),
+                   F.lit("admin.vn")).alias("title"),
         by_icon("user").alias("owner_name"), by_icon("credit").alias("account_number"),
         by_icon("bank").alias("bank"), by_icon("price").alias("amount"),
         by_icon("list").alias("category"), by_icon("content").alias("complaint"),
-        proofs.alias("evidence_urls"),
+        F.array_compact(proofs).alias("evidence_urls"),
         votes("information-item_vote__approved").alias("approved_votes"),
         votes("information-item_vote__disapprove").alias("disapproved_votes"),
-        attr(meta, "content").alias("published_at"),
-    )
-    kept = out.where(
-        (F.col("owner_name") != "") | (F.col("account_number") != "") | (F.col("complaint") != ""))
-    return kept.withColumn("content", F.format_string(
+        one(lambda e: (e["tag"] == "meta") & (attr(e, "property") == "article:published_time"),
+            lambda e: attr(e, "content")).alias("published_at"))
+    filled = F.concat("owner_name", "account_number", "complaint") != ""
+    return out.where(filled).withColumn("content", F.format_string(
         "Chu TK: %s; STK: %s; Ngan hang: %s; So tien: %s; Hang muc: %s; Noi dung: %s; "
         "Bang chung: %d; Tan thanh: %d; Khong tan thanh: %d",
         "owner_name", "account_number", "bank", "amount", "category", "complaint",
@@ -614,42 +609,45 @@ def blacklist_records(nodes: DataFrame, base: str = V.LISTING_URL) -> DataFrame:
     """Records of listing pages; needs ``fake_type`` and ``listing_page`` next to ``nodes``."""
     n = F.col("nodes")
 
-    def record(item: Column) -> Column:
-        url = first(descendants(
-            n, item, lambda e: has_class(e, "webkit-box-2") & _under(n, e, "meta")))
-        date = first(descendants(n, item, lambda e: has_class(e, "date")))
-        status = first(descendants(
-            n, item,
-            lambda e: (e["tag"] == "div")
-            & has_class(F.try_element_at(ancestors(n, e), F.lit(-1)), "status")))
-        org = first(descendants(
-            n, item, lambda e: (e["tag"] == "a") & (_under(n, e, "org") | _under(n, e, "code"))))
-        logo = first(descendants(n, item, lambda e: (e["tag"] == "img") & _under(n, e, "org")))
-        date_text = collapse(text_of(n, date))
-        return F.struct(
-            collapse(text_of(n, url)).alias("fake_url"),
-            F.when(date_text.startswith(V.DETECTED_PREFIX),
-                   F.substring(date_text, len(V.DETECTED_PREFIX) + 1, ALL)).alias("detected_at"),
-            F.coalesce(collapse(text_of(n, status)), F.lit("")).alias("status_text"),
-            attr(status, "class").alias("status_class"),
-            normalize_org(collapse(text_of(n, org))).alias("org_name"),
-            absolute_url(base, attr(org, "href")).alias("org_detail_url"),
-            absolute_url(base, attr(logo, "src")).alias("org_logo_url"),
-        )
+    def pick(item: Column) -> Column:
+        def one(test) -> Column:
+            return first(descendants(n, item, test))
 
-    items = F.filter(n, lambda e: (e["tag"] == "li") & has_class(e, "item1"))
-    records = F.filter(F.transform(items, record), lambda r: r["fake_url"] != "")
-    others = [F.col(c) for c in nodes.columns if c != "nodes"]
-    return nodes.select(*others, F.posexplode(records).alias("pos", "r")).select(
-        *others, "pos", "r.*")
+        return F.struct(
+            one(lambda e: has_class(e, "webkit-box-2") & under(n, e, "meta")).alias("url"),
+            one(lambda e: has_class(e, "date")).alias("date"),
+            one(lambda e: (e["tag"] == "div") & has_class(parent(n, e), "status")).alias("status"),
+            one(lambda e: (e["tag"] == "a") & (under(n, e, "org") | under(n, e, "code"))).alias(
+                "org"),
+            one(lambda e: (e["tag"] == "img") & under(n, e, "org")).alias("logo"))
+
+    def texts(p: Column) -> Column:
+        return F.struct(
+            collapse(text_of(n, p["url"])).alias("fake_url"),
+            collapse(text_of(n, p["date"])).alias("date_text"),
+            F.coalesce(collapse(text_of(n, p["status"])), F.lit("")).alias("status_text"),
+            attr(p["status"], "class").alias("status_class"),
+            collapse(text_of(n, p["org"])).alias("org_text"),
+            attr(p["org"], "href").alias("org_href"), attr(p["logo"], "src").alias("logo_src"))
+
+    items = elements(n, lambda e: (e["tag"] == "li") & has_class(e, "item1"))
+    rows = _fields(_rows(nodes, F.filter(
+        F.transform(F.transform(items, pick), texts), lambda r: r["fake_url"] != "")))
+    return rows.withColumns({
+        "detected_at": F.when(
+            F.col("date_text").startswith(V.DETECTED_PREFIX),
+            F.substring("date_text", len(V.DETECTED_PREFIX) + 1, ALL)),
+        "org_name": normalize_org("org_text"),
+        "org_detail_url": absolute_url(base, "org_href"),
+        "org_logo_url": absolute_url(base, "logo_src"),
+    }).drop("date_text", "org_text", "org_href", "logo_src")
 
 
 def listing_last_page(nodes: Column | str) -> Column:
     """Largest numeric page link of a listing, NULL without any."""
     n = col(nodes)
-    links = F.filter(
-        n, lambda e: e["tag"].isin("a", "span") & has_class(e, "page-link")
-        & _under(n, e, "pagination"))
+    links = elements(n, lambda e: e["tag"].isin("a", "span") & has_class(e, "page-link")
+                     & under(n, e, "pagination"))
     return F.array_max(F.transform(links, lambda e: collapse(text_of(n, e)).try_cast("int")))
 
 
@@ -657,29 +655,26 @@ def list_items(nodes: DataFrame, cap: int = 10, min_bytes: int = 3) -> DataFrame
     """Text and link of the first ``cap`` list-like elements longer than ``min_bytes``."""
     n = F.col("nodes")
     items = F.slice(
-        F.filter(n, lambda e: e["tag"].isin("li", "a", "tr") | has_class(e, "result-item")), 1, cap)
-    rows = F.filter(
-        F.transform(items, lambda e: F.struct(
-            strip(text_of(n, e)).alias("content"),
-            F.coalesce(attr(e, "href"), F.lit("")).alias("url"))),
-        lambda r: F.octet_length(r["content"]) > min_bytes)
-    others = [F.col(c) for c in nodes.columns if c != "nodes"]
-    return nodes.select(*others, F.posexplode(rows).alias("pos", "r")).select(
-        *others, "pos", "r.content", "r.url")
+        elements(n, lambda e: e["tag"].isin("li", "a", "tr") | has_class(e, "result-item")), 1, cap)
+    texts = F.transform(items, lambda e: F.struct(
+        strip(text_of(n, e)).alias("content"),
+        F.coalesce(attr(e, "href"), F.lit("")).alias("url")))
+    return _fields(_rows(
+        nodes, F.filter(texts, lambda r: F.octet_length(r["content"]) > min_bytes)))
 
 
 def comment_items(nodes: DataFrame, cap: int = 5, min_bytes: int = 10) -> DataFrame:
     """First comments of a page longer than ``min_bytes``, with the carrier it names."""
     n = F.col("nodes")
-    marked = F.filter(
-        n, lambda e: F.coalesce(attr(e, "class").rlike("comment|review|feedback"), F.lit(False)))
+    marked = elements(n, lambda e: e["cls"].rlike("comment|review|feedback"))
     texts = F.filter(
         F.transform(marked, lambda e: strip(text_of(n, e))),
         lambda t: F.octet_length(t) > min_bytes)
-    main = first(F.filter(n, lambda e: e["tag"].isin("main", "article", "body")))
+    main = F.transform(
+        F.slice(elements(n, lambda e: e["tag"].isin("main", "article", "body")), 1, 1),
+        lambda e: carrier(words_of(n, e)))
     return nodes.select(
-        *[c for c in nodes.columns if c != "nodes"],
-        carrier(F.coalesce(text_of(n, main, " "), F.lit(""))).alias("carrier"),
+        *[c for c in nodes.columns if c != "nodes"], first(main).alias("carrier"),
         F.slice(texts, 1, cap).alias("comments"))
 
 

@@ -26,3 +26,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the reliable checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPREAD_BYTES = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small input over all cores before per-row work.
+
+    A large table already comes in enough splits and is left alone: the extra shuffle happens
+    only below 32 MB of estimated input per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.base import lookup
 from ..functions.risk import level_to_score, quality_score, score_to_level
 from ..functions.subjects import sha256_hex, subject_id
+from ..session import spread
 
 AS_OF = datetime(2024, 1, 20)
 
@@ -228,7 +229,7 @@ def pages(spark, sf_dir) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def page_titles(spark, sf_dir) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Pages -> node arrays.
+"""Pages -> element arrays.
 
-One narrow pass turns the HTML of a page into one array of nodes in document order.
-Everything that reads pages afterwards is a Column expression on that array
-(``operators/pages.py``): no Python, no shuffle.  A row is as large as its page, so
-the work splits by page whatever the distribution of hosts or sources is.
+One narrow pass turns the HTML of a page into ``nodes``: the elements in document order and the
+page text.  Everything that reads pages afterwards is a Column expression on that struct
+(``operators/pages.py``): no Python, no shuffle.  A row is as large as its page, so the work
+splits by page whatever the distribution of hosts or sources is.
 
-A node: ``id`` (pre-order), ``last`` (id of its last descendant), ``tag`` ('#text' for
-text), ``attrs`` and ``text``.  ``a`` is an ancestor of ``b`` iff a.id < b.id <= a.last.
+``nodes.list`` holds the elements: ``id`` is the position, ``last`` the position of the last
+element inside, ``anc`` the positions of the ancestors (outermost first), ``cls`` the classes
+between blanks.  ``nodes.text`` is the concatenated text, ``nodes.spaced`` the same with a blank
+between text pieces; ``t0..t1`` and ``s0..s1`` are the element's share of them.
 """
 
 from __future__ import annotations
@@ -19,14 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 NODE = T.StructType([
     T.StructField("id", T.IntegerType()),
     T.StructField("last", T.IntegerType()),
+    T.StructField("anc", T.ArrayType(T.IntegerType())),
     T.StructField("tag", T.StringType()),
+    T.StructField("cls", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("t0", T.IntegerType()), T.StructField("t1", T.IntegerType()),
+    T.StructField("s0", T.IntegerType()), T.StructField("s1", T.IntegerType()),
+])
+NODES = T.StructType([
+    T.StructField("list", T.ArrayType(NODE)),
     T.StructField("text", T.StringType()),
+    T.StructField("spaced", T.StringType()),
 ])
 
+# as in browsers, elements nested deeper than this become siblings; no text is lost
+_MAX_DEPTH = 512
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -48,34 +62,45 @@ _SIBLINGS = {
 
 
 class _Nodes(HTMLParser):
-    """Collects (tag, attrs, text, last) lists; html, head and body always exist."""
+    """Collects the elements of one page; html, head and body always exist."""
 
-    def __init__(self) -> None:
+    def __init__(self, with_scripts: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.with_scripts = with_scripts
         self.tags: list[str] = []
         self.attrs: list[list[tuple[str, str]]] = []
-        self.texts: list[str | None] = []
+        self.anc: list[list[int]] = []
         self.last: list[int] = []
+        self.spans: list[list[int]] = []
+        self.pieces: list[str] = []
+        self.length = 0
+        self.spaced = 0
         self.open: list[int] = []
         self.merge = False
         self.body = False
         self._push("html", [])
         self._push("head", [])
 
-    def _add(self, tag: str, attrs: list, text: str | None) -> int:
+    def _add(self, tag: str, attrs: list) -> int:
+        node = len(self.tags)
         self.tags.append(tag)
         self.attrs.append(attrs)
-        self.texts.append(text)
-        self.last.append(len(self.tags) - 1)
-        return len(self.tags) - 1
+        self.anc.append(list(self.open))
+        self.last.append(node)
+        self.spans.append([self.length, self.length, self.spaced, self.spaced])
+        return node
 
     def _push(self, tag: str, attrs: list) -> None:
-        self.open.append(self._add(tag, attrs, None))
+        if len(self.open) >= _MAX_DEPTH:
+            self._pop_to(_MAX_DEPTH - 1)
+        self.open.append(self._add(tag, attrs))
 
     def _pop_to(self, depth: int) -> None:
         end = len(self.tags) - 1
         for node in self.open[depth:]:
             self.last[node] = end
+            self.spans[node][1] = self.length
+            self.spans[node][3] = self.spaced
         del self.open[depth:]
 
     def _need_body(self, attrs: list | None = None) -> None:
@@ -112,7 +137,7 @@ class _Nodes(HTMLParser):
         if tag in _SIBLINGS:
             self._close(*_SIBLINGS[tag])
         if tag in _VOID:
-            self._add(tag, pairs, None)
+            self._add(tag, pairs)
         else:
             self._push(tag, pairs)
 
@@ -136,11 +161,16 @@ class _Nodes(HTMLParser):
             if not data.strip():
                 return
             self._need_body()
+        if not self.with_scripts and self.tags[self.open[-1]] in ("script", "style"):
+            return
         if self.merge:
-            self.texts[-1] += data
+            self.pieces[-1] += data
         else:
-            self._add("#text", [], data)
+            self.spaced += 1 if self.pieces else 0
+            self.pieces.append(data)
             self.merge = True
+        self.length += len(data)
+        self.spaced += len(data)
 
     def handle_comment(self, data):
         self.merge = False
@@ -151,58 +181,68 @@ class _Nodes(HTMLParser):
         self._pop_to(0)
 
 
-def _parse(html: str) -> _Nodes:
-    page = _Nodes()
+def _parse(html: str, with_scripts: bool) -> _Nodes:
+    page = _Nodes(with_scripts)
     page.feed(html)
     page.finish()
     return page
 
 
-def _node_arrays(pages: Iterable[str | None]) -> pa.ListArray:
-    offsets, ids, last, tags, texts = [0], [], [], [], []
-    attr_offsets, keys, values = [0], [], []
-    for html in pages:
-        page = _parse(html or "")
+def _ints(values: Iterable[int]) -> pa.Array:
+    return pa.array(values, pa.int32())
+
+
+def _node_arrays(pages: Iterable[str | None], with_scripts: bool) -> pa.StructArray:
+    parsed = [_parse(html or "", with_scripts) for html in pages]
+    offsets, attr_offsets, anc_offsets = [0], [0], [0]
+    ids, last, anc, tags, classes, keys, values, spans = [], [], [], [], [], [], [], []
+    for page in parsed:
         ids.extend(range(len(page.tags)))
         last.extend(page.last)
         tags.extend(page.tags)
-        texts.extend(page.texts)
+        spans.extend(page.spans)
+        for chain in page.anc:
+            anc.extend(chain)
+            anc_offsets.append(len(anc))
         for pairs in page.attrs:
+            cls = ""
             for key, value in pairs:
                 keys.append(key)
                 values.append(value)
+                if key == "class":
+                    cls = f" {' '.join(value.split())} "
+            classes.append(cls)
             attr_offsets.append(len(keys))
         offsets.append(len(ids))
     attrs = pa.MapArray.from_arrays(
-        pa.array(attr_offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())
-    )
-    nodes = pa.StructArray.from_arrays(
-        [
-            pa.array(ids, pa.int32()), pa.array(last, pa.int32()), pa.array(tags, pa.string()),
-            attrs, pa.array(texts, pa.string()),
-        ],
-        names=["id", "last", "tag", "attrs", "text"],
-    )
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
+        _ints(attr_offsets), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    elements = pa.StructArray.from_arrays(
+        [_ints(ids), _ints(last), pa.ListArray.from_arrays(_ints(anc_offsets), _ints(anc)),
+         pa.array(tags, pa.string()), pa.array(classes, pa.string()), attrs,
+         *[_ints([span[i] for span in spans]) for i in range(4)]],
+        names=NODE.fieldNames())
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(_ints(offsets), elements),
+         pa.array(["".join(p.pieces) for p in parsed], pa.string()),
+         pa.array([" ".join(p.pieces) for p in parsed], pa.string())],
+        names=NODES.fieldNames())
 
 
 def page_nodes(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
-               keep_html: bool = False) -> DataFrame:
+               keep_html: bool = False, with_scripts: bool = True) -> DataFrame:
     """``keep`` columns plus ``nodes``; the HTML itself travels back only on request."""
     keep = list(keep if keep is not None else [c for c in pages.columns if c != html])
     if keep_html and html not in keep:
         keep.append(html)
-    wanted = pages.select(*keep, F.col(html).alias("__html"))
-    schema = T.StructType(
-        [pages.schema[c] for c in keep] + [T.StructField("nodes", T.ArrayType(NODE))]
-    )
+    wanted = spread(pages.select(*keep, F.col(html).alias("__html")))
+    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("nodes", NODES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # small slices keep the node arrays of a batch well below Arrow's 2 GB offsets
+            # small slices keep the arrays of a batch well below Arrow's 2 GB offsets
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                nodes = _node_arrays(part.column("__html").to_pylist())
+                nodes = _node_arrays(part.column("__html").to_pylist(), with_scripts)
                 columns = [part.column(c) for c in keep] + [nodes]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "nodes"])
 

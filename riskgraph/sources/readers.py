@@ -24,7 +24,7 @@ def read_posts(spark: SparkSession, path: str, max_posts: int | None = None,
 
 def flat_posts(posts: DataFrame, max_posts: int | None = None, url: str | None = None) -> DataFrame:
     from ..functions.base import strip
-    from ..operators.pages import first, text_of
+    from ..operators.pages import elements, first, text_of
 
     flat = posts.select(
         "id", "link", F.col("title.rendered").alias("title"),
@@ -32,7 +32,7 @@ def flat_posts(posts: DataFrame, max_posts: int | None = None, url: str | None =
     if url is not None:
         one = page_nodes(flat.where(F.col("link") == url), keep_html=True)
         n = F.col("nodes")
-        name = strip(text_of(n, first(F.filter(n, lambda e: e["tag"] == "title"))))
+        name = strip(text_of(n, first(elements(n, lambda e: e["tag"] == "title"))))
         return one.withColumn("title", F.coalesce(name, F.col("title"))).select(
             "id", "link", "title", "html", "date")
     return flat if max_posts is None else flat.orderBy("date", "id").limit(max_posts)
