@@ -91,7 +91,7 @@ def decode_entities(c) -> Column:
     parts = F.split(t, "&#")
     decoded = F.concat(
         F.element_at(parts, 1),
-        F.array_join(F.transform(F.slice(parts, 2, 2**31 - 1), _numeric_entity), ""),
+        F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _numeric_entity), ""),
     )
     return F.when(F.instr(t, "&#") > 0, decoded).otherwise(t)
 

@@ -218,7 +218,11 @@ def _block_rows(nodes: DataFrame) -> DataFrame:
 
 def search_results(nodes: DataFrame, layout: str = "headings", keys: list[str] | None = None
                    ) -> DataFrame:
-    """One row per result with its 1-based position, at most 30 per page."""
+    """One row per result with its 1-based position, at most 30 per page.
+
+    The page's own url, title or snippet column is kept as ``page_url`` and so on.
+    """
+    nodes = nodes.withColumnsRenamed({c: f"page_{c}" for c in ("url", "title", "snippet", "pos")})
     keys = keys or [c for c in nodes.columns if c != "nodes"]
     rows = {"headings": _heading_rows, "blocks": _block_rows}[layout](nodes)
     return with_rank(

@@ -8,8 +8,11 @@ half-way leaves the previous version in force.  Readers and writer share one fil
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import TABLES
+
 PARTITIONS = {"evidence": ["source"]}
 
 
@@ -35,8 +38,10 @@ def versions(spark: SparkSession, base: str, table: str) -> list[int]:
 
 def write_snapshot(df: DataFrame, base: str, table: str,
                    partition_by: list[str] | None = None) -> str:
-    """Write the next version of a table and return its path."""
+    """Write the next version of a table and return its path; known tables get their schema."""
     spark = df.sparkSession
+    if table in TABLES:
+        df = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table].fields])
     existing = versions(spark, base, table)
     path = f"{base}/{table}/v{(existing[-1] + 1) if existing else 1:06d}"
     writer = df.write.mode("overwrite")
@@ -55,12 +60,11 @@ def read_snapshot(spark: SparkSession, base: str, table: str, schema: T.StructTy
         if schema is None:
             raise FileNotFoundError(f"no version of {table} under {base}")
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{base}/{table}/v{existing[-1]:06d}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{base}/{table}/v{existing[-1]:06d}")
 
 
 def read_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    from ..schemas import TABLES
-
     return {name: read_snapshot(spark, base, name, schema) for name, schema in TABLES.items()}
 
 
