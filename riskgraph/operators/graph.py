@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.subjects import classify_value, normalize_subject, parse_mention, subject_id
+from ..session import cut_lineage
 from .ranking import top_n
 
 LINK_KEY = ["subject_a_id", "subject_b_id", "link_type"]
@@ -112,12 +113,12 @@ def upsert_links(links: DataFrame, link_evidence: DataFrame, pairs: DataFrame, s
     A new link counts its distinct evidence (at least 1); a known link grows by the evidence
     it did not have.  Repeating the same changes changes nothing but last_seen_at.
     """
-    fresh = (
-        pairs.where(F.col("evidence_id").isNotNull()).select(*LINK_KEY, "evidence_id").distinct()
-        .join(link_evidence, [*LINK_KEY, "evidence_id"], "left_anti")
-    )
-    added = pairs.select(*LINK_KEY).distinct().join(
-        fresh.groupBy(*LINK_KEY).agg(F.count(F.lit(1)).alias("__n")), LINK_KEY, "left")
+    known = link_evidence.select(*LINK_KEY, "evidence_id", F.lit(True).alias("__k"))
+    marked = pairs.select(*LINK_KEY, "evidence_id").distinct().join(
+        known, [*LINK_KEY, "evidence_id"], "left"
+    ).withColumn("__new", F.col("evidence_id").isNotNull() & F.col("__k").isNull())
+    fresh = marked.where("__new").select(*LINK_KEY, "evidence_id")
+    added = marked.groupBy(*LINK_KEY).agg(F.sum(F.col("__new").cast("int")).alias("__n"))
     old = links.withColumnRenamed("strength", "__s")
     grown = F.coalesce(F.col("__n"), F.lit(0))
     merged = old.join(added.withColumn("__hit", F.lit(True)), LINK_KEY, "full_outer").select(
@@ -134,19 +135,16 @@ def upsert_links(links: DataFrame, link_evidence: DataFrame, pairs: DataFrame, s
 def symmetrise(links: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Each link in both directions, so that a neighbour lookup is an equi-join."""
     keep = keep or []
-    there = links.select(
-        F.col("subject_a_id").alias("src"), F.col("subject_b_id").alias("dst"), *keep)
-    back = links.select(
-        F.col("subject_b_id").alias("src"), F.col("subject_a_id").alias("dst"), *keep)
-    return there.unionByName(back)
+    a, b = F.col("subject_a_id"), F.col("subject_b_id")
+    ends = F.array(
+        F.struct(a.alias("src"), b.alias("dst")), F.struct(b.alias("src"), a.alias("dst")))
+    return links.select(F.inline(ends), *keep)
 
 
 def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root_id, id) one hop further, each node once per root."""
-    return (
-        frontier.join(edges, frontier["id"] == edges["src"])
-        .select("root_id", F.col("dst").alias("id")).distinct()
-    )
+    """(root_id, id) one hop further; repeats are left to the aggregation that follows."""
+    return frontier.join(edges, frontier["id"] == edges["src"]).select(
+        "root_id", F.col("dst").alias("id"))
 
 
 def min_depth(nodes: DataFrame) -> DataFrame:
@@ -156,12 +154,15 @@ def min_depth(nodes: DataFrame) -> DataFrame:
 def reached(links: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """(root_id, id, depth) of all nodes within ``depth`` hops (1..3) of each root."""
     depth = min(max(depth, 1), 3)
-    edges = symmetrise(links).distinct()
+    edges = symmetrise(links)
     nodes = roots.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth")).distinct()
     for hop in range(1, depth + 1):
         frontier = nodes.where(F.col("depth") == hop - 1)
         found = expand(frontier, edges).withColumn("depth", F.lit(hop))
         nodes = min_depth(nodes.unionByName(found))
+        if hop < depth:
+            # each hop reads the nodes twice; without the cut the plan would double per hop
+            nodes = cut_lineage(nodes)
     return nodes
 
 

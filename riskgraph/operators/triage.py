@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -11,7 +11,7 @@ from ..functions.pages import block_kind
 from ..functions.search import is_generic_result, mentions_query
 from ..functions.text import text_signature
 from ..functions.urls import canonicalize_url, is_low_value_target, is_search_page, url_host
-from .ranking import dedup_first, top_n, with_rank
+from .ranking import concat_ranked, dedup_first, top_n, with_rank
 
 
 def expand_queries(subjects: DataFrame) -> DataFrame:
@@ -100,9 +100,11 @@ def select_targets(candidates: DataFrame, chosen: DataFrame | None = None,
     fallback = fallback_targets(candidates, limit)
     if chosen is None:
         return fallback
-    picked = chosen_targets(chosen, candidates, limit)
-    rest = fallback.join(picked.select("query_id").distinct(), "query_id", "left_anti")
-    return picked.unionByName(rest)
+    both = concat_ranked([chosen_targets(chosen, candidates, limit), fallback], "__list")
+    # at most two short lists per query reach the window
+    best = F.min("__list").over(Window.partitionBy("query_id"))
+    return both.withColumn("__best", best).where(F.col("__list") == F.col("__best")).drop(
+        "__list", "__best")
 
 
 def merge_result_pages(pages: DataFrame, cap: int = V.CANDIDATE_LIMIT) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import subjects as FJ
 from ..functions import text as FT
 from ..functions import urls as FU
 from ..operators import models, pages, risk, summaries, triage
+from ..session import cut_lineage
 from ..sources import driver_tables as D
 from ..sources.html_nodes import page_nodes
 from ..streaming import ingest
@@ -554,7 +555,7 @@ Q_GENERIC = q_any(q_lower("title || ' ' || snippet || ' ' || url"), V.GENERIC_KE
 
 
 def _candidates(spark, d) -> DataFrame:
-    return triage.select_candidates(D.search_rows(spark, d), D.queries(spark, d))
+    return cut_lineage(triage.select_candidates(D.search_rows(spark, d), D.queries(spark, d)))
 
 
 @check("select_candidates", f"""WITH {Q_CAND}

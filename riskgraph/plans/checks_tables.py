@@ -9,6 +9,7 @@ from .. import schemas as S
 from ..functions import risk as FR
 from ..functions import subjects as FJ
 from ..operators import graph, history, kb, metrics, models, ranking, risk, triage
+from ..session import cut_lineage
 from ..sources import driver_tables as D
 from ..streaming import admission, reports, state
 from .registry import check
@@ -107,7 +108,8 @@ Q_FLOOR = """CASE WHEN {0} >= 10 THEN 0.9 WHEN {0} >= 5 THEN 0.75 WHEN {0} >= 2
 # --- graph --------------------------------------------------------------------------------
 def _strong_links(spark, d, least: float = 2) -> DataFrame:
     links = graph.co_mention_links(D.order_mentions(spark, d), D.parts(spark, d))
-    return links.where(F.col("strength") >= least)
+    # a stored table in production: computed once, then read by every hop
+    return cut_lineage(links.where(F.col("strength") >= least))
 
 
 def _customer_roots(spark, d) -> DataFrame:
@@ -200,8 +202,8 @@ def upsert_links(spark, d):
             "subject_a_id", "subject_b_id", F.lit("co_mentioned").alias("link_type"), "evidence_id")
 
     empty = spark.createDataFrame([], S.LINKS), spark.createDataFrame([], S.LINK_EVIDENCE)
-    links, known = graph.upsert_links(
-        *empty, pairs(["view", "error", "signup", "purchase"]), now)
+    first = graph.upsert_links(*empty, pairs(["view", "error", "signup", "purchase"]), now)
+    links, known = map(cut_lineage, first)
     links, _ = graph.upsert_links(links, known, pairs(["click", "view"]), now)
     return links.select("subject_a_id", "subject_b_id", "strength")
 

@@ -12,6 +12,7 @@ from ..functions.base import as_of_lit
 from ..functions.risk import level_to_score, quality_score
 from ..functions.subjects import normalize_subject, subject_id
 from ..operators import graph, kb, pages, risk, summaries, triage
+from ..session import cut_lineage
 from ..sources.html_nodes import page_nodes
 
 Tables = dict[str, DataFrame]
@@ -29,13 +30,14 @@ def engine_results(results: DataFrame) -> DataFrame:
 def investigate(queries: DataFrame, results: DataFrame, collected: DataFrame | None = None,
                 chosen: DataFrame | None = None, model_summaries: DataFrame | None = None,
                 extractions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All parts of an investigation as lazy frames.
+    """All parts of an investigation; everything after the candidates is lazy.
 
     queries(query_id, query, query_type); results: source results (schemas.SOURCE_RESULT plus
     query_id); collected(url, html): fetched pages; chosen, model_summaries, extractions:
     model outputs where there are any, otherwise the rule-based fallbacks apply.
     """
-    candidates = triage.select_candidates(engine_results(results), queries)
+    # read by every later step, so it is computed once
+    candidates = cut_lineage(triage.select_candidates(engine_results(results), queries))
     targets = triage.select_targets(candidates, chosen)
     ok = results.where("success")
     baseline = summaries.baseline_summaries(ok)

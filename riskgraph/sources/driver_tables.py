@@ -84,7 +84,7 @@ def subjects(spark, sf_dir) -> DataFrame:
 def order_mentions(spark, sf_dir) -> DataFrame:
     """An order is evidence about its customer that mentions the ordered parts."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("evidence_id"), phone_id("o_custkey").alias("subject_id"),
         F.lit("url").alias("subject_type"), part_url("l_partkey").alias("value"))
