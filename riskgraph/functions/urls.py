@@ -17,7 +17,19 @@ from .base import col, non_empty, strip
 _URL = r"^(?i:(https?|wss?|ftp)):[/\\]*([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _HOST = r"^(?:[^@]*@)?(\[[0-9a-fA-F:.]+\]|[^:@\[\]\s<>^|%]+)(?::([0-9]*))?$"
 _ANY_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+# scheme and authority in one go: group 1 is the host
+_START = (
+    r"(?U)^\s*(?i:https?|wss?|ftp):[/\\]*(?:[^/?#\\]*@)?"
+    r"(\[[0-9a-fA-F:.]+\]|[^:@\[\]\s<>^|%/?#\\]+)(?::[0-9]*)?(?=[/?#\\]|\s*$)"
+)
 _UNSAFE_PATH = r"[^\x21-\x7e]|[\"<>`{}]"
+_DOTS = r"(^|/)\.{1,2}(/|$)"
+# lower-case host, safe path without dot segments, plain key=value pairs: only the query can change
+_PLAIN = (
+    r"^https?://[a-z0-9.-]+/(?![.])(?:[A-Za-z0-9_~!$&'()*+,;=:@%.-]|/(?![.]))*"
+    r"(?:[?][A-Za-z0-9*._-]+=[A-Za-z0-9*._-]*(?:&[A-Za-z0-9*._-]+=[A-Za-z0-9*._-]*)*)?(?:#.*)?$"
+)
+_TRACKED = r"(?<=[?&])(?:utm_[A-Za-z0-9*._-]*|" + "|".join(V.TRACKING_KEYS) + r")=[^&]*(?:&|$)"
 
 
 def _part(u: Column, group: int) -> Column:
@@ -30,8 +42,7 @@ def url_scheme(url) -> Column:
 
 def url_host(url) -> Column:
     """Lower-case host, NULL when the text is not an absolute web URL."""
-    authority = _part(strip(url), 2)
-    return non_empty(F.lower(F.regexp_extract(authority, _HOST, 1)))
+    return non_empty(F.lower(F.regexp_extract(col(url), _START, 1)))
 
 
 def _encode_path(path: Column) -> Column:
@@ -61,10 +72,13 @@ def _resolve_dots(path: Column) -> Column:
 
 def url_path(url) -> Column:
     """Path with at least '/', NULL when the URL does not parse."""
-    u = strip(url)
-    raw = F.translate(_part(u, 3), "\\", "/")
-    path = F.when(raw == "", F.lit("/")).otherwise(_resolve_dots(_encode_path(raw)))
-    return F.when(url_host(u).isNotNull(), path)
+    u = col(url)
+    raw = F.regexp_extract(u, _START + r"([^?#]*)", 2)
+    trimmed = F.translate(strip(raw), "\\", "/")
+    slow = F.when(trimmed == "", F.lit("/")).otherwise(_resolve_dots(_encode_path(trimmed)))
+    path = F.when(raw == "", F.lit("/")).when(
+        raw.rlike(_UNSAFE_PATH + r"|\\|" + _DOTS), slow).otherwise(raw)
+    return F.when(u.rlike(_START), path)
 
 
 def _origin(u: Column) -> Column:
@@ -98,18 +112,32 @@ def _is_tracking(pair: Column) -> Column:
     return key.startswith("utm_") | key.isin(V.TRACKING_KEYS)
 
 
-def canonicalize_url(url) -> Column:
-    """No fragment, no tracking keys, other pairs kept in order and form-encoded again."""
+def _canonical_any(url) -> Column:
+    """The general form: parse, filter and encode every pair again."""
     u = strip(url)
     pairs = F.filter(F.split(_part(u, 4), "&"), lambda p: (p != "") & ~_is_tracking(p))
     query = F.array_join(F.transform(pairs, _pair), "&")
     tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
-    # host and path read the plain column again; the optimizer shares the common parts
     return F.when(
         url_host(u).isNotNull(), F.concat(_origin(u), url_path(u), tail)
     ).otherwise(col(url))
 
 
+def canonicalize_url(url) -> Column:
+    """No fragment, no tracking keys, other pairs kept in order and form-encoded again.
+
+    Most stored URLs are plain already; for those three regular expressions do, and only the
+    others go through the general form.
+    """
+    u = col(url)
+    bare = F.regexp_replace(u, "#.*$", "")
+    plain = F.when(
+        F.instr(u, "?") > 0,
+        F.regexp_replace(F.regexp_replace(bare, _TRACKED, ""), "[?&]$", ""),
+    ).otherwise(bare)
+    return F.when(u.rlike(_PLAIN), plain).otherwise(_canonical_any(u))
+
+
 def is_search_page(url) -> Column:
     host, path = url_host(url), url_path(url)
     ddg = host.contains("duckduckgo.com")
@@ -126,10 +154,9 @@ def is_low_value_target(url) -> Column:
 
 
 def is_article_like(url) -> Column:
-    path = F.lower(url_path(url))
-    marked = path.rlike("|".join(V.ARTICLE_MARKERS))
-    deep = F.size(F.filter(F.split(path, "/"), lambda s: s != "")) >= 2
-    return F.coalesce((path != "/") & (marked | deep), F.lit(False))
+    """A marker in the path, or at least two path segments."""
+    path = url_path(url)
+    return F.coalesce(path.rlike("(?i)" + "|".join(V.ARTICLE_MARKERS) + "|[^/]/+[^/]"), F.lit(False))
 
 
 def _in_domains(host: Column, domains: list[str]) -> Column:

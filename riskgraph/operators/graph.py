@@ -147,6 +147,10 @@ def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
         "root_id", F.col("dst").alias("id"))
 
 
+def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).distinct()
+
+
 def min_depth(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("root_id", "id").agg(F.min("depth").alias("depth"))
 

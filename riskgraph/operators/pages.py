@@ -19,8 +19,7 @@ from ..functions.text import (
     strip_embedded_noise, truncate,
 )
 from ..functions.urls import (
-    absolute_url, is_social_url, unwrap_redirect, unwrap_result_link, url_extension, url_host,
-    url_path,
+    absolute_url, is_social_url, unwrap_redirect, unwrap_result_link,
 )
 from .ranking import dedup_first, with_rank
 
@@ -286,19 +285,14 @@ def evidence_images(nodes: Column | str, domain: str = V.POST_SITE) -> Column:
         & (F.coalesce(attr(a, "class").contains("gallery"), F.lit(False))
            | attr(a, "data-fancybox").isNotNull()),
     )
-    hrefs = F.transform(links, lambda a: attr(a, "href"))
-
-    def own_upload(h: Column) -> Column:
-        clean = F.split_part(h, F.lit("?"), F.lit(1))
-        return F.coalesce(
-            url_host(h).endswith(domain)
-            & F.lower(url_path(h)).contains("/wp-content/uploads/")
-            & url_extension(clean).isin(V.IMAGE_EXTENSIONS),
-            F.lit(False),
-        )
-
-    return F.array_distinct(F.transform(
-        F.filter(hrefs, own_upload), lambda h: F.split_part(h, F.lit("?"), F.lit(1))))
+    # one pass over each link: own host, upload folder in the path, picture suffix
+    upload = (r"^(?i:https?://(?:[^/?#@]*@)?[^/?#:@]*" + domain.replace(".", r"\.")
+              + r"(?::[0-9]*)?(?:/[^?#]*)?/wp-content/uploads/)")
+    picture = r"(?i)[^/][.](" + "|".join(V.IMAGE_EXTENSIONS) + ")$"
+    clean = F.transform(
+        F.filter(links, lambda a: attr(a, "href").rlike(upload)),
+        lambda a: F.split_part(attr(a, "href"), F.lit("?"), F.lit(1)))
+    return F.array_distinct(F.filter(clean, lambda h: h.rlike(picture)))
 
 
 # --- incident posts -------------------------------------------------------------------

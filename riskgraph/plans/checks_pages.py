@@ -935,3 +935,30 @@ def scam_signals(spark, d):
     return D.search_rows(spark, d).join(D.queries(spark, d), "query_id").select(
         "query_id", "pos", FS.has_scam_signal(*args, "query").alias("scam"),
         FS.is_generic_result(*args).alias("generic"))
+
+
+@check("page_comments", f"""SELECT doc_id, coalesce(nullif(regexp_extract(
+    CASE WHEN doc_id % 2 = 0 THEN 'Reddi' ELSE 'x' END || text, '({"|".join(V.CARRIERS)})', 1), ''), 'Unknown')
+  AS carrier, CASE WHEN strlen({q_strip('text')}) > 10 THEN {q_strip('text')} ELSE '' END AS comments
+FROM documents""")
+def page_comments(spark, d):
+    """Documents as the comment of a page."""
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(
+        F.lit("<main>"), F.when(F.col("doc_id") % 2 == 0, "Reddi").otherwise("x"),
+        F.lit('<div class="user-comment">'), escaped, F.lit("</div></main>"))
+    rows = pages.comment_items(page_nodes(D.documents(spark, d).select("doc_id", html.alias("html"))))
+    return rows.withColumn("comments", F.array_join("comments", "|"))
+
+
+@check("label_texts", f"""SELECT event_id, CASE WHEN value >= 85 THEN 'Hệ thống khá chắc chắn về nhận định này: '
+    WHEN value >= 65 THEN 'Hệ thống có độ chắc chắn tương đối tốt về nhận định này: ' WHEN value >= 45
+    THEN 'Nhận định này ở mức tham khảo, độ chắc chắn khoảng ' ELSE 'Dữ liệu còn hạn chế, độ chắc chắn hiện khoảng '
+  END || CAST(CAST(floor(value / 100 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%.' AS text,
+  CASE event_type WHEN 'view' THEN 'Số điện thoại đang tra cứu' WHEN 'click' THEN 'Tài khoản đang tra cứu'
+  ELSE 'Địa chỉ đang tra cứu' END AS label, 'cao' AS level FROM events""")
+def label_texts(spark, d):
+    kind = B.lookup("event_type", {"view": "phone", "click": "bank"}, "url")
+    return D.events(spark, d).select(
+        "event_id", FT.confidence_text(F.col("value") / 100).alias("text"),
+        FT.query_label(kind).alias("label"), FT.risk_label(F.lit("high")).alias("level"))

@@ -845,3 +845,77 @@ SELECT event_id, outcome FROM f WHERE event_id IS NOT NULL
 UNION ALL SELECT event_id, bad FROM sub WHERE bad IS NOT NULL""")
 def admit_reports(spark, d):
     return admission.admit_reports_batch(D.submissions(spark, d)).select("event_id", "outcome")
+
+
+# --- gates and small lookups ----------------------------------------------------------------
+@check("quality_gate", f"""WITH {Q_INV} SELECT id, round(quality, 6) AS quality_score FROM inv
+WHERE round(quality, 6) >= 0.3""")
+def quality_gate(spark, d):
+    return triage.ingest_gate(D.investigations(spark, d)).select(
+        "id", r6("quality_score").alias("quality_score"))
+
+
+@check("reuse_gate", f"WITH {Q_INV} SELECT id FROM inv WHERE ratio >= 0.5")
+def reuse_gate(spark, d):
+    return triage.reuse_gate(D.investigations(spark, d)).select("id")
+
+
+@check("media_exists", f"""SELECT DISTINCT 'https://img.example.com/' || {K} || '.jpg' AS original_url FROM events
+WHERE event_type IN ('view', 'click')""")
+def media_exists(spark, d):
+    wanted = D.events(spark, d).select(D.image_url("k").alias("original_url")).distinct()
+    return kb.media_exists(D.media(spark, d), wanted)
+
+
+@check("existing_evidence", f"""WITH {Q_EV}, w AS (SELECT DISTINCT subject_id, source_url FROM ev WHERE source = 'click')
+SELECT w.subject_id, w.source_url, o.id FROM w JOIN (SELECT subject_id, source_url,
+  min_by(id, (created_at, id)) AS id FROM ev WHERE source = 'view' GROUP BY 1, 2) o USING (subject_id, source_url)""")
+def existing_evidence(spark, d):
+    ev = kb.with_json_keys(D.evidence(spark, d))
+    keys = ev.where(F.col("source") == "click").select("subject_id", "source_url").distinct()
+    return history.existing_evidence(
+        keys, ev.where(F.col("source") == "view"), ["subject_id", "source_url"]
+    ).select("subject_id", "source_url", "id")
+
+
+@check("with_history", f"""WITH {Q_CUSTOMERS}, {Q_REP}
+SELECT event_id AS query_id, (SELECT count(*) FROM customers c WHERE c.value = {q_phone(f'user_id + {K}')}) > 0
+  AS known FROM events""")
+def with_history(spark, d):
+    """Queries for user + k; the payload is present exactly for known subjects."""
+    c = D.customers(spark, d)
+    q = D.events(spark, d).select(
+        F.col("event_id").alias("query_id"), D.phone(F.col("user_id") + F.col("k")).alias("query"),
+        F.lit("phone").alias("query_type"))
+    payloads = c.select("id", F.concat(F.lit("p:"), "value").alias("payload"))
+    return history.with_history(q, c, payloads).select(
+        "query_id", F.col("payload").isNotNull().alias("known"))
+
+
+@check("report_status", """SELECT CAST(user_id AS VARCHAR) AS investigation_id, max_by(event_type, (ts, event_type)) AS status,
+  max(ts) AS updated_at, max(ts) + INTERVAL 3600 SECOND AS expires_at FROM events
+WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1 HAVING max(ts) + INTERVAL 3600 SECOND > TIMESTAMP '2024-01-20'""")
+def report_status(spark, d):
+    return state.report_status_batch(D.table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("investigation_id"), "ts",
+        F.col("event_type").alias("status")), D.AS_OF)
+
+
+@check("refresh", f"""WITH {Q_CUSTOMERS}, {Q_INV}
+SELECT c.id, max(created_at) AS last_investigation_at FROM customers c LEFT JOIN inv ON subject_id = c.id GROUP BY 1""")
+def refresh(spark, d):
+    """The scheduled rebuild: overview and purge of stored results."""
+    from ..streaming.ingest import refresh as rebuild
+
+    out = rebuild({"subjects": D.customers(spark, d), "investigations": D.investigations(spark, d),
+                   "analysis_cache": D.reuse_table(spark, d)}, D.AS_OF)
+    return out["overview"].select("id", "last_investigation_at")
+
+
+@check("merge_ids", f"""SELECT user_id, count(DISTINCT {K}) AS n FROM events GROUP BY 1""")
+def merge_ids(spark, d):
+    """Distinct union of two id lists, kept as rows."""
+    e = D.events(spark, d)
+    a = e.where(F.col("k") < 60).select("user_id", "k")
+    b = e.where(F.col("k") >= 40).select("user_id", "k")
+    return graph.union_distinct(a, b).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,37 @@ def decide(state: list[tuple[int, str]], at: int, subject: str) -> tuple[str, li
     return "accepted", [*live, (at, subject)]
 
 
+def decide_run(state: list[tuple[int, str]], us: np.ndarray, subjects: np.ndarray
+               ) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """The fold over a sorted stretch of one reporter, jumping from change to change.
+
+    While the state is full every report up to the next expiry is refused, and otherwise every
+    report on an active subject is; only the few accepted ones are visited one by one.
+    """
+    out = np.empty(len(us), dtype=object)
+    codes, names = pd.factorize(subjects)
+    code_of = {name: i for i, name in enumerate(names)}
+    i = 0
+    while i < len(us):
+        state = [(t, s) for t, s in state if t > us[i] - DAY_US]
+        upto = len(us)
+        if state:
+            upto = i + int(np.searchsorted(us[i:], min(t for t, _ in state) + DAY_US))
+        if len(state) >= REPORTS_PER_DAY:
+            out[i:upto] = "rate_limited"
+            i = upto
+            continue
+        new = ~np.isin(codes[i:upto], [code_of.get(s, -1) for _, s in state])
+        step = int(new.argmax()) if new.any() else upto - i
+        out[i:i + step] = "duplicate"
+        i += step
+        if i < upto:
+            out[i] = "accepted"
+            state = [*state, (int(us[i]), subjects[i])]
+            i += 1
+    return out, state
+
+
 def _sessions(rows: DataFrame) -> DataFrame:
     """Number the stretches of a reporter that lie more than a day apart.
 
@@ -74,15 +106,14 @@ def admit_reports_batch(submissions: DataFrame) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, []
         for pdf in batches:
-            outcomes = []
-            for reporter, session, at, subject in zip(
-                pdf["reporter_ip_hash"], pdf["__session"], pdf["__us"], pdf["subject_id"],
-                strict=True,
-            ):
-                if (reporter, session) != current:
-                    current, state = (reporter, session), []
-                outcome, state = decide(state, at, subject)
-                outcomes.append(outcome)
+            outcomes = np.empty(len(pdf), dtype=object)
+            group = (pdf["reporter_ip_hash"] + "|" + pdf["__session"].astype(str)).to_numpy()
+            us, subjects = pdf["__us"].to_numpy(), pdf["subject_id"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(pdf) else []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                if group[lo] != current:
+                    current, state = group[lo], []
+                outcomes[lo:hi], state = decide_run(state, us[lo:hi], subjects[lo:hi])
             yield pd.DataFrame({"event_id": pdf["event_id"], "outcome": outcomes})
 
     narrow = ordered.select("event_id", *key, "__us", "subject_id")
