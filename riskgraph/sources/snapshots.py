@@ -2,7 +2,8 @@
 
 A table is a folder with one sub-folder per version.  A version is complete when Spark has
 written its _SUCCESS marker, so readers take the newest complete one and a job that dies
-half-way leaves the previous version in force.  Readers and writer share one file system.
+half-way leaves the previous version in force.  Tables written together are named in one
+manifest, written last: readers see all of their new versions or none.
 """
 
 from __future__ import annotations
@@ -52,21 +53,46 @@ def write_snapshot(df: DataFrame, base: str, table: str,
     return path
 
 
-def read_snapshot(spark: SparkSession, base: str, table: str, schema: T.StructType | None = None
-                  ) -> DataFrame:
-    """Newest complete version; an empty frame of ``schema`` when there is none."""
-    existing = versions(spark, base, table)
-    if not existing:
+def read_snapshot(spark: SparkSession, base: str, table: str, schema: T.StructType | None = None,
+                  version: int | None = None) -> DataFrame:
+    """A version, by default the newest complete one; an empty frame of ``schema`` without any."""
+    if version is None:
+        existing = versions(spark, base, table)
+        version = existing[-1] if existing else None
+    if version is None:
         if schema is None:
             raise FileNotFoundError(f"no version of {table} under {base}")
         return spark.createDataFrame([], schema)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{base}/{table}/v{existing[-1]:06d}")
+    return reader.parquet(f"{base}/{table}/v{version:06d}")
+
+
+MANIFEST = "manifest"
+
+
+def manifest(spark: SparkSession, base: str) -> dict[str, int]:
+    """Version in force of each table; one row per table, empty before the first write."""
+    schema = "name string, version int"
+    rows = read_snapshot(spark, base, MANIFEST, T._parse_datatype_string(schema)).collect()
+    return {r["name"]: r["version"] for r in rows}
 
 
 def read_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    return {name: read_snapshot(spark, base, name, schema) for name, schema in TABLES.items()}
+    """All tables in the versions of the newest manifest, empty where it names none."""
+    current = manifest(spark, base)
+    return {
+        name: read_snapshot(spark, base, name, schema, current[name])
+        if name in current else spark.createDataFrame([], schema)
+        for name, schema in TABLES.items()
+    }
 
 
 def write_tables(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
-    return {name: write_snapshot(df, base, name) for name, df in tables.items()}
+    """Write new versions of the given tables and put them in force together."""
+    spark = next(iter(tables.values())).sparkSession
+    paths = {name: write_snapshot(df, base, name) for name, df in tables.items()}
+    current = manifest(spark, base) | {
+        name: int(path.rsplit("/v", 1)[1]) for name, path in paths.items()}
+    rows = spark.createDataFrame(sorted(current.items()), "name string, version int")
+    write_snapshot(rows.coalesce(1), base, MANIFEST)
+    return paths

@@ -14,7 +14,7 @@ from ..functions.base import lookup
 from ..functions.risk import found_count
 from ..operators import history, kb, triage
 from ..plans.investigate import engine_results, ingest_investigations
-from ..sources.snapshots import read_tables, write_snapshot
+from ..sources.snapshots import read_tables, write_tables
 
 
 def ingest_batch(base: str, clock: Callable[[], datetime] | None = None):
@@ -28,8 +28,7 @@ def ingest_batch(base: str, clock: Callable[[], datetime] | None = None):
     def run(batch: DataFrame, _batch_id: int) -> None:
         tables = read_tables(batch.sparkSession, base)
         out = ingest_investigations(tables, batch, now())
-        for name in changed:
-            write_snapshot(out[name], base, name)
+        write_tables({name: out[name] for name in changed}, base)
 
     return run
 

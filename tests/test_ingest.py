@@ -171,6 +171,19 @@ def test_snapshots_ignore_unfinished_versions(spark, tmp_path):
         read_snapshot(spark, base, "none")
 
 
+def test_tables_change_together(spark, empty, tmp_path):
+    base = str(tmp_path)
+    subjects = spark.createDataFrame([("s", "v", "url", 0.5, "medium", 0, 0, NOW, NOW)], S.SUBJECTS)
+    write_tables({"subjects": subjects, "media": empty["media"]}, base)
+    # a job that died before its manifest
+    write_snapshot(empty["subjects"], base, "subjects")
+    assert read_tables(spark, base)["subjects"].count() == 1
+    write_tables({"subjects": subjects.unionByName(subjects)}, base)
+    tables = read_tables(spark, base)
+    assert tables["subjects"].count() == 2 and tables["media"].count() == 0
+    assert versions(spark, base, "subjects") == [1, 2, 3]
+
+
 def test_floors_are_lost_unless_asked(spark, empty):
     subjects = spark.createDataFrame(
         [("s", "v", "url", 0.95, "critical", 0, 0, NOW, NOW)], S.SUBJECTS)
