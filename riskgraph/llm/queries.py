@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, packing, sharding, token_files, toxicity, warc
+from . import fingerprints, langid, lines, packing, sharding, token_files, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_invertible_sketches")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_line_neighbours", lines.ORACLE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated_documents(table(spark, sf_dir, "documents"))
