@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, lines, packing, sharding, token_files, toxicity, warc
+from . import fingerprints, langid, lines, near_dups, packing, sharding, token_files, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_neighbours", lines.ORACLE_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_bbit_minhash", near_dups.ORACLE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.duplicates(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ Headers (page id, payload digest, size) are shuffled by digest without payloads;
 owns the response, the others become revisit records. The decisions are joined to the pages once, in as many
 partitions as archives are wanted, and Spark's own writer commits the archives, so lost tasks are repeated safely. A
 record is text (UTF-8 payload), and every WARC record ends with two line ends, which is the writer's separator.
+Archives are gzip files.
 
 A null html has an empty payload; a null url is written as ``urn:page:<id>``. Repeated rows with the smallest page id
 of their payload are all responses. Payloads below ``least_bytes`` are always responses.
@@ -103,7 +104,8 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
                    least_bytes: int = LEAST_BYTES) -> None:
     total = pages.agg(F.sum(F.octet_length("html").cast("long")).alias("n")).first()["n"] or 0
     archives = max(1, -(-total // archive_bytes))
-    records(pages, date, archives, least_bytes).write.option("lineSep", RECORD_END).text(path)
+    records(pages, date, archives, least_bytes).write.option(
+        "lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,12 +128,13 @@ SCHEMA = ("record_id string, page_id long, record_type string, refers_to_id stri
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import gzip
     import hashlib
 
     for batch in batches:
         for content in batch["content"]:
             out = []
-            for h, block in parse(content):
+            for h, block in parse(gzip.decompress(content)):
                 payload = block[block.index(b"\r\n\r\n") + 4:]
                 response = h["WARC-Type"] == "response"
                 digest = hashlib.sha256(payload).hexdigest() if response else None
