@@ -1,15 +1,60 @@
-"""Corpus pipeline: stages over the documents table, each written and read again."""
+"""Corpus pipeline over the documents table: language, lines, near duplicates, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
+of documents. A tokenizer, a fitted classifier and a tiling stand between input and result, so there is no SQL for it;
+tests/llm/test_pipeline.py holds it against a plain version instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskgraph.llm import decontamination, langid, lines, near_dups, packing
+from riskgraph.llm.common import stored, table
+from riskgraph.llm.queries import tokenizer_path
+
+#: An ambiguous answer about fewer letters says nothing against a text.
+LEAST_LETTERS = 40
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and longer ones whose two nearest languages are about equally near."""
+    return langid.accepted(docs, LEAST_LETTERS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines go; so do documents of which nothing is left. n_chars follows the text."""
+    found = lines.deduplicate(docs).filter("text <> '' OR equal_lines + near_lines = 0")
+    out = found.select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return near_dups.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item's words go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 1024."""
+    packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate), ("pack", pack),
+]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -219,10 +219,14 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is known and not ambiguous, columns as they were."""
+def accepted(docs: DataFrame, least_letters: int = 0) -> DataFrame:
+    """Rows of ``docs`` whose language is known and not ambiguous, columns as they were.
+
+    An ambiguous answer counts only for texts of at least so many letters.
+    """
     model = fit(docs)
     names = docs.columns
     marked = docs.select(*(F.col(f"`{c}`").alias(c if c == "text" else f"own_{i}") for i, c in enumerate(names)))
-    found = identify(marked, model).filter(~F.col("ambiguous") & (F.col("lang_pred") != UNDETERMINED))
+    short = F.char_length(F.regexp_replace("text", r"\P{L}+", "")) < least_letters
+    found = identify(marked, model).filter((F.col("lang_pred") != UNDETERMINED) & (~F.col("ambiguous") | short))
     return found.select(*(F.col(c if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(names)))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -108,14 +108,18 @@ def packed(m: np.ndarray) -> np.ndarray:
     return (low << np.arange(0, 64, 2, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _unnamed(digest: int) -> int:
     return (digest & ((1 << 61) - 1)) + UNNAMED
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (digest of the set), bands, packed."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    names = ["doc_id", "n", "d1", "d2", "bands", "packed"]
+    """doc_id, th (hash of the text), n (set size), d1 and d2 (digest of the set), bands, packed."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["doc_id", "th", "n", "d1", "d2", "bands", "packed"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, flip = _seeds()
@@ -123,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out: list[list] = [[], [], [], [], []]
-                for v in part.column(1):
+                for v in part.column(2):
                     found = shingles(v.as_py())
                     out[0].append(len(found))
                     out[1].append(_digest(found))
@@ -132,13 +136,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     out[3].append(band_keys(m) if m is not None else [])
                     out[4].append(packed(m) if m is not None else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds[1:], strict=True))], names)
+                    [*part.columns[:2], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, d1 long, d2 long, bands array<long>, packed array<long>")
+    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(
+        sign, "doc_id long, th long, n long, d1 long, d2 long, bands array<long>, packed array<long>")
 
 
-def estimate(a: str, b: str) -> F.Column:
+def estimate(a: str, b: str) -> Column:
     """Similarity from packed bits: share of equal minima, less what agrees by chance."""
     pairs = 0x5555555555555555
     differing = F.expr(
@@ -217,8 +221,8 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, w.doc_id)
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id"""
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id and kept of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs), "signatures")
     named = signed.filter("n > 0").groupBy("n", "d1", "d2").agg(
@@ -265,8 +269,25 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     # one small row per class back onto the documents
     of_class = classes.select("n", "d1", "d2", "id").join(labels, "id", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
-    label = F.when(F.col("component") < UNNAMED, F.col("component")).otherwise(F.when(F.col("component").isNull(), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "n", "d1", "d2", "id", F.coalesce("component", "id").alias("component"))
+    out = signed.select("doc_id", "th", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
+    label = F.when(F.col("component") < UNNAMED, F.col("component")).otherwise(
+        F.when(F.col("component").isNull(), F.col("doc_id")))
+    kept = F.when(F.col("component") < UNNAMED, F.col("doc_id").eqNullSafe(F.col("component"))).otherwise(
+        F.coalesce(F.col("component") == F.col("id"), F.lit(True)))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), label.alias("component_id"), kept.alias("kept"))
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    return groups(docs).drop("th")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are kept, with their columns."""
+    names = docs.columns
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    own = docs.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), id_of.alias("at"), _text_hash().alias("th"))
+    gone = groups(docs).filter("NOT kept").select(id_of.alias("at"), "th").distinct()
+    return own.join(gone, ["at", "th"], "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, lines, near_dups, packing, sharding, token_files, toxicity, warc
+from . import decontamination, fingerprints, langid, lines, near_dups, packing, sharding, token_files, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bbit_minhash", near_dups.ORACLE_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_string_tiling")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
