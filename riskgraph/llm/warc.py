@@ -7,7 +7,8 @@ record is text (UTF-8 payload), and every WARC record ends with two line ends, w
 Archives are gzip files.
 
 A null html has an empty payload; a null url is written as ``urn:page:<id>``. Repeated rows with the smallest page id
-of their payload are all responses. Payloads below ``least_bytes`` are always responses.
+of their payload are all responses. A page without id is never referred to while another page has the payload.
+Payloads below ``least_bytes`` are always responses.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def originals(heads: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Digests with several records: the page that keeps the payload."""
     return (
         heads.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("records"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("first"), F.count("*").alias("records"))
         .filter("records > 1")
         .select("payload_digest", F.col("first.page_id").alias("first_page_id"), F.col("first.url").alias("first_url"))
     )
