@@ -120,7 +120,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``text`` and ``lang`` of learnable rows."""
-    rows = stored(sample(docs, per_language), "language-sample").repartition(8)
+    learning = docs.select("doc_id", "text", "lang")
+    rows = stored(sample(learning, per_language), "language-sample").repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
