@@ -72,12 +72,12 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 
 def test_toxic_scores_rank_held_out_documents(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in rows(spark, "op6_toxic_spans", folder)}
     held = [(got[i]["score"], t) for i, t in table(folder, "SELECT doc_id, toxic FROM labels") if got[i]["held_out"]]
     good, bad = [s for s, t in held if not t], [s for s, t in held if t]
-    assert np.mean([[b > g for g in good] for b in bad]) > 0.75
-    assert not any(got[i]["predicted"] for i, t in table(folder, "SELECT doc_id, toxic FROM labels") if t == 0)
+    assert np.mean([[b > g for g in good] for b in bad]) > 0.9
+    assert np.mean([s >= 0.7 for s in good]) < 0.005
     texts = dict(table(folder, "SELECT doc_id, text FROM documents"))
     for i, r in got.items():
         for span in r["spans"]:
