@@ -44,8 +44,11 @@ def upsert_subjects(subjects: DataFrame, changes: DataFrame) -> tuple[DataFrame,
 
 def append_investigations(subjects: DataFrame, investigations: DataFrame, new: DataFrame
                           ) -> tuple[DataFrame, DataFrame]:
-    """Append and count: (subjects, investigations).  Rows already stored are not counted twice."""
-    fresh = new.join(investigations.select("id"), "id", "left_anti")
+    """Append and count: (subjects, investigations).
+
+    Rows already stored, and rows that repeat an id of the batch, are not counted twice.
+    """
+    fresh = dedup_first(new, ["id"], ["created_at"]).join(investigations.select("id"), "id", "left_anti")
     counts = fresh.groupBy(F.col("subject_id").alias("id")).agg(
         F.count(F.lit(1)).alias("__n"), F.max("created_at").alias("__at"))
     moved = subjects.join(counts, "id", "left").withColumns({

@@ -490,19 +490,20 @@ def reports_for_queries(queries: DataFrame, candidates: DataFrame, slugs: DataFr
     """Reports of each query: matching candidates, else the pages listed by slug.
 
     queries(query_id, query); candidates and slugs(query_id, pos, url, title, content, date).
+    Repeated URLs go first, then the first ``limit`` pages count.
     """
     from .ranking import top_n
 
-    c = top_n(candidates, ["query_id"], ["pos"], limit)
-    hits = (
-        c.join(queries, "query_id")
+    def first_pages(rows: DataFrame) -> DataFrame:
+        return top_n(dedup_first(rows, ["query_id", "url"], ["pos"]), ["query_id"], ["pos"], limit)
+
+    direct = (
+        first_pages(candidates).join(queries, "query_id")
         .where(matches_query("url", "title", "content", "query"))
-        .drop("query")
+        .drop("query").withColumn("origin", F.lit("direct"))
     )
-    direct = dedup_first(hits, ["query_id", "url"], ["pos"]).withColumn("origin", F.lit("direct"))
-    rest = top_n(slugs, ["query_id"], ["pos"], limit).join(
-        direct.select("query_id").distinct(), "query_id", "left_anti")
-    listed = dedup_first(rest, ["query_id", "url"], ["pos"]).withColumn("origin", F.lit("slug"))
+    listed = first_pages(slugs).join(
+        direct.select("query_id").distinct(), "query_id", "left_anti").withColumn("origin", F.lit("slug"))
     return direct.unionByName(listed)
 
 

@@ -498,9 +498,13 @@ def reports_for_queries(spark, d):
         F.lit("").alias("title"), F.col("text").alias("content"), F.lit("").alias("date"))
     q = docs.select("query_id").distinct().withColumn(
         "query", F.when(F.col("query_id") % 2 == 0, " The").otherwise("zzz"))
+    # every candidate comes 60 times in front of its successors: the limit counts pages, not rows
+    direct = docs.where(F.col("pos") % 3 == 0).withColumn("pos", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(59)), lambda i: F.col("pos") * 60 + i)))
     return pages.reports_for_queries(
-        q, docs.where(F.col("pos") % 3 == 0), docs.where(F.col("pos") % 3 != 0)
-    ).select("query_id", "pos", "origin")
+        q, direct, docs.where(F.col("pos") % 3 != 0)
+    ).select("query_id", F.when(F.col("origin") == "direct", F.col("pos") / 60).otherwise(
+        F.col("pos")).cast("long").alias("pos"), "origin")
 
 
 @check("feed_items", """SELECT c_custkey, 0 AS pos, CASE WHEN c_custkey % 3 = 0 THEN 'feed' ELSE c_name END AS title,

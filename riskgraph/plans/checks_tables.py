@@ -106,23 +106,23 @@ Q_FLOOR = """CASE WHEN {0} >= 10 THEN 0.9 WHEN {0} >= 5 THEN 0.75 WHEN {0} >= 2
 
 
 # --- graph --------------------------------------------------------------------------------
-def _strong_links(spark, d, least: float = 2) -> DataFrame:
-    links = graph.co_mention_links(D.order_mentions(spark, d), D.parts(spark, d))
+def _links(spark, d) -> DataFrame:
     # a stored table in production: computed once, then read by every hop
-    return cut_lineage(links.where(F.col("strength") >= least))
+    return cut_lineage(graph.co_mention_links(D.order_mentions(spark, d), D.parts(spark, d)))
 
 
-def _customer_roots(spark, d) -> DataFrame:
-    return D.customers(spark, d).select(F.col("id").alias("root_id"))
+def _asked(spark, d) -> DataFrame:
+    """The subjects asked about: customers whose key is divisible by 100."""
+    asked = D.table(spark, d, "customer").where(F.col("c_custkey") % 100 == 0)
+    return asked.select(D.phone_id("c_custkey").alias("root_id"))
 
 
 Q_NET = f"""WITH RECURSIVE {Q_CUSTOMERS}, {Q_PARTS}, {Q_LINKS},
 subjects AS (SELECT id, value, subject_type, risk_score, risk_level FROM customers
              UNION ALL SELECT id, value, subject_type, risk_score, risk_level FROM parts),
-strong AS (SELECT * FROM links WHERE strength >= 2),
-edges AS (SELECT a AS src, b AS dst FROM strong UNION ALL SELECT b, a FROM strong),
+edges AS (SELECT a AS src, b AS dst FROM links UNION ALL SELECT b, a FROM links),
 net(root_id, id, depth) AS (
-  SELECT id, id, 0 FROM customers
+  SELECT id, id, 0 FROM (SELECT {q_pid('c_custkey')} AS id FROM customer WHERE c_custkey % 100 = 0)
   UNION SELECT n.root_id, e.dst, n.depth + 1 FROM net n JOIN edges e ON e.src = n.id
         WHERE n.depth < 3),
 nodes AS (SELECT root_id, id, min(depth) AS depth FROM net GROUP BY 1, 2)"""
@@ -139,23 +139,23 @@ SELECT root_id, id, value, subject_type, risk_level, risk_score, depth
 FROM nodes JOIN subjects USING (id)""")
 def network_nodes(spark, d):
     return graph.network_nodes(
-        D.subjects(spark, d), _strong_links(spark, d), _customer_roots(spark, d), 3)
+        D.subjects(spark, d), _links(spark, d), _asked(spark, d), 3)
 
 
 @check("network_edges", Q_NET + """
 SELECT DISTINCT n.root_id, s.a AS subject_a_id, s.b AS subject_b_id, 'co_mentioned' AS link_type,
        s.strength
-FROM strong s JOIN nodes n ON n.id = s.a JOIN nodes m ON m.id = s.b AND m.root_id = n.root_id""")
+FROM links s JOIN nodes n ON n.id = s.a JOIN nodes m ON m.id = s.b AND m.root_id = n.root_id""")
 def network_edges(spark, d):
-    links = _strong_links(spark, d)
-    return graph.network_edges(links, graph.reached(links, _customer_roots(spark, d), 3))
+    links = _links(spark, d)
+    return graph.network_edges(links, graph.reached(links, _asked(spark, d), 3))
 
 
 @check("network_neighbours_only", Q_NET + """
 SELECT root_id, id, depth FROM nodes WHERE depth > 0""")
 def network_neighbours_only(spark, d):
     return graph.without_root(
-        graph.reached(_strong_links(spark, d), _customer_roots(spark, d), 3))
+        graph.reached(_links(spark, d), _asked(spark, d), 3))
 
 
 @check("induced_edges", f"""WITH {Q_CUSTOMERS}, {Q_PARTS}, {Q_LINKS},
@@ -166,18 +166,20 @@ WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)""")
 def induced_edges(spark, d):
     nodes = D.customers(spark, d).where(F.col("risk_level") == "critical").select("id").unionByName(
         D.parts(spark, d).select("id"))
-    return graph.induced_edges(_strong_links(spark, d, 1), nodes)
+    return graph.induced_edges(_links(spark, d), nodes)
 
 
 @check("neighbours", f"""WITH {Q_CUSTOMERS}, {Q_PARTS}, {Q_LINKS},
-subjects AS (SELECT id, value, risk_score, risk_level, last_seen_at FROM customers),
+subjects AS (SELECT id, value, risk_score, risk_level, last_seen_at FROM customers
+             UNION ALL SELECT id, value, risk_score, risk_level,
+               TIMESTAMP '2023-12-01' + to_minutes(p_partkey) FROM parts JOIN part ON {q_part('p_partkey')} = value),
 edges AS (SELECT a AS src, b AS dst, strength FROM links UNION ALL SELECT b, a, strength FROM links)
 SELECT src AS subject_id, dst AS other_id, value, risk_score, risk_level, strength FROM (
   SELECT e.*, s.*, row_number() OVER (PARTITION BY src
            ORDER BY strength DESC, last_seen_at DESC, dst) AS rn
   FROM edges e JOIN subjects s ON s.id = e.dst) WHERE rn <= 10""")
 def neighbours(spark, d):
-    return graph.neighbours(D.customers(spark, d), _strong_links(spark, d, 1)).select(
+    return graph.neighbours(D.subjects(spark, d), _links(spark, d)).select(
         "subject_id", "other_id", "value", "risk_score", "risk_level", "strength")
 
 
@@ -369,7 +371,7 @@ LEFT JOIN ends ON ends.id = c.id""")
 def history_snapshot(spark, d):
     return history.history_snapshot(
         D.customers(spark, d), D.investigations(spark, d), D.user_reports(spark, d),
-        _strong_links(spark, d, 1),
+        _links(spark, d),
     ).drop("investigation_count", "first_seen")
 
 
@@ -377,7 +379,7 @@ def history_snapshot(spark, d):
 def history_payload(spark, d):
     return history.history_payload(
         D.customers(spark, d), D.investigations(spark, d), D.user_reports(spark, d),
-        _strong_links(spark, d, 1), D.evidence(spark, d))
+        _links(spark, d), D.evidence(spark, d))
 
 
 @check("lookup_subjects", f"""WITH {Q_CUSTOMERS}
@@ -435,8 +437,9 @@ FROM customers c LEFT JOIN inv i ON i.subject_id = c.id AND i.ratio >= 0.5 GROUP
 def append_investigations(spark, d):
     inv = D.investigations(spark, d)
     new = inv.where(F.col("sources_success_ratio") >= 0.5)
+    # every row comes twice
     subjects, _ = kb.append_investigations(
-        D.customers(spark, d), inv.where(F.lit(False)), new.unionByName(new).dropDuplicates(["id"]))
+        D.customers(spark, d), inv.where(F.lit(False)), new.unionByName(new))
     return subjects.select("id", "investigation_count", "last_seen_at")
 
 
@@ -806,7 +809,7 @@ e AS (SELECT investigation_id, min(turn) FILTER (WHERE done) AS end_turn FROM c
 u AS (SELECT c.*, end_turn FROM c JOIN e USING (investigation_id)
       WHERE end_turn IS NULL OR turn <= end_turn),
 s AS (SELECT investigation_id, max(turn) FILTER (WHERE repl) AS start_turn FROM u GROUP BY 1)
-SELECT investigation_id, 0 AS part, string_agg(text, '' ORDER BY turn) AS text,
+SELECT investigation_id, string_agg(text, '' ORDER BY turn) AS text,
   bool_or(end_turn IS NOT NULL) AS complete, count(*) AS n_chunks
 FROM u JOIN s USING (investigation_id) WHERE start_turn IS NULL OR turn >= start_turn GROUP BY 1""")
 def assemble_reports(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named by the cluster; a local one only in local mode where none is set."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir")
@@ -17,6 +17,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskgraph-"))
         current = sc.getCheckpointDir()
     return current
@@ -28,15 +30,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPREAD_BYTES = 32 * 1024 * 1024
+def packaged(spark: SparkSession) -> None:
+    """Ship this package to executors that don't have it installed (``--py-files`` does the same)."""
+    import os
+    import shutil
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Small input over all cores before per-row work.
-
-    A large table already comes in enough splits and is left alone: the extra shuffle happens
-    only below 32 MB of estimated input per core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="riskgraph-package-"), "riskgraph")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "riskgraph"))

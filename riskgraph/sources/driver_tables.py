@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.base import lookup
 from ..functions.risk import level_to_score, quality_score, score_to_level
 from ..functions.subjects import sha256_hex, subject_id
-from ..session import spread
 
 AS_OF = datetime(2024, 1, 20)
 
@@ -24,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a one-file table dealt over all cores before per-row work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _pad(c: Column | str, prefix: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.concat(F.lit(prefix), F.lpad(c.cast("string"), 8, "0"))
@@ -84,7 +88,7 @@ def subjects(spark, sf_dir) -> DataFrame:
 def order_mentions(spark, sf_dir) -> DataFrame:
     """An order is evidence about its customer that mentions the ordered parts."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("evidence_id"), phone_id("o_custkey").alias("subject_id"),
         F.lit("url").alias("subject_type"), part_url("l_partkey").alias("value"))
@@ -225,11 +229,11 @@ def event_log(spark, sf_dir) -> DataFrame:
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return dealt(table(spark, sf_dir, "pages"))
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def page_titles(spark, sf_dir) -> DataFrame:

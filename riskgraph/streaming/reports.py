@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PART_CHUNKS = 10_000
-
 
 def live_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks that make up the current text of each investigation.
@@ -28,12 +26,8 @@ def live_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def assemble_reports_batch(chunks: DataFrame) -> DataFrame:
-    """Text of each investigation in parts of at most 10 000 chunks (part 0 for usual ones)."""
-    live = live_chunks(chunks).withColumn("part", F.floor(F.col("seq") / PART_CHUNKS))
-    first = live.groupBy("investigation_id").agg(F.min("part").alias("__p"))
-    return live.join(first, "investigation_id").groupBy(
-        "investigation_id", (F.col("part") - F.col("__p")).cast("int").alias("part")
-    ).agg(
+    """Text of each investigation; ``live_chunks`` gives the same as rows."""
+    return live_chunks(chunks).groupBy("investigation_id").agg(
         F.expr("listagg(chunk, '') WITHIN GROUP (ORDER BY seq)").alias("text"),
         F.bool_or("complete").alias("complete"),
         F.count(F.lit(1)).alias("n_chunks"))

@@ -205,13 +205,12 @@ def test_chunks_match_fold(spark):
     assert got == {k: (v, k in closed) for k, v in text.items()}
 
 
-def test_long_reports_come_in_parts(spark):
+def test_long_report_is_one_row(spark):
     df = spark.range(25_000).select(
         F.lit("i").alias("investigation_id"), (F.col("id") + 7_000).alias("seq"),
         F.lit("x").alias("chunk"), F.lit(False).alias("done"), F.lit(False).alias("replace"))
-    parts = reports.assemble_reports_batch(df).orderBy("part").collect()
-    assert [p["part"] for p in parts] == [0, 1, 2, 3]
-    assert sum(len(p["text"]) for p in parts) == 25_000
+    [row] = reports.assemble_reports_batch(df).collect()
+    assert (row["text"], row["n_chunks"]) == ("x" * 25_000, 25_000)
 
 
 def candidates(spark, rows):

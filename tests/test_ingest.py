@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskgraph import schemas as S
 from riskgraph.operators import history, kb, models, risk, summaries
@@ -240,6 +241,54 @@ def test_scoring_retries_and_isolates(spark):
     assert late.where("reused").count() == 0
 
 
+def test_model_runs_once_per_key(spark, tmp_path):
+    """400 inputs, two query ids per key: each key is scored once whatever is done with the outputs."""
+    log = tmp_path / "calls"
+    log.write_text("")
+    inputs = spark.createDataFrame(
+        [(i, str(i % 200), "a", "p", f"in{i % 200}", "x") for i in range(400)],
+        "query_id long, query string, agent_name string, prompt_hash string, input string, result_note string")
+    reuse = spark.createDataFrame([], S.REUSE)
+
+    def fn(pdf):
+        with open(log, "a") as f:
+            f.write("".join(f"{q}\n" for q in pdf["query"]))
+        return pdf.assign(result=[f'{{"q":{q}}}' for q in pdf["query"]])
+
+    scored, stored = models.score_with(inputs, fn, reuse, NOW)
+    rows = scored.collect()
+    assert stored.count() == 200 and len(rows) == 400
+    assert {(r["query_id"], r["result"], r["result_note"]) for r in rows} == {
+        (i, f'{{"q":{i % 200}}}', "x") for i in range(400)}
+    assert len(log.read_text().split()) == 200
+
+
+def test_model_output_readings(spark):
+    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("n", T.IntegerType()),
+                           T.StructField("items", T.ArrayType(T.StringType()))])
+    cases = {
+        '{"url": "a", "n": 1}': ("a", 1, None), '{"other": 1}': None,
+        '{"url": "a", "n": "no"}': None, '{"url": "a \\" {[", "items": ["x"], "n"': ('a " {[', None, ["x"]),
+        '{"url": "a", "items": ["x", "]': ("a", None, ["x"]), '{"url": "a", "items": ["x"': None,
+        '{"url": "a",}': ("a", None, None), "none": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    for r in models.parse_model_output(df, "raw", schema).collect():
+        got = r["parsed"] and tuple(r["parsed"])
+        assert got == cases[r["raw"]], r["raw"]
+
+
+def test_compact_payload(spark):
+    cases = {
+        '{"b": "  x  y ", "a": [1, 2, 3], "c": 1}': '{"a":["1","2"],"b":"x y"}',
+        '{"a": {"x": {"y": "z"}}}': '{"a":{"x":"{\\"y\\":\\"z\\"..."}}',
+        '["q\\"uote", null, 3]': '["q\\"uote",null]', '"toolongtext"': '"toolongt..."', "5": "5", "no json": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    got = {r["p"]: r["out"] for r in summaries.compact_payload(df, "p", 8, 2, 2, "out").collect()}
+    assert got == cases
+
+
 def test_media_files(spark, tmp_path):
     for name, data in [("a.jpg", b"1"), ("b.png", b"1"), ("c.gif", b"22")]:
         (tmp_path / name).write_bytes(data)
