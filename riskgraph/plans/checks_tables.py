@@ -12,6 +12,7 @@ from ..operators import graph, history, kb, metrics, models, ranking, risk, tria
 from ..session import cut_lineage
 from ..sources import driver_tables as D
 from ..streaming import admission, reports, state
+from . import submissions
 from .registry import check
 
 
@@ -829,7 +830,7 @@ def validate_reports(spark, d):
     return triage.validate_reports(D.submissions(spark, d)).select("event_id", "reject_reason")
 
 
-@check("admit_reports", f"""WITH RECURSIVE {Q_SUB},
+Q_FOLD = f"""{Q_SUB},
 s AS (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY ts, event_id) AS rn
       FROM sub WHERE bad IS NULL),
 f(reporter, rn, event_id, outcome, st) AS (
@@ -843,11 +844,46 @@ f(reporter, rn, event_id, outcome, st) AS (
         ELSE 'accepted' END AS outcome FROM (
       SELECT s.reporter, s.rn, s.event_id, s.ts, s.subject,
              list_filter(f.st, lambda x: x.t > s.ts - INTERVAL 24 HOUR) AS live
-      FROM f JOIN s ON s.reporter = f.reporter AND s.rn = f.rn + 1)))
+      FROM f JOIN s ON s.reporter = f.reporter AND s.rn = f.rn + 1)))"""
+
+
+@check("admit_reports", f"""WITH RECURSIVE {Q_FOLD}
 SELECT event_id, outcome FROM f WHERE event_id IS NOT NULL
 UNION ALL SELECT event_id, bad FROM sub WHERE bad IS NOT NULL""")
 def admit_reports(spark, d):
-    return admission.admit_reports_batch(D.submissions(spark, d)).select("event_id", "outcome")
+    once = D.submissions(spark, d)
+    # every submission comes twice under one event id
+    return admission.admit_reports_batch(once.unionByName(once)).select("event_id", "outcome")
+
+
+@check("submit_reports", f"""WITH RECURSIVE {Q_FOLD}
+SELECT sha256('report|' || event_id) AS id, subject AS subject_id, reporter AS reporter_ip_hash, 'pending' AS status,
+  ts AS created_at FROM (SELECT event_id, outcome FROM f WHERE event_id IS NOT NULL) f
+JOIN sub USING (event_id) WHERE outcome = 'accepted'""")
+def submit_reports(spark, d):
+    empty = spark.createDataFrame([], S.REPORTS)
+    _, stored, _ = submissions.submit_reports(D.customers(spark, d), empty, D.submissions(spark, d))
+    return stored.select("id", "subject_id", "reporter_ip_hash", "status", "created_at")
+
+
+@check("submission_subjects", f"""WITH RECURSIVE {Q_FOLD}, {Q_CUSTOMERS},
+t AS (SELECT subject AS id, max(ts) AS ts FROM (SELECT event_id, outcome FROM f WHERE event_id IS NOT NULL) f
+      JOIN sub USING (event_id) WHERE outcome IN ('accepted', 'duplicate') GROUP BY 1)
+SELECT id, greatest(last_seen_at, t.ts) AS last_seen_at FROM customers LEFT JOIN t USING (id)""")
+def submission_subjects(spark, d):
+    empty = spark.createDataFrame([], S.REPORTS)
+    subjects, _, _ = submissions.submit_reports(D.customers(spark, d), empty, D.submissions(spark, d))
+    return subjects.select("id", "last_seen_at")
+
+
+@check("moderate_reports", f"""WITH {Q_CUSTOMERS}, {Q_INV}, {Q_REP.replace('rep AS', 'rep0 AS', 1)}, {Q_DEC},
+rep AS (SELECT rep0.* REPLACE (coalesce(last.status, rep0.status) AS status) FROM rep0 LEFT JOIN last USING (id)), {Q_RISK}
+SELECT id, score AS risk_score, {q_level('score')} AS risk_level, CAST(approved AS INTEGER) AS report_count
+FROM recalc WHERE id IN (SELECT subject_id FROM rep0 JOIN last USING (id))""")
+def moderate_reports(spark, d):
+    _, scores = submissions.moderate_reports(
+        D.customers(spark, d), D.investigations(spark, d), D.user_reports(spark, d), _decisions(spark, d))
+    return scores.select("id", "risk_score", "risk_level", "report_count")
 
 
 # --- gates and small lookups ----------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed_values import REPORTS_PER_DAY
 from ..functions.subjects import reporter_address, sha256_hex, subject_id
+from ..operators.ranking import dedup_first
 from ..operators.triage import validate_reports
 
 DAY_US = 24 * 3600 * 1_000_000
@@ -91,10 +92,11 @@ def _sessions(rows: DataFrame) -> DataFrame:
 def admit_reports_batch(submissions: DataFrame) -> DataFrame:
     """event_id, reporter_ip_hash, subject_id, created_at and the outcome of each submission.
 
-    Invalid submissions never reach the fold.  The others travel as four narrow columns, and
-    the fold streams through the sorted partition holding only the state of one reporter.
+    A repeated event id counts once, at its earliest time.  Invalid submissions never reach the
+    fold.  The others travel as narrow rows through it and come out with their outcome; the fold
+    streams through the sorted partition holding only the state of one reporter.
     """
-    p = prepared(submissions)
+    p = dedup_first(prepared(submissions), ["event_id"], ["created_at", "subject_id"])
     keep = ["event_id", "reporter_ip_hash", "subject_id", "created_at"]
     invalid = p.where(F.col("reject_reason").isNotNull()).select(
         *keep, F.concat(F.lit("invalid:"), F.col("reject_reason")).alias("outcome"))
@@ -114,12 +116,12 @@ def admit_reports_batch(submissions: DataFrame) -> DataFrame:
                 if group[lo] != current:
                     current, state = group[lo], []
                 outcomes[lo:hi], state = decide_run(state, us[lo:hi], subjects[lo:hi])
-            yield pd.DataFrame({"event_id": pdf["event_id"], "outcome": outcomes})
+            yield pdf[keep].assign(outcome=outcomes)
 
-    narrow = ordered.select("event_id", *key, "__us", "subject_id")
+    narrow = ordered.select(*keep, "__session", "__us")
     decided = narrow.mapInPandas(
-        fold, T.StructType([valid.schema["event_id"], T.StructField("outcome", T.StringType())]))
-    return valid.drop("__us").join(decided, "event_id").unionByName(invalid)
+        fold, T.StructType([*(valid.schema[c] for c in keep), T.StructField("outcome", T.StringType())]))
+    return decided.unionByName(invalid)
 
 
 def touched_subjects(outcomes: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def touched_subjects(outcomes: DataFrame) -> DataFrame:
 def accepted_reports(submissions: DataFrame, outcomes: DataFrame) -> DataFrame:
     ok = outcomes.where(F.col("outcome") == "accepted").select(
         "event_id", "subject_id", "reporter_ip_hash")
-    return submissions.join(ok, "event_id")
+    return dedup_first(submissions, ["event_id"], ["created_at"]).join(ok, "event_id")
 
 
 OUTCOME = T.StructType([
@@ -175,12 +177,15 @@ def _admit_group(key, frames, state):
 def admit_reports(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """The same on a stream; the state of a silent reporter goes after 24 hours.
 
-    Reports behind the watermark are dropped by Spark; the stored submissions and
+    Invalid submissions get their outcome too, and an event id repeated within the watermark counts
+    once.  Reports behind the watermark are dropped by Spark; the stored submissions and
     ``admit_reports_batch`` settle those.
     """
-    p = prepared(stream).withWatermark("created_at", watermark)
-    valid = p.where(F.col("reject_reason").isNull()).select(
-        "event_id", "reporter_ip_hash", "subject_id", "created_at",
-        F.unix_micros("created_at").alias("us"))
-    return valid.groupBy("reporter_ip_hash").applyInPandasWithState(
+    p = prepared(stream).withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    keep = ["event_id", "reporter_ip_hash", "subject_id", "created_at"]
+    invalid = p.where(F.col("reject_reason").isNotNull()).select(
+        *keep, F.concat(F.lit("invalid:"), F.col("reject_reason")).alias("outcome"))
+    valid = p.where(F.col("reject_reason").isNull()).select(*keep, F.unix_micros("created_at").alias("us"))
+    decided = valid.groupBy("reporter_ip_hash").applyInPandasWithState(
         _admit_group, OUTCOME, STATE, "append", "EventTimeTimeout")
+    return decided.unionByName(invalid)
