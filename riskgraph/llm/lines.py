@@ -4,7 +4,8 @@ A line goes if an earlier line of the corpus (by document id, then place) equals
 (Levenshtein distance 1 on characters), whether or not that earlier line stays itself. Lines of fewer than
 ``LEAST_CHARS`` characters are too short to tell and stay.
 
-Equal lines are aggregated first. Two lines within one edit agree before and after some segment of the line, so every
+Equal lines are aggregated first, and bitmaps of fixed size keep documents and lines that can't be concerned out of the
+later shuffles. Two lines within one edit agree before and after some segment of the line, so every
 distinct line puts out the hash of "all but segment i" for its few segments, under both lengths the shorter line of a
 pair may have; a hash with one line needs nothing more. For the others the segment's deletion neighbourhood is put out:
 the segment itself and every variant with one character deleted, as hashed keys. Equal keys with a deletion at the same
@@ -22,10 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEAST_CHARS = 20
 #: Lines have two segments, longer ones as many as it takes to keep a segment within so many characters.
 SEGMENT = 500
 NO_ID = -(1 << 63)
+#: Rows of 64 bits of a bitmap that spares rows a shuffle; its size is fixed, an exact join follows it.
+BITMAP_SLOTS = 1 << 17
 LINE_END = "\n"
 
 
@@ -60,41 +65,69 @@ def _suffix(length: Column, i: Column) -> Column:
     return F.greatest(F.lit(0), length - (i + 1) * _width(length))
 
 
-def _segment_keys(line: Column) -> Column:
-    """All but segment i, for both lengths of a pair's shorter line."""
-    n = F.char_length(line)
+def _segment_keys() -> Column:
+    """Hashes of all but segment i of ``line`` (``n`` characters), first for a pair whose shorter line has n - 1
+    characters, then for n."""
+    line, n = F.col("line"), F.col("n")
+
+    def halves(length: Column) -> list[Column]:
+        width = F.ceil(length / 2).cast("int")
+        return [F.xxhash64(F.right(line, length - width), length, F.lit(0)),
+                F.xxhash64(F.substring(line, F.lit(1), width), length, F.lit(1))]
 
-    def under(length: Column) -> Column:
-        def key(i: Column) -> Column:
-            head = F.substring(line, F.lit(1), i * _width(length))
-            tail = F.right(line, _suffix(length, i))
-            return F.struct(
-                F.xxhash64(head, F.lit("|"), tail, length, i).alias("key"), length.alias("length"), i.alias("i"))
+    def many(length: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), _segments(length) - 1), lambda i: F.xxhash64(
+            F.substring(line, F.lit(1), i * _width(length)), F.lit("|"), F.right(line, _suffix(length, i)), length, i))
 
-        return F.transform(F.sequence(F.lit(0), _segments(length) - 1), key)
+    def either(length: Column) -> Column:
+        return F.when(length <= 2 * SEGMENT, F.array(*halves(length))).otherwise(many(length))
 
-    return F.concat(under(n - 1), under(n))
+    return F.when(n <= 2 * SEGMENT, F.array(*halves(n - 1), *halves(n))).otherwise(F.concat(either(n - 1), either(n)))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, first (at, th, pos), times and segment keys of every distinct line."""
-    rows = lines.select(*_line_id(), F.struct("at", "th", "pos").alias("place"), _segment_keys(F.col("line")).alias("keys"))
+    """h1, h2, first (at, th, pos), times, n and segment keys of every distinct line."""
+    rows = lines.withColumn("n", F.char_length("line")).select(
+        *_line_id(), F.struct("at", "th", "pos").alias("place"), "n", _segment_keys().alias("keys"))
     return rows.groupBy("h1", "h2").agg(
-        F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
+        F.min("place").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+
+
+def bitmap(hashes: DataFrame, name: str) -> DataFrame:
+    """(slot, bits): which residues of the hashes occur, in at most ``BITMAP_SLOTS`` rows."""
+    slot = F.shiftright(name, 6).bitwiseAND(F.lit(BITMAP_SLOTS - 1))
+    bit = F.expr(f"shiftleft(1L, CAST({name} & 63L AS INT))")
+    return hashes.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe(rows: DataFrame, name: str, bits: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false only for rows whose hash isn't in the bitmap; no row is shuffled for it."""
+    slot = F.shiftright(name, 6).bitwiseAND(F.lit(BITMAP_SLOTS - 1))
+    hit = F.expr(f"shiftrightunsigned(coalesce(bits, 0L), CAST({name} & 63L AS INT)) & 1L") == 1
+    return rows.withColumn("slot", slot).join(F.broadcast(bits), "slot", "left").withColumn("maybe", hit).drop("slot", "bits")
 
 
 def live_keys(distinct: DataFrame) -> DataFrame:
     """Segment keys that at least two distinct lines have."""
-    keys = distinct.select(F.inline("keys"), "h1")
+    keys = distinct.select(F.explode("keys").alias("key"), "h1")
     return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
 
 
 def candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(key, h1, h2, first, middle): distinct lines with a live key, and the segment that may differ."""
-    wanted = distinct.select(F.inline("keys"), "h1", "h2", "first").join(live_keys(distinct), "key")
-    wanted = wanted.groupBy(F.col("first.at").alias("at"), F.col("first.th").alias("th")).agg(
+    live = stored(live_keys(distinct), "live-keys")
+    keys = distinct.select("h1", "h2", "first", "n", F.posexplode("keys").alias("j", "key"))
+    wanted = maybe(keys, "key", bitmap(live, "key")).filter("maybe").join(live, "key")
+    shorter = _segments(F.col("n") - 1)
+    wanted = wanted.select(
+        "key", "h1", "h2", "first", F.when(F.col("j") < shorter, F.col("n") - 1).otherwise(F.col("n")).alias("length"),
+        F.when(F.col("j") < shorter, F.col("j")).otherwise(F.col("j") - shorter).alias("i"))
+    wanted = stored(wanted.withColumn("doc", F.xxhash64("first.at", "first.th")), "wanted-lines")
+    of_doc = wanted.groupBy(F.col("first.at").alias("at"), F.col("first.th").alias("th")).agg(
         F.collect_list(F.struct("key", "length", "i", "h1", "h2", "first")).alias("wanted"))  # lines of one document
-    found = _keyed(docs).join(wanted, ["at", "th"]).select(F.split("text", LINE_END).alias("lines"), F.explode("wanted").alias("w"))
+    some = maybe(_keyed(docs).withColumn("doc", F.xxhash64("at", "th")), "doc", bitmap(wanted, "doc")).filter("maybe")
+    found = some.dropDuplicates(["at", "th"]).join(of_doc, ["at", "th"]).select(
+        F.split("text", LINE_END).alias("lines"), F.explode("wanted").alias("w"))
     line = F.expr("lines[w.first.pos]")
     start = F.col("w.i") * _width(F.col("w.length"))
     rest = F.char_length(line) - start - _suffix(F.col("w.length"), F.col("w.i"))
@@ -131,12 +164,14 @@ def within_one_edit(found: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """at, th, equal and near: the places of lines that go, and how many of them go for which reason."""
+    """at, th, gone and near_lines: the places of lines that go, and how many of them go as nearly equal."""
     lines = occurrences(docs, least)
-    distinct = distinct_lines(lines)
-    near = within_one_edit(candidates(docs, distinct)).withColumn("near", F.lit(True))
-    verdicts = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").filter("near OR times > 1")
-    gone = lines.select("at", "th", "pos", *_line_id()).join(verdicts, ["h1", "h2"])
+    distinct = stored(distinct_lines(lines), "lines")
+    near = stored(within_one_edit(stored(candidates(docs, distinct), "candidates")), "near-lines").withColumn("near", F.lit(True))
+    verdicts = stored(
+        distinct.filter("times > 1").select("h1", "h2", "first").join(near, ["h1", "h2"], "full"), "verdicts")
+    places = maybe(lines.select("at", "th", "pos", *_line_id()), "h1", bitmap(verdicts, "h1")).filter("maybe")
+    gone = places.join(verdicts, ["h1", "h2"])
     gone = gone.filter(F.coalesce("near", F.lit(False)) | (F.struct("at", "th", "pos") != F.col("first")))
     return gone.groupBy("at", "th").agg(
         F.collect_set("pos").alias("gone"), F.countDistinct(F.when(F.col("near"), F.col("pos"))).alias("near_lines"))
@@ -145,25 +180,29 @@ def removals(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 def deduplicate(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with ``text`` less the lines that go, and ``n_lines``, ``equal_lines``, ``near_lines`` added.
 
-    Other columns keep their values; a null text becomes empty.
+    Other columns keep their values; a null text becomes empty. Texts are shuffled only for documents that change.
     """
     names = docs.columns
+    changes = stored(removals(docs.select("doc_id", "text"), least), "removals").withColumn("doc", F.xxhash64("at", "th"))
     own = docs.select(
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("at"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     text = f"c{names.index('text')}"
-    out = own.join(removals(docs, least), ["at", "th"], "left").withColumn(
-        "lines", F.split(F.coalesce(text, F.lit("")), LINE_END))
-    none = F.array().cast("array<int>")
-    gone = F.coalesce("gone", none)
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(gone, i))
+    own = maybe(own.withColumn("doc", F.xxhash64("at", "th")), "doc", bitmap(changes, "doc")).drop("doc")
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END)
+
+    def result(rows: DataFrame, remaining: Column, equal: Column, near: Column) -> DataFrame:
+        return rows.select(
+            *((remaining if f"c{i}" == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)),
+            F.size(lines).alias("n_lines"), equal.cast("int").alias("equal_lines"), near.cast("int").alias("near_lines"))
+
+    same = result(own.filter("NOT maybe"), F.coalesce(text, F.lit("")), F.lit(0), F.lit(0))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
     near = F.coalesce("near_lines", F.lit(0))
-    return out.select(
-        *(F.array_join(F.when(F.size(gone) > 0, kept).otherwise(F.col("lines")), LINE_END).alias(c) if f"c{i}" == text
-          else F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
-        F.size("lines").alias("n_lines"), (F.size(gone) - near).cast("int").alias("equal_lines"),
-        near.cast("int").alias("near_lines"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), LINE_END)
+    changed = own.filter("maybe").join(changes.drop("doc"), ["at", "th"], "left")
+    return same.unionByName(result(changed, kept, F.size(gone) - near, near))
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
