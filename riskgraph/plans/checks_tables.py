@@ -376,13 +376,48 @@ def history_snapshot(spark, d):
     ).drop("investigation_count", "first_seen")
 
 
-@check("history_payload")
-def history_payload(spark, d):
+def _payloads(spark, d) -> DataFrame:
     return history.history_payload(
-        D.customers(spark, d), D.investigations(spark, d), D.user_reports(spark, d),
+        D.subjects(spark, d), D.investigations(spark, d), D.user_reports(spark, d),
         _links(spark, d), D.evidence(spark, d))
 
 
+Q_PAYLOAD = f"""{Q_CUSTOMERS}, {Q_PARTS}, {Q_LINKS}, {Q_REP}, {Q_EV},
+subjects AS (SELECT id, value, subject_type, risk_level, last_seen_at FROM customers
+  UNION ALL SELECT id, value, subject_type, risk_level, TIMESTAMP '2023-12-01' + to_minutes(p_partkey)
+  FROM parts JOIN part ON {q_part('p_partkey')} = value),
+edges AS (SELECT a AS src, b AS dst, strength FROM links UNION ALL SELECT b, a, strength FROM links),
+near AS (SELECT src AS id, string_agg(value || '/' || risk_level || '/' || CAST(strength AS INTEGER), ' ' ORDER BY rn) AS linked
+  FROM (SELECT src, value, risk_level, strength, row_number() OVER (PARTITION BY src
+          ORDER BY strength DESC, last_seen_at DESC, dst) AS rn FROM edges JOIN subjects ON id = dst)
+  WHERE rn <= 8 GROUP BY src),
+told AS (SELECT subject_id AS id, string_agg(description, ' ' ORDER BY rn) AS reports FROM (
+  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY created_at DESC, id) AS rn FROM rep
+  WHERE status = 'approved') WHERE rn <= 5 GROUP BY 1),
+sig AS (SELECT DISTINCT subject_id, 'signal:' || (k % 20) AS signal FROM ev
+  UNION SELECT DISTINCT subject_id, 'type:' || source FROM ev),
+signs AS (SELECT subject_id AS id, string_agg(signal, ' ' ORDER BY signal) AS signals FROM (
+  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY signal) AS rn FROM sig) WHERE rn <= 12 GROUP BY 1),
+payloads AS (SELECT id, coalesce(linked, '') AS linked, coalesce(reports, '') AS reports, coalesce(signals, '') AS signals
+  FROM subjects LEFT JOIN near USING (id) LEFT JOIN told USING (id) LEFT JOIN signs USING (id))"""
+PAYLOAD = ("summary struct<investigation_count: int>, approved_reports array<struct<description: string>>, "
+           "linked_subjects array<struct<value: string, risk_level: string, strength: double>>, risk_signals array<string>")
+
+
+def _unpacked(payload: str) -> list[Column]:
+    """The parts of a payload text as plain strings."""
+    p = F.from_json(payload, PAYLOAD)
+    linked = F.transform(p["linked_subjects"], lambda x: F.concat_ws("/", x["value"], x["risk_level"], x["strength"].cast("int")))
+    return [F.array_join(linked, " ").alias("linked"),
+            F.array_join(p["approved_reports"]["description"], " ").alias("reports"),
+            F.array_join(p["risk_signals"], " ").alias("signals")]
+
+
+@check("history_payload", f"WITH {Q_PAYLOAD} SELECT * FROM payloads")
+def history_payload(spark, d):
+    return _payloads(spark, d).select("id", *_unpacked("payload"))
+
+
 @check("lookup_subjects", f"""WITH {Q_CUSTOMERS}
 SELECT event_id AS query_id, c.id, c.risk_level FROM events
 JOIN customers c ON c.value = {q_phone('user_id')}""")
@@ -917,18 +952,18 @@ def existing_evidence(spark, d):
     ).select("subject_id", "source_url", "id")
 
 
-@check("with_history", f"""WITH {Q_CUSTOMERS}, {Q_REP}
-SELECT event_id AS query_id, (SELECT count(*) FROM customers c WHERE c.value = {q_phone(f'user_id + {K}')}) > 0
-  AS known FROM events""")
+@check("with_history", f"""WITH {Q_PAYLOAD}
+SELECT event_id AS query_id, p.linked, p.reports, p.signals
+FROM events LEFT JOIN customers c ON c.value = {q_phone(f'user_id + {K}')} LEFT JOIN payloads p ON p.id = c.id""")
 def with_history(spark, d):
-    """Queries for user + k; the payload is present exactly for known subjects."""
+    """Queries for user + k with the payload of known subjects."""
     c = D.customers(spark, d)
     q = D.events(spark, d).select(
         F.col("event_id").alias("query_id"), D.phone(F.col("user_id") + F.col("k")).alias("query"),
         F.lit("phone").alias("query_type"))
-    payloads = c.select("id", F.concat(F.lit("p:"), "value").alias("payload"))
-    return history.with_history(q, c, payloads).select(
-        "query_id", F.col("payload").isNotNull().alias("known"))
+    return history.with_history(q, c, _payloads(spark, d)).select("query_id", *(
+        F.when(F.col("payload").isNotNull(), part).alias(name)
+        for part, name in zip(_unpacked("payload"), ("linked", "reports", "signals"), strict=True)))
 
 
 @check("report_status", """SELECT CAST(user_id AS VARCHAR) AS investigation_id, max_by(event_type, (ts, event_type)) AS status,
