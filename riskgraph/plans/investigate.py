@@ -12,6 +12,7 @@ from ..functions.base import as_of_lit
 from ..functions.risk import level_to_score, quality_score
 from ..functions.subjects import normalize_subject, subject_id
 from ..operators import graph, kb, pages, risk, summaries, triage
+from ..operators.ranking import dedup_first
 from ..session import cut_lineage
 from ..sources.html_nodes import page_nodes
 
@@ -101,13 +102,15 @@ def scored_investigations(finished: DataFrame, as_of: datetime) -> DataFrame:
 def ingest_investigations(tables: Tables, finished: DataFrame, as_of: datetime) -> Tables:
     """finished: schemas.INVESTIGATION_RESULT rows.  Repeating a batch changes nothing."""
     now = as_of_lit(as_of).cast("timestamp")
-    rows = scored_investigations(finished, as_of)
+    # a batch may repeat an id; the cut keeps the scoring out of the plan of every table
+    rows = cut_lineage(dedup_first(
+        scored_investigations(finished, as_of), ["id"], ["confidence", "detective_report"]))
     named = graph.investigation_mentions(rows)
     seen = rows.select(
         F.col("query").alias("value"), F.col("query_type").alias("subject_type"),
         now.alias("seen_at")
     ).unionByName(named.select("value", "subject_type", now.alias("seen_at")))
-    subjects, _ = kb.upsert_subjects(tables["subjects"], seen)
+    subjects = cut_lineage(kb.upsert_subjects(tables["subjects"], seen)[0])
     columns = tables["investigations"].columns
     subjects, investigations = kb.append_investigations(
         subjects, tables["investigations"],

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..schemas import TABLES
 
-PARTITIONS = {"evidence": ["source"]}
+# a source can be a page URL, so evidence is laid out by its few types instead
+PARTITIONS = {"evidence": ["evidence_type"]}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -96,3 +97,18 @@ def write_tables(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
     rows = spark.createDataFrame(sorted(current.items()), "name string, version int")
     write_snapshot(rows.coalesce(1), base, MANIFEST)
     return paths
+
+
+def drop_old_versions(spark: SparkSession, base: str, keep: int = 3) -> dict[str, list[int]]:
+    """Remove all but the last ``keep`` versions of each table, never one that is in force."""
+    current = manifest(spark, base)
+    gone: dict[str, list[int]] = {}
+    for name in [*TABLES, *current, MANIFEST]:
+        found = versions(spark, base, name)
+        old = [v for v in found[:-keep] if v != current.get(name)] if keep else []
+        for v in old:
+            _, fs, path = _fs(spark, f"{base}/{name}/v{v:06d}")
+            fs.delete(path, True)
+        if old:
+            gone[name] = old
+    return gone

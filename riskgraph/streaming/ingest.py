@@ -14,7 +14,7 @@ from ..functions.base import lookup
 from ..functions.risk import found_count
 from ..operators import history, kb, triage
 from ..plans.investigate import engine_results, ingest_investigations
-from ..sources.snapshots import read_tables, write_tables
+from ..sources.snapshots import drop_old_versions, read_tables, write_tables
 
 
 def ingest_batch(base: str, clock: Callable[[], datetime] | None = None):
@@ -51,6 +51,14 @@ def refresh(tables: dict[str, DataFrame], as_of: datetime) -> dict[str, DataFram
     }
 
 
+def run_refresh(spark: SparkSession, base: str, as_of: datetime, keep: int = 3) -> dict[str, str]:
+    """The scheduled job: refresh the stored tables, put the result in force, retire old versions."""
+    out = refresh(read_tables(spark, base), as_of)
+    paths = write_tables({"analysis_cache": out["analysis_cache"], "overview": out["overview"]}, base)
+    drop_old_versions(spark, base, keep)
+    return paths
+
+
 def replay_events(results: DataFrame, include_report: bool = True) -> DataFrame:
     """A stored result as the event rows it produced, in order (``seq`` from 0).
 

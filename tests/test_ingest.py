@@ -141,6 +141,9 @@ def test_investigations(spark, empty, tmp_path):
     assert got == {"0912345678": (0.8, "critical", 1), "0987654321": (0.0, "unknown", 0)}
     assert [tuple(r) for r in first["subject_links"].select("link_type", "strength").collect()] == [
         ("mentioned_together", 1.0)]
+    doubled = INV.ingest_investigations(empty, batch.unionByName(batch), NOW)
+    for name in ("subjects", "investigations", "evidence", "subject_links"):
+        assert sorted(map(str, doubled[name].collect())) == sorted(map(str, out[name].collect())), name
     again = INV.ingest_investigations(first, batch, NOW)
     assert again["evidence"].count() == 1 and again["investigations"].count() == 1
     assert again["subjects"].agg(F.sum("investigation_count")).first()[0] == 1
@@ -241,6 +244,17 @@ def test_scoring_retries_and_isolates(spark):
     assert late.where("reused").count() == 0
 
 
+def test_refresh_job_stores_and_retires(spark, empty, tmp_path):
+    base = str(tmp_path / "store")
+    cache = spark.createDataFrame(
+        [("q", "a", "p", "h", "{}", NOW, NOW + timedelta(hours=h)) for h in (-1, 1)], S.REUSE)
+    write_tables({"analysis_cache": cache}, base)
+    for _ in range(4):
+        ingest.run_refresh(spark, base, NOW, keep=2)
+    assert read_tables(spark, base)["analysis_cache"].count() == 1
+    assert len(versions(spark, base, "analysis_cache")) == 2
+
+
 def test_model_runs_once_per_key(spark, tmp_path):
     """400 inputs, two query ids per key: each key is scored once whatever is done with the outputs."""
     log = tmp_path / "calls"
