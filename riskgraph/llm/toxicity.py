@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, learnable
 
-TOXIC_ROWS = 2000
-CLEAN_ROWS = 4000
+TOXIC_ROWS = 1500
+CLEAN_ROWS = 3000
 FEATURES = 1 << 18
+UNIT_SLOTS = 1 << 22
 STEMS = (4, 5, 6, 7)
 #: Likelihood ratio (twice the log) from which a word or stem is tied to toxic documents.
 TIED = 20.0
@@ -156,36 +157,60 @@ def _facts(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.log1p(p.sum()), p.max() if n else 0.0, 10 * p.sum() / (n + 10)])
 
 
-def _once(texts: list[list[str]]) -> np.ndarray:
-    """False for texts that share the least of their word hashes, by either of two hashes, with an earlier one."""
-    keep, seen = np.ones(len(texts), bool), set()
-    for i, t in enumerate(texts):
-        long = {w for w in t if len(w) >= 6}
-        keys = {(s, min(zlib.crc32(w.encode(), s) for w in long)) for s in (1, 2, 3)} if long else set()
+def _once(ids: list[np.ndarray], hashes: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """False for texts that share the least of their long words' hashes, by one of several hashes, with an earlier one."""
+    keep, seen = np.ones(len(ids), bool), set()
+    for i, t in enumerate(ids):
+        mine = t[long[t]]
+        keys = {(k, int(v)) for k, v in enumerate(hashes[:, mine].min(1))} if len(mine) else set()
         keep[i] = not keys & seen
         seen |= keys
     return keep
 
 
-def tied_units(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words and stems found in toxic documents far more often than their share."""
-    counts: dict[str, list[int]] = {}
-    keep = _once(texts)
-    for t, bad, use in zip(texts, toxic, keep, strict=True):
-        if use:
-            for u in {u for w in set(t) for u in units(w)}:
-                counts.setdefault(u, [0, 0])[int(bad)] += 1
+def tied_words(ids: list[np.ndarray], vocabulary: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Words that are, or have a stem that is, in toxic documents far more often than their share.
+
+    ``ids`` are the distinct words of each text. Words and stems are counted by hash in ``UNIT_SLOTS`` places.
+    """
+    rows = [(k, zlib.crc32(u.encode()) % UNIT_SLOTS) for k, w in enumerate(vocabulary) for u in units(w)]
+    of_word, of_unit = (np.array(c, np.int32) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int32),) * 2
+    bounds = np.searchsorted(of_word, np.arange(len(vocabulary) + 1))
+    hashes = np.array([[zlib.crc32(w.encode(), k) for w in vocabulary] for k in (1, 2, 3)], np.uint32)
+    keep = _once(ids, hashes, np.array([len(w) >= 6 for w in vocabulary], bool))
+    counts = np.zeros((2, UNIT_SLOTS), np.int32)
+    for t, bad, use in zip(ids, toxic, keep, strict=True):
+        if use and len(t):
+            found = np.unique(np.concatenate([of_unit[bounds[k]:bounds[k + 1]] for k in t]))
+            counts[int(bad), found] += 1
     bad, good = int((toxic & keep).sum()), int((~toxic & keep).sum())
     if not bad or not good:
-        return set()
+        return np.zeros(len(vocabulary), bool)
+    n, t = counts.astype(float)
     q = bad / (bad + good)
-    found = set()
-    for u, (n, t) in counts.items():
-        if t >= 3 and t > 10 * n * bad / good:
-            llr = 2 * (t * np.log(t / ((t + n) * q)) + (n * np.log(n / ((t + n) * (1 - q))) if n else 0))
-            if llr >= TIED:
-                found.add(u)
-    return found
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (t * np.log(t / ((t + n) * q)) + np.where(n > 0, n * np.log(n / ((t + n) * (1 - q))), 0))
+        tied = (t >= 3) & (t > 10 * n * bad / good) & (ratio >= TIED)
+    return np.bincount(of_word[tied[of_unit]], minlength=len(vocabulary)) > 0
+
+
+def _blocks(ids: list[np.ndarray], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many tokens."""
+    at, tokens = 0, 0
+    for k, t in enumerate(ids):
+        tokens += len(t)
+        if tokens >= size:
+            yield at, k + 1
+            at, tokens = k + 1, 0
+    if at < len(ids):
+        yield at, len(ids)
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    first = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    first[(ends - sizes)[sizes > 0]] = True
+    return first
 
 
 def learn(texts: list[str], toxic: list[int]) -> Model:
@@ -193,48 +218,50 @@ def learn(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, bool)
     start, step = np.log([0.9, 0.1]), np.log([[0.95, 0.05], [0.7, 0.3]])
     plain = Model(np.zeros(FEATURES), start, step, None, float(y.mean()) if len(y) else 0.0)
-    tokens = [words(t) for t in texts]
-    tied = tied_units(tokens, y) if len(y) else set()
-    if not tied:
-        return plain
     number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in tokens]
+    ids = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
     vocabulary = list(number)
-    is_tied = np.array([any(u in tied for u in units(w)) for w in vocabulary])
+    del number
+    is_tied = tied_words([np.unique(t) for t in ids], vocabulary, y)
+    if not is_tied.any():
+        return plain
     rows = [(k, f) for k, w in enumerate(vocabulary) for f in features(w)]
     of_word, of_feature = (np.array(c, np.int32) for c in zip(*rows, strict=True))
-    word = np.concatenate(ids)
-    sizes = np.array([len(t) for t in ids])
-    label = (is_tied[word] & np.repeat(y, sizes)).astype(float)
-    first = np.zeros(len(word), bool)
-    ends = np.cumsum(sizes)
-    first[(ends - sizes)[sizes > 0]] = True
-    seen = np.bincount(of_feature, np.bincount(word, minlength=len(vocabulary))[of_word], FEATURES)
-    rate = 1 / np.sqrt(np.maximum(seen, 1))  # rare features take longer steps
-
-    weights = np.zeros(FEATURES)
-    later = ~first[1:]
-    l0, l1 = label[:-1][later], label[1:][later]
-    real = np.array([[((1 - l0) * (1 - l1)).sum(), ((1 - l0) * l1).sum()], [(l0 * (1 - l1)).sum(), (l0 * l1).sum()]])
-    speed, size = np.zeros(FEATURES), 1.0
+    del rows
+    blocks = []
+    for a, b in _blocks(ids, BLOCK_TOKENS):
+        word, sizes = np.concatenate(ids[a:b]), np.array([len(t) for t in ids[a:b]])
+        if len(word):
+            blocks.append((word, (is_tied[word] & np.repeat(y[a:b], sizes)).astype(float), _firsts(sizes)))
+    times = sum(np.bincount(word, minlength=len(vocabulary)) for word, _, _ in blocks)
+    rate = 1 / np.sqrt(np.maximum(np.bincount(of_feature, times[of_word], FEATURES), 1))  # rare ones step farther
+
+    weights, speed = np.zeros(FEATURES), np.zeros(FEATURES)
     for _ in range(ROUNDS):
-        emission = np.bincount(of_word, weights[of_feature], len(vocabulary))[word]
-        alpha, beta = chain(emission, first, start, step)
-        p = alpha * beta
-        p /= p.sum(1, keepdims=True)
-        push = np.bincount(word, label - p[:, 1], len(vocabulary))
+        per_word = np.bincount(of_word, weights[of_feature], len(vocabulary))
+        push, real, expected = np.zeros(len(vocabulary)), np.ones((2, 2)), np.ones((2, 2))
+        for word, label, first in blocks:
+            emission = per_word[word]
+            alpha, beta = chain(emission, first, start, step)
+            p = alpha * beta
+            push += np.bincount(word, label - p[:, 1] / p.sum(1), len(vocabulary))
+            later = np.flatnonzero(~first[1:]) + 1
+            np.add.at(real, (label[later - 1].astype(int), label[later].astype(int)), 1)
+            into = beta[later] * np.stack([np.ones(len(later)), np.exp(np.clip(emission[later], -30, 30))], 1)
+            pair = np.exp(step)[None] * alpha[later - 1][:, :, None] * into[:, None, :]
+            expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         grad = np.bincount(of_feature, push[of_word], FEATURES) * rate - 1e-3 * weights
         speed = 0.8 * speed + grad
-        weights = np.clip(weights + size * rate * speed, -12, 12)
-        pair = np.exp(step)[None] * alpha[:-1][later][:, :, None] * (
-            beta[1:] * np.stack([np.ones(len(word) - 1), np.exp(np.clip(emission[1:], -30, 30))], 1))[later][:, None, :]
-        expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        step = step + 0.1 * (np.log(real + 1) - np.log(expected + 1))
+        weights = np.clip(weights + rate * speed, -12, 12)
+        step = step + 0.1 * (np.log(real) - np.log(expected))
     model = Model(weights, start, step, None, plain.share)
-    emission = np.bincount(of_word, weights[of_feature], len(vocabulary))[word]
-    split = np.split(marginals(emission, first, start, step), ends[:-1])
-    x = np.array([_facts(p) for p in split])
-    model.curve = _curve(x, y.astype(float))
+    per_word = np.bincount(of_word, weights[of_feature], len(vocabulary))
+    x = []
+    for a, b in _blocks(ids, BLOCK_TOKENS):
+        sizes = np.array([len(t) for t in ids[a:b]])
+        p = marginals(per_word[np.concatenate(ids[a:b])], _firsts(sizes), start, step)
+        x += [_facts(part) for part in np.split(p, np.cumsum(sizes)[:-1])]
+    model.curve = _curve(np.array(x), y.astype(float))
     return model
 
 
