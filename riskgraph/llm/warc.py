@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, stored
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -155,19 +155,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Revisit records get the payload facts of the response they refer to."""
-    kept = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
-        F.min("page_id").alias("of_page"), F.first("payload_digest").alias("of_digest"),
+    """Revisit records get the payload facts of the response they refer to; responses are not shuffled for it."""
+    responses = found.filter("record_type = 'response'")
+    facts = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kept = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(
+        F.min("page_id").alias("refers_to"), F.first("payload_digest").alias("of_digest"),
         F.first("payload_bytes").alias("of_bytes"))
-    out = found.join(kept, "refers_to_id", "left")
-    return out.select(
-        "page_id", F.coalesce("payload_bytes", "of_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "of_digest").alias("payload_digest"), "record_type",
-        F.when(F.col("record_type") == "revisit", F.col("of_page")).alias("refers_to"))
+    again = found.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to_id").join(
+        kept, "refers_to_id", "left")
+    again = again.withColumnsRenamed({"of_digest": "payload_digest", "of_bytes": "payload_bytes"}).select(*facts)
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*facts).unionByName(again)
 
 
 def deduplicate(pages: DataFrame) -> DataFrame:
     """Write the archives to the shared folder and read them back."""
     path = shared_folder(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return resolve(read_archives(pages.sparkSession, path))
+    return resolve(stored(read_archives(pages.sparkSession, path), "records"))
