@@ -35,7 +35,8 @@ NEAR, FAR = 0.25, 0.62
 LEAST_CELLS = 8
 TRIES = 8
 ROWS_PER_BUCKET = 1024
-MOST_BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 18
+NO_ID = -(1 << 63)
 
 
 def digests(text: Column) -> Column:
@@ -115,32 +116,31 @@ def likeness(a: Column, b: Column, differing: Column) -> Column:
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, place in the bucket, and the text of the next document by ascending doc_id.
+    """at (the id; ``NO_ID`` for none), text, bucket, place in the bucket, and what follows by ascending doc_id.
 
     Buckets are ranges of ids; the first rows of each are copied behind the last of the bucket before it.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("at"))
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
+    rows = docs.select(at.alias("at"), F.coalesce("text", F.lit("")).alias("text"))
     stats = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
     lo, hi, n = stats["lo"] or 0, stats["hi"] or 0, stats["n"]
     buckets = max(1, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)))
     width = (hi - lo) // buckets + 1
 
     def bucket(at: Column) -> Column:
-        return F.when(at < lo, -1).otherwise(F.floor((at - lo) / F.lit(width))).cast("int")
+        # never null, or the join below would filter one of two equal exchanges and neither could be reused
+        return F.coalesce(F.when(at < lo, -1).otherwise(F.floor((at - lo) / F.lit(width))).cast("int"), F.lit(-1))
 
-    rows = rows.withColumn("bucket", bucket(F.col("at")))
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("at"))
-    firsts = ids.withColumn("bucket", bucket(F.col("at"))).groupBy("bucket").agg(F.min("at").alias("at"))
+    firsts = docs.select(at.alias("at")).withColumn("bucket", bucket(F.col("at"))).groupBy("bucket").agg(F.min("at").alias("at"))
     order = W.orderBy("bucket")  # a row per bucket
     last = F.max("bucket").over(W.partitionBy())
-    firsts = firsts.select("at", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
-    rows = rows.join(F.broadcast(firsts), "at", "left")  # at most MOST_BUCKETS rows
-    rows = rows.withColumn("copies", F.when(F.col("before").isNull(), F.array("bucket")).otherwise(F.array("bucket", "before")))
-    rows = rows.select("doc_id", "at", "text", F.posexplode("copies").alias("copy", "bucket"))
+    firsts = firsts.select("at", F.coalesce(F.lag("bucket").over(order), last, F.lit(-1)).alias("before"))
+    own = rows.select("at", "text", bucket(F.col("at")).alias("bucket"), F.lit(0).alias("copy"))
+    copies = rows.join(F.broadcast(firsts), "at").select("at", "text", F.col("before").alias("bucket"), F.lit(1).alias("copy"))
+    rows = own.unionByName(copies).repartition(buckets, "bucket")  # firsts: MOST_BUCKETS rows at most
     w = W.partitionBy("bucket").orderBy("copy", "at", F.xxhash64("text"))
     return rows.select(
-        "doc_id", "text", "bucket", "copy", F.row_number().over(w).alias("pair"), F.lead("text").over(w).alias("next"),
+        "at", "text", "bucket", "copy", F.row_number().over(w).alias("pair"), F.lead("text").over(w).alias("next"),
         F.lead(digests(F.col("text"))).over(w).alias("next_set")).filter("copy = 0").drop("copy")
 
 
@@ -151,7 +151,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut))
     rows = rows.select(
-        "doc_id", "bucket", "pair", n.cast("long").alias("n_chars"), edited.alias("edited"),
+        "at", "bucket", "pair", n.cast("long").alias("n_chars"), edited.alias("edited"),
         digests(F.col("text")).alias("own_set"), digests(edited).alias("edited_set"), "next_set")
 
     def pairs_of(sets: DataFrame, grown: int) -> DataFrame:
@@ -174,7 +174,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     sets = ["own_set", "edited_set", "next_set"]
     base = rows.select(
-        "doc_id", "bucket", "pair", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.when(F.col("at") != NO_ID, F.col("at")).alias("doc_id"), "bucket", "pair", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("own_set")).alias("fingerprint"), printed(F.col("edited_set")).alias("edited_fingerprint"), *sets)
 
     def near(out: DataFrame) -> DataFrame:
