@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     doubling. A hub's links are aggregated before the shuffle and only ever joined against one row per id.
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    nearest = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
+    labels = stored(nearest.select("id", F.least("id", "near").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(
             F.min("component").alias("near"))

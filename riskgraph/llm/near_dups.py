@@ -7,8 +7,9 @@ bits are kept, packed into words, and a candidate pair's similarity is estimated
 chance agreement. Pairs whose estimate isn't far below the threshold are confirmed on the full sets.
 
 Classes of one band are held against a pivot of the band, not against each other: first the smallest, then random
-ones, always leaving out what is already in the pivot's component. Whatever still shares a band across components is
-then held against each other pair by pair, so no candidate pair that could join two components is left untested. With
+ones, always leaving out what is already in the pivot's component. Of what still shares a band across components, a
+set's shingles that no other such set has can't count for any link, so sets with too many of them are done; the others
+of like size and estimate are held against each other. No candidate pair that could join two components is left out. With
 ``BANDS`` bands of ``ROWS`` minima a pair at similarity 0.75 shares none with probability below 1e-5.
 
 A null or empty text has an empty set and is linked with nothing. Rows with one id are one document. Rows without
@@ -34,7 +35,7 @@ BANDS, ROWS = 60, 6
 BITS = 2
 #: Estimates below this are dropped without confirming: five standard deviations under the threshold.
 SCREEN = 0.60
-RANDOM_ROUNDS = 2
+RANDOM_ROUNDS = 1
 #: Words whose hash one worker remembers.
 REMEMBERED = 500_000
 #: Ids of classes without any id start here.
@@ -173,32 +174,48 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return named.unionByName(others)
 
 
-class _Confirmed:
-    """Pairs confirmed so far, and the sets fetched for them."""
+class _Groups:
+    """Components of the links confirmed so far, and the sets fetched for confirming."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
-        self.docs, self.classes, self.sets = docs, classes, None
-        self.links: DataFrame | None = None
+        self.docs, self.sides, self.sets = docs, classes.select("id", "n", "packed"), None
+        self.labels = docs.sparkSession.createDataFrame([], "id long, component long")
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Confirm pairs (a, b) of class ids; whether any is a link."""
-        sides = self.classes.select("id", "packed")
+    def screen(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose estimate isn't far below the threshold."""
+        sides = self.sides
         near = pairs.join(sides.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(
             sides.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
-        near = stored(near.filter(estimate("pa", "pb") >= SCREEN).select("a", "b"), "screened")
-        asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return near.filter(estimate("pa", "pb") >= SCREEN).select("a", "b")
+
+    def fetch(self, asked: DataFrame) -> DataFrame:
+        """Full sets of at least these ids."""
         if self.sets is not None:
             asked = asked.join(self.sets, "id", "left_anti")
         more = stored(_sets(self.docs, asked), "sets")
         self.sets = more if self.sets is None else self.sets.unionByName(more)
-        sets = self.sets
+        return self.sets
+
+    def confirm(self, near: DataFrame) -> None:
+        """Confirm screened pairs on full sets and join the components that they link."""
+        near = stored(near, "screened")
+        sets = self.fetch(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         checked = near.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("found").alias("fb")), "b")
         both = F.size(F.array_intersect("fa", "fb"))
         union = F.size("fa") + F.size("fb") - both
-        links = stored(checked.filter(both * 100 >= union * THRESHOLD).select("a", "b"), "confirmed")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return not links.isEmpty()
+        links = stored(checked.filter(both * 100 >= union * THRESHOLD).select("a", "b"), "links")
+        if links.isEmpty():
+            return
+        # only components that are linked anew take part
+        for end in ("a", "b"):
+            links = links.join(self.labels.withColumnsRenamed({"id": end, "component": "of"}), end, "left").withColumn(
+                end, F.coalesce("of", end)).drop("of")
+        joined = components(links.filter("a <> b").distinct())
+        renamed = joined.select(F.col("component").alias("to"), F.col("id").alias("component"))
+        moved = self.labels.join(renamed, "component", "left").select(
+            "id", F.coalesce("to", "component").alias("component"))
+        self.labels = stored(moved.unionByName(joined.join(self.labels, "id", "left_anti")), "components")
 
 
 #: For DuckDB.
@@ -234,38 +251,39 @@ def groups(docs: DataFrame) -> DataFrame:
     live = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other")
     shared = stored(keys.join(live.select("key", "pivot"), "key"), "bands")
 
-    confirmed = _Confirmed(docs, classes)
-    tested = stored(shared.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    confirmed.add(tested)
-    labels = components(confirmed.links)
+    found = _Groups(docs, classes)
+    found.confirm(found.screen(shared.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()))
 
     def open_bands() -> DataFrame:
         """Rows of bands that still hold several components."""
-        rows = shared.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = shared.select("key", "id").join(found.labels, "id", "left").withColumn(
+            "component", F.coalesce("component", "id"))
         several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         return stored(rows.join(several.select("key"), "key", "left_semi"), "open")
 
-    def new(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return stored(ordered.join(tested, ["a", "b"], "left_anti"), "pairs")
-
-    for turn in range(RANDOM_ROUNDS + 1):
+    for turn in range(RANDOM_ROUNDS):
         rows = open_bands()
-        if rows.isEmpty():
-            break
-        if turn < RANDOM_ROUNDS:
-            die = F.xxhash64("key", "id", F.lit(turn))
-            pivots = rows.groupBy("key").agg(F.min(F.struct(die.alias("die"), "id", "component")).alias("p")).select(
-                "key", F.col("p.id").alias("b"), F.col("p.component").alias("other"))
-            pairs = rows.join(pivots, "key").filter("component <> other").select(F.col("id").alias("a"), "b")
-        else:  # what is left, pair by pair
-            left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "key").filter("a > b AND ca <> cb").select("a", "b")
-        pairs = new(pairs)
-        tested = tested.unionByName(pairs)
-        if confirmed.add(pairs):
-            labels = components(confirmed.links)
+        die = F.xxhash64("key", "id", F.lit(turn))
+        pivots = rows.groupBy("key").agg(F.min(F.struct(die.alias("die"), "id", "component")).alias("p")).select(
+            "key", F.col("p.id").alias("b"), F.col("p.component").alias("other"))
+        pairs = rows.join(pivots, "key").filter("component <> other")
+        found.confirm(found.screen(pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()))
+    # what is left, pair by pair: only where what either set shares with any other is enough for a link
+    rows = open_bands()
+    ids = rows.select("id").distinct()
+    owned = found.fetch(ids).join(ids, "id", "left_semi").select("id", F.explode("found").alias("shingle"))
+    alone = owned.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    sides = found.sides.join(ids, "id", "left_semi").join(alone, "id", "left").withColumn(
+        "most", F.col("n") - F.coalesce("alone", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
+    rows = rows.join(sides, "id")
+    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "most", "packed")), F.col("id").alias("a"))
+    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "most", "packed")), F.col("id").alias("b"))
+    like = (F.least("most_a", "most_b") * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD) & (
+        estimate("packed_a", "packed_b") >= SCREEN)
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & like)
+    found.confirm(pairs.select("a", "b").distinct())
+    labels = found.labels
 
     # one small row per class back onto the documents
     of_class = classes.select("n", "d1", "d2", "id").join(labels, "id", "left").select(
