@@ -35,7 +35,7 @@ BANDS, ROWS = 60, 6
 BITS = 2
 #: Estimates below this are dropped without confirming: five standard deviations under the threshold.
 SCREEN = 0.60
-RANDOM_ROUNDS = 1
+RANDOM_ROUNDS = 3
 #: Words whose hash one worker remembers.
 REMEMBERED = 500_000
 #: Ids of classes without any id start here.
