@@ -34,6 +34,8 @@ UNIT_SLOTS = 1 << 22
 STEMS = (4, 5, 6, 7)
 #: Likelihood ratio (twice the log) from which a word or stem is tied to toxic documents.
 TIED = 20.0
+#: Jaccard similarity of the words of so many letters from which two sampled texts are near copies.
+SAME, LONG = 0.5, 6
 ROUNDS = 40
 THRESHOLD = 0.7
 #: Distinct words remembered by one worker, and tokens run through the chain at a time.
@@ -157,14 +159,31 @@ def _facts(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.log1p(p.sum()), p.max() if n else 0.0, 10 * p.sum() / (n + 10)])
 
 
-def _once(ids: list[np.ndarray], hashes: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """False for texts that share the least of their long words' hashes, by one of several hashes, with an earlier one."""
-    keep, seen = np.ones(len(ids), bool), set()
-    for i, t in enumerate(ids):
-        mine = t[long[t]]
-        keys = {(k, int(v)) for k, v in enumerate(hashes[:, mine].min(1))} if len(mine) else set()
-        keep[i] = not keys & seen
-        seen |= keys
+def _once(ids: list[np.ndarray], long: np.ndarray) -> np.ndarray:
+    """False for texts whose long words agree with those of an earlier kept text: Jaccard of ``SAME`` or more.
+
+    A text of n words reaches that only with a text that has one of its n - ceil(SAME * n) + 1 rarest words among its own
+    so many rarest, so kept texts are listed under those words only, and every text found there is compared in full.
+    """
+    mine = [t[long[t]] for t in ids]
+    times = np.bincount(np.concatenate([*mine, np.zeros(0, np.int64)]).astype(np.int64), minlength=len(long))
+    keep, listed, marked = np.ones(len(ids), bool), {}, np.zeros(len(long), bool)
+    for i, t in enumerate(mine):
+        n = len(t)
+        if not n:
+            continue
+        rare = t[np.lexsort((t, times[t]))][:n - int(np.ceil(SAME * n)) + 1].tolist()
+        near = {k for w in rare for k in listed.get(w, ()) if SAME * n <= len(mine[k]) <= n / SAME}
+        if near:
+            others = [mine[k] for k in near]
+            sizes = np.array([len(o) for o in others])
+            marked[t] = True
+            both = np.add.reduceat(marked[np.concatenate(others)], np.cumsum(sizes) - sizes, dtype=np.int64)
+            marked[t] = False
+            keep[i] = not (both >= SAME * (n + sizes - both)).any()
+        if keep[i]:
+            for w in rare:
+                listed.setdefault(w, []).append(i)
     return keep
 
 
@@ -176,8 +195,7 @@ def tied_words(ids: list[np.ndarray], vocabulary: list[str], toxic: np.ndarray)
     rows = [(k, zlib.crc32(u.encode()) % UNIT_SLOTS) for k, w in enumerate(vocabulary) for u in units(w)]
     of_word, of_unit = (np.array(c, np.int32) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int32),) * 2
     bounds = np.searchsorted(of_word, np.arange(len(vocabulary) + 1))
-    hashes = np.array([[zlib.crc32(w.encode(), k) for w in vocabulary] for k in (1, 2, 3)], np.uint32)
-    keep = _once(ids, hashes, np.array([len(w) >= 6 for w in vocabulary], bool))
+    keep = _once(ids, np.array([len(w) >= LONG for w in vocabulary], bool))
     counts = np.zeros((2, UNIT_SLOTS), np.int32)
     for t, bad, use in zip(ids, toxic, keep, strict=True):
         if use and len(t):

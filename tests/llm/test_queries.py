@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from compare import compare, duck
 
-from riskgraph.llm import decontamination, lines, near_dups, packing, warc
+from riskgraph.llm import decontamination, lines, near_dups, packing, toxicity, warc
 from riskgraph.llm.queries import QUERIES, SQL, tokenizer_path
 
 COLUMNS = {
@@ -89,6 +89,24 @@ def test_toxic_edges(spark, edge_dir):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
 
 
+def test_sampled_texts_are_copies_only_if_alike():
+    import random
+
+    rng = random.Random(9)
+    texts = [{int(600 * rng.random() ** 2) for _ in range(rng.randint(1, 60))} for _ in range(500)]
+    texts += [{w if rng.random() < 0.8 else rng.randrange(600) for w in rng.choice(texts)} for _ in range(300)] + [set()] * 2
+    rng.shuffle(texts)
+    long = np.array([w % 4 > 0 for w in range(600)])
+    kept, want = [], []
+    for t in texts:
+        mine = {w for w in t if long[w]}
+        want.append(not any(2 * len(mine & k) >= len(mine | k) for k in kept if mine))
+        if want[-1]:
+            kept.append(mine)
+    got = toxicity._once([np.array(sorted(t), np.int32) for t in texts], long)
+    assert got.tolist() == want and 400 < sum(want) < 700
+
+
 def test_near_duplicates_on_edges(spark, edge_dir):
     docs = table(edge_dir, "SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL")
     sets = defaultdict(set)
