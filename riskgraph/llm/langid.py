@@ -39,8 +39,8 @@ UNDETERMINED = "und"
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Code points below 0x10000 that are letters."""
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -48,7 +48,7 @@ def grams(text: str) -> Iterator[np.ndarray]:
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
     for at in range(0, len(points), BLOCK):
         c = points[max(0, at - 2):at + BLOCK].astype(np.uint32)
-        letter = _letters()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+        letter = _letters()[c]
         c = np.where(letter, c, np.uint32(32))
         two = c[:-1] * np.uint32(0x01000193) + c[1:]
         three = two[:-1] * np.uint32(0x01000193) + c[2:]

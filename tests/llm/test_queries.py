@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from compare import compare, duck
 
-from riskgraph.llm import decontamination, lines, near_dups, packing, toxicity, warc
+from riskgraph.llm import decontamination, langid, lines, near_dups, packing, toxicity, warc
 from riskgraph.llm.queries import QUERIES, SQL, tokenizer_path
 
 COLUMNS = {
@@ -65,6 +65,17 @@ def test_language(spark, edge_dir):
     assert sum(got[i]["lang_pred"] == want[i] for i in held) >= 0.9 * len(held)
 
 
+def test_letters_of_all_planes(spark):
+    learned = [(i, text, lang) for i in range(60) for text, lang in [("the brown fox jumps", "en"), ("der braune fuchs springt", "de")]]
+    asked = [(1000, "\U0001f600 \U0001f680\U0001f3fb 12 \u20dd", None), (1001, "\U0001d173\U000e0100 \U0001f1e9", None),
+             (1002, "\U00010330\U00010331 \U00010332", None), (1003, "\U0001f600 fox", None), (1004, "\U00020000", None)]
+    docs = spark.createDataFrame(learned + asked, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify_documents(docs).filter("doc_id >= 1000").collect()}
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (1000, 1001)] == [("und", 0)] * 2
+    assert all(got[i]["lang_pred"] in ("en", "de") for i in (1002, 1003, 1004))
+    assert {r["doc_id"] for r in langid.accepted(docs, 40).filter("doc_id >= 1000").collect()} == {1002, 1003, 1004}
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = {r["doc_id"]: r for r in rows(spark, "op1_language_codes", sf_dir)}
     want = [(i, x) for i, x in table(sf_dir, "SELECT doc_id, lang FROM documents") if got[i]["held_out"]]
