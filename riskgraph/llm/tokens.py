@@ -3,7 +3,8 @@
 Both public vocabularies cut a text at a single space between two non-space characters before they merge
 anything, so a text's ids are the ids of its pieces one after the other. Pieces repeat, so their ids are
 remembered as bytes; a piece of plain letters and marks goes straight to the vocabulary's merges, every other
-piece, and every text with uneven white space, through the tokenizer as it is.
+piece, and every text with uneven white space, through the tokenizer as it is. A text that holds the string of one of
+the file's added tokens, which are matched before anything else, goes through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -56,7 +57,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # a token matched in the normalized text may be spelled in any way
+        self.markers = [""] if any(t.normalized for t in added) else [t.content for t in added]
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
         self.line_end = self.whole("\n")
@@ -94,6 +97,8 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Raw ids of the text."""
+        if any(m in text for m in self.markers):
+            return self.whole(text)
         first, *rest = text.split(" ")
         try:
             return self.starts[first] + b"".join(map(self.after.__getitem__, rest))

@@ -227,6 +227,39 @@ def test_packing(spark, edge_dir):
     assert len(filled) == plain_best_fit(list(lengths.elements()), 1024)
 
 
+MARKED = [
+    "end <|endoftext|> next", "end<|endoftext|>next", "a  <|endoftext|>  b", "x.<|endoftext|>\n<|startoftext|>y",
+    "<|startoftext|>", "Two <|endoftext|><|endoftext|>, (<|endoftext|>) é.", "<|ENDOFTEXT|> <|endof text|> <|endoftext|", "plain words"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_with_added_tokens_equal_whole_encoding(name):
+    from tokenizers import Tokenizer
+
+    from riskgraph.llm.tokens import PieceEncoder
+
+    t, enc = Tokenizer.from_file(tokenizer_path(name)), PieceEncoder(tokenizer_path(name))
+    assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in MARKED] == [t.encode(x, add_special_tokens=False).ids for x in MARKED]
+
+
+def test_both_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from riskgraph.llm import token_files
+
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    for name, made in (("byte_bpe_50k.json", packing.pack_documents), ("word_bpe_49k.json", token_files.encode_documents)):
+        t, got, start = Tokenizer.from_file(tokenizer_path(name)), {r["doc_id"]: r for r in made(docs, tokenizer_path(name)).collect()}, 0
+        for i, x in enumerate(MARKED):
+            ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4")
+            assert got[i]["ids_crc32"] == zlib.crc32(ids)
+            if name == "byte_bpe_50k.json":
+                assert got[i]["length"] == len(ids)
+            else:
+                assert (got[i]["start"], got[i]["n_tokens"]) == (start, len(ids))
+            start += len(ids)
+
+
 def plain_best_fit(lengths, capacity):
     left = []
     for n in sorted(lengths, reverse=True):
