@@ -32,6 +32,8 @@ NO_ID = -(1 << 63)
 #: Rows of 64 bits of a bitmap that spares rows a shuffle; its size is fixed, an exact join follows it.
 BITMAP_SLOTS = 1 << 17
 LINE_END = "\n"
+#: A character that isn't white space.
+SEEN = r"[^\s\p{Z}]"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -205,6 +207,29 @@ def deduplicate(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     return same.unionByName(result(changed, kept, F.size(gone) - near, near))
 
 
+def without_stubs(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """``deduplicate`` less the documents that lost lines and have nothing of their own left.
+
+    Of those only short and blank lines are left, and each of the short ones stands in an earlier document too.
+    """
+    names, place, lost = docs.columns, "place of the text", "equal_lines + near_lines > 0"
+    found = deduplicate(docs.withColumn(place, F.xxhash64(F.coalesce("text", F.lit("")))), least)
+    long = F.exists(F.split("text", LINE_END), lambda x: (F.char_length(x) >= least) & x.rlike(SEEN))
+    stubs = stored(found.filter(lost).filter(~long), "stubs")
+    shorts = _keyed(docs).select("at", "th", F.explode(F.split("text", LINE_END)).alias("line"))
+    shorts = shorts.filter((F.char_length("line") < least) & F.col("line").rlike(SEEN)).withColumn("h", F.xxhash64("line"))
+    left = bitmap(stubs.select(F.explode(F.split("text", LINE_END)).alias("line")).select(F.xxhash64("line").alias("h")), "h")
+    firsts = maybe(shorts, "h", left).filter("maybe").groupBy("line").agg(F.min(F.struct("at", "th")).alias("first"))
+    owners = firsts.select("first.at", "first.th").distinct()
+    own = stubs.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(stubs.columns)),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("at"), F.col(f"`{place}`").alias("th"))
+    kept = own.join(owners, ["at", "th"], "left_semi").select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(stubs.columns)))
+    return found.filter(F.expr(f"NOT ({lost})") | long).unionByName(kept).select(
+        *(F.col(f"`{c}`") for c in names), "n_lines", "equal_lines", "near_lines")
+
+
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, equal_lines, near_lines and the remaining text of every document."""
     found = deduplicate(docs.select("doc_id", "text"))

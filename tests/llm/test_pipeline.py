@@ -6,6 +6,7 @@ import zlib
 import corpus_pipeline
 import duckdb
 import numpy as np
+from conftest import write
 from test_queries import plain_best_fit, plain_line_dedup
 
 from riskgraph.llm import packing
@@ -93,3 +94,23 @@ def test_awkward_and_empty_tables(spark, edge_dir, empty_dir):
     assert not left & {200, 201, 203, 10, 206}
     assert {0, 1, 5, 100} <= left
     assert corpus_pipeline.STAGES[-1][1](spark, docs, edge_dir).count() >= len(left)
+
+
+def test_copies_with_short_or_blank_lines_go(spark, tmp_path):
+    long = ["A first line that is long enough to tell from others.", "Quite another sentence closes this little document."]
+    docs = [
+        (1, "Haanth.\n" + "\n".join(long), "en"), (2, "Haanth.\n" + "\n".join(long), "en"),  # a short title
+        (3, "\n\n".join(x[::-1] for x in long), "en"), (4, "\n\n".join(x[::-1] for x in long), "en"),  # blank lines
+        (5, "Haanth.\n \n" + "\n".join(x + "!" for x in long), "en"),  # nearly a copy
+        (6, long[0] + "\nRoses are red,\nviolets blue.", "en"),  # short lines of its own
+        (7, "Roses are red,\n" + long[0] + "\nHaanth.", "en"),  # short lines of several others
+        (8, "Haanth.", "en"),  # has lost nothing
+        (None, "Haanth.\n" + long[0].upper(), "en"),
+    ]
+    folder = write(tmp_path / "copies", docs, [], [], [])
+    out = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts == {
+        1: docs[0][1], 3: docs[2][1], 6: docs[5][1].split("\n", 1)[1], 8: "Haanth.", None: docs[8][1]}
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
+    assert packed >= {1, 3, 6} and not packed & {2, 4, 5, 7}
