@@ -5,7 +5,7 @@ cell of each of three tables; a cell holds how many came, the xor of their diges
 sketches of one size subtract cell by cell: what both texts have cancels out. A cell left with one digest (its check
 fits) is peeled: the digest is recovered and taken out of its other cells, which frees more. When nothing is left, the
 recovered digests are exactly the paragraphs that differ; when cells stay stuck the sketch was too small, and that
-pair is sketched again at twice the size. The likeness of two texts is (a + b - d) / (a + b + d) with their numbers of
+pair is sketched again at twice the size, ``TRIES`` times at most; then its digests are counted from the sets. The likeness of two texts is (a + b - d) / (a + b + d) with their numbers of
 paragraphs and of differing paragraphs.
 
 The printed fingerprint is the sketch of a fixed small size with the number of paragraphs, so equal texts have equal
@@ -144,6 +144,15 @@ def ordered(docs: DataFrame) -> DataFrame:
         F.lead(digests(F.col("text"))).over(w).alias("next_set")).filter("copy = 0").drop("copy")
 
 
+def _counted(stuck: DataFrame) -> DataFrame:
+    """Rows that no size of sketch settled, their differing digests counted from the sets they carry."""
+    def near(other: str) -> Column:
+        differing = F.size(F.array_except("own_set", other)) + F.size(F.array_except(other, "own_set"))
+        return likeness(F.size("own_set"), F.size(other), differing)
+
+    return stuck.withColumn("near_edited", near("edited_set")).withColumn("near_next", near("next_set"))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = ordered(docs)
@@ -195,7 +204,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         again = failed.drop("near_edited", "near_next", "stuck")
         split = again.select("bucket", "pair", *sets).repartition("bucket")
         result = stored(near(again.join(compared(split, attempt), ["bucket", "pair"], "left")), "fingerprints")
-        done.append(result if attempt == TRIES else result.filter("NOT stuck"))
+        done.append(result.filter("NOT stuck"))
+    else:
+        done.append(_counted(result.filter("stuck")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -343,6 +343,22 @@ def test_fingerprints(spark, edge_dir):
     assert len(set(prints.values())) == len({frozenset(re.findall(PIECE, t)) for t in prints})
 
 
+def test_pairs_that_stay_stuck_are_counted(spark, monkeypatch):
+    import re
+
+    from riskgraph.llm import fingerprints
+
+    for name, value in (("TRIES", 1), ("LEAST_CELLS", 1), ("NEAR", 0.001), ("FAR", 0.001)):
+        monkeypatch.setattr(fingerprints, name, value)
+    texts = ["".join(f"Line {k * n % 50} is one of a document.\n" for k in range(40)) for n in (1, 3, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprint_documents(docs).collect()}
+    a = [set(re.findall(fingerprints.PIECE, t)) for t in texts]
+    for i in range(3):
+        b = a[(i + 1) % 3]
+        assert abs(got[i] - len(a[i] & b) / len(a[i] | b)) < 1e-9
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
