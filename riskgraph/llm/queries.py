@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, langid, lines, near_dups, packing, sharding, token_files, toxicity, warc
+from . import (
+    decontamination,
+    fingerprints,
+    langid,
+    lines,
+    near_dups,
+    packing,
+    sharding,
+    token_files,
+    toxicity,
+    url_filters,
+    warc,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +97,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_string_tiling")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_url_trie", url_filters.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
