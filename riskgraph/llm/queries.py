@@ -13,6 +13,7 @@ from . import (
     lines,
     near_dups,
     packing,
+    resampling,
     sharding,
     token_files,
     toxicity,
@@ -102,3 +103,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_url_trie", url_filters.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
+
+
+@query("op11_batch_concatenation", resampling.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
