@@ -11,7 +11,7 @@ links looked up; a key that isn't the one stored in its slot is an error. Vector
 once; if all pairs together need more, the second pass runs once for each such part and the parts' sums are added.
 
 Both vocabularies end a token before a space or line end that stands alone between other characters, so words are aligned
-one by one, and a worker remembers its words' alignments. Special tokens' strings in texts are plain text. Texts that are
+by word: a block's new words are encoded together, and a worker remembers their alignments. Special tokens' strings in texts are plain text. Texts that are
 null or empty, and those whose tokens' bytes differ from the text (a text that holds U+2581), have no tokens: zeros and ''.
 Very long texts are held by one task as a whole, as their groups have one digest, but aligned word by word. Repeated rows are
 documents of their own and count as often; ties at an A id's highest count are all best; rows without id are rows like others. An
@@ -24,6 +24,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .token_files import PerfectHash, _mix
 
 #: Bytes of texts aligned together; words, and bytes of them and their groups, that one worker remembers from one block to the next.
 BLOCK_BYTES = 1 << 20
-REMEMBERED, REMEMBERED_BYTES = 300_000, 48 << 20
+REMEMBERED, REMEMBERED_BYTES = 400_000, 48 << 20
 #: Bits of a pair's code; a block has at most 2**20 texts.
 CODE_BITS = 43
 #: Pairs that one task sums before it puts them out.
@@ -77,49 +78,56 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.width = len(pieces)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        # an id's text inside a group and at the end of its side
+        self.texts = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(self.width) for c in ",;"]
+        self.text_sizes = np.array([len(x) for x in self.texts], np.int64)
         # whether words can be aligned by themselves
         cuts = self.a.pre_tokenizer.pre_tokenize_str(" a b\nc") if self.a.pre_tokenizer else []
         self.by_word = {0, 2, 4, 5} <= {at[0] for _, at in cuts} and not any(
             "\n" in p or "▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, content: str) -> tuple[list[int], list[int]] | None:
+    def encode(self, content: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids by A and B of content, which begins with a space or a line end; None if their bytes are others."""
         a = self.a.encode(content, add_special_tokens=False).ids
-        if content[0] == " ":
-            b = self.b.encode(content[1:])
-        else:
-            b = self.b.encode(content)
+        b = self.b.encode(content[1:] if content[0] == " " else content)
+        if content[0] != " ":
             if self.b_bytes[b[0]] != b" ":
                 return None
             b = b[1:]
         raw = content.encode("utf-8", "surrogatepass")
         same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-        return (a, b) if same else None
-
-    def align(self, content: str) -> tuple[int, int, list[str], list[tuple[int, int]]] | None:
-        """Numbers of A and B tokens, the groups as text, linked id pairs; None if the tokens' bytes are others."""
-        ids = self.encode(content)
-        if ids is None:
-            return None
-        a, b = ids
-        groups, links, i, j, first = [], [], 0, 0, (0, 0)
-        a_end, b_end = (len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])) if a and b else (0, 0)
-        while i < len(a) and j < len(b):
-            links.append((a[i], b[j]))
-            if a_end == b_end:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[first[0]:i])) + "|" + ",".join(map(str, b[first[1]:j])))
-                first = (i, j)
-                if i < len(a):
-                    a_end += len(self.a_bytes[a[i]])
-                    b_end += len(self.b_bytes[b[j]])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(self.a_bytes[a[i]])
-            else:
-                j += 1
-                b_end += len(self.b_bytes[b[j]])
-        return len(a), len(b), groups, links
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else None
+
+    def align(self, contents: list[str]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+        """For parts of the contents in order: numbers of A tokens, B tokens, groups and links of each (-1 where the tokens'
+        bytes are others), the groups as text, the links' codes. They are encoded in one text, as tokens of both end where
+        one content ends; where that isn't so, or bytes differ, in halves."""
+        ids = self.encode("".join(contents))
+        if ids is not None:
+            a, b = ids
+            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in contents])
+            both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+            if np.isin(ends, both, assume_unique=True).all():
+                # what lies between two neighbouring ends of either side belongs to one token of each: a link
+                either = np.union1d(a_ends, b_ends)
+                codes = a[np.searchsorted(a_ends, either)] * self.width + b[np.searchsorted(b_ends, either)]
+                sizes = np.stack([np.bincount(np.searchsorted(ends, e), minlength=len(ends)) for e in (a_ends, b_ends, both, either)], 1)
+                a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+                order = np.argsort(np.concatenate([a_group, b_group]), kind="stable")
+                token = np.concatenate([
+                    2 * a + (both[a_group] == a_ends), 2 * (len(self.a_bytes) + b) + (both[b_group] == b_ends)])[order]
+                text = "".join(map(self.texts.__getitem__, token.tolist())).encode()
+                last = np.cumsum(self.text_sizes[token])[np.cumsum(sizes[:, 0] + sizes[:, 1]) - 1].tolist()
+                yield sizes, [text[s:e - 1] for s, e in zip([0, *last], last, strict=False)], codes
+                return
+        if len(contents) == 1:
+            yield np.array([[-1, -1, -1, 0]]), [b""], np.zeros(0, np.int64)
+            return
+        half = len(contents) // 2
+        yield from self.align(contents[:half])
+        yield from self.align(contents[half:])
 
 
 class Words(dict):
@@ -128,32 +136,26 @@ class Words(dict):
     def __init__(self, pair: Pair) -> None:
         super().__init__()
         self.pair = pair
-        self.sizes = array("q")  # tokens of A and B, groups; -1 each where the bytes differ
+        self.sizes = array("q")  # tokens of A and B, groups, links; -1 where the bytes differ
         self.groups: list[bytes] = []
         self.codes = array("q")  # links
-        self.ends = array("q", [0])  # of each word's links
+        self.new: list[str] = []  # not aligned yet
+        self.alone: list[int] = []  # of these, what stands beside more white space or can't be aligned
         self.bytes = 0
 
     def __missing__(self, key: str) -> int:
         if key[:1] == " ":
+            self.alone.append(len(self.new))
             content = key
         else:
             core = key[1:] if key[:1] == "\n" else key
             if not core or core[0].isspace() or core[-1].isspace():
                 raise _Uneven
             content = key if key[0] == "\n" else " " + key
-        found = self.pair.align(content)
-        if found is None:
-            self.sizes.extend((-1, -1, -1))
-            self.groups.append(b"")
-        else:
-            n_a, n_b, groups, links = found
-            self.sizes.extend((n_a, n_b, len(groups)))
-            self.groups.append(";".join(groups).encode())
-            self.codes.extend(a * self.pair.width + b for a, b in links)
-        self.ends.append(len(self.codes))
-        self.bytes += len(key) + len(self.groups[-1])
-        self[key] = len(self.groups) - 1
+            if "▁" in key:
+                self.alone.append(len(self.new))
+        self.new.append(content)
+        self[key] = len(self)
         return self[key]
 
     def of_text(self, text: str) -> list[int]:
@@ -167,17 +169,37 @@ class Words(dict):
         except _Uneven:
             return [self[" " + w] for w in _SINGLE_SPACE.split(text)]
 
+    def align(self) -> None:
+        """The new words."""
+        at = 0
+        for i in [*self.alone, len(self.new)]:
+            for part in (self.new[at:i], self.new[i:i + 1]):
+                for sizes, groups, codes in self.pair.align(part) if part else ():
+                    self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+                    self.groups += groups
+                    self.codes.frombytes(codes.tobytes())
+                    self.bytes += sum(map(len, part)) + sum(map(len, groups))
+            at = i + 1
+        self.new, self.alone = [], []
+
     def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(words' numbers, ends of texts); a text with a word whose bytes differ has none."""
         found = [self.of_text(t.decode("utf-8", "surrogatepass")) for t in texts]
-        sizes = np.frombuffer(self.sizes, np.int64)[::3] if self.sizes else np.zeros(0, np.int64)
-        found = [f if f and sizes[f].min() >= 0 else [] for f in found]
-        return (np.fromiter((x for f in found for x in f), np.int64, sum(map(len, found))),
-                np.cumsum([len(f) for f in found]))
+        self.align()
+        ends = np.cumsum([len(f) for f in found])
+        numbers = np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1]))
+        odd = np.frombuffer(self.sizes, np.int64)[::4][numbers] < 0 if len(numbers) else np.zeros(0, bool)
+        if odd.any():
+            of = np.searchsorted(ends, np.arange(len(numbers)), "right")
+            gone = np.bincount(of, weights=odd, minlength=len(texts)) > 0
+            numbers = numbers[~gone[of]]
+            ends = np.cumsum(np.where(gone, 0, np.diff(ends, prepend=0)))
+        return numbers, ends
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all words, places where each word's begin, one more at the end)."""
-        return np.array(self.codes, np.int64), np.array(self.ends, np.int64)
+        n = np.array(self.sizes, np.int64).reshape(-1, 4)[:, 3]
+        return np.array(self.codes, np.int64), np.concatenate([[0], np.cumsum(n)])
 
 
 _words: dict[tuple[str, str], Words] = {}
@@ -199,6 +221,13 @@ def _spread(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, at
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each occurs."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keys, place = np.unique(np.concatenate(codes), return_inverse=True)
     return keys, np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
@@ -227,10 +256,11 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     continue
                 link_codes, starts = words.links()
                 of = np.searchsorted(ends, np.arange(len(numbers)), "right")
-                once = np.unique(of * len(words.groups) + numbers)
+                once, _ = _distinct(of * len(words.groups) + numbers)
                 owner, at = _spread(once % len(words.groups), starts)
-                in_doc = np.unique((once[owner] // len(words.groups) << CODE_BITS) + link_codes[at])  # a block has few enough texts
-                keys, n = np.unique(in_doc & ((1 << CODE_BITS) - 1), return_counts=True)
+                # a block has few enough texts for the rest of the bits
+                in_doc, _ = _distinct((once[owner] // len(words.groups) << CODE_BITS) + link_codes[at])
+                keys, n = _distinct(in_doc & ((1 << CODE_BITS) - 1))
                 codes.append(keys)
                 counts.append(n)
                 held += len(keys)
@@ -340,7 +370,7 @@ class Lookup:
         more = len(words.groups) - len(self.sums)
         self.sums = np.concatenate([self.sums, np.full(more, -1)])
         self.bests = np.concatenate([self.bests, np.zeros(more, np.int64)])
-        new = np.unique(numbers)
+        new, _ = _distinct(numbers)
         new = new[self.sums[new] < 0]
         owner, at = _spread(new, starts)
         found = self.counts(codes[at])
@@ -365,8 +395,8 @@ def _measured(docs: DataFrame, a_path: str, b_path: str, lookup) -> DataFrame:
                 numbers, ends = words.of_texts(texts)
                 codes, starts = words.links()
                 sums, bests = lookup.value.of_words(words, numbers, codes, starts)
-                sizes = np.array(words.sizes, np.int64).reshape(-1, 3)
-                per_word = [sizes[:, 0], sizes[:, 1], sizes[:, 2], np.diff(starts), bests, sums]
+                sizes = np.array(words.sizes, np.int64).reshape(-1, 4)
+                per_word = [*sizes.T, bests, sums]
                 bounds = np.concatenate([[0], ends])
                 columns = [pa.array(np.diff(np.concatenate([[0], np.cumsum(v[numbers])])[bounds])) for v in per_word]
                 numbers_list, b = numbers.tolist(), bounds.tolist()
