@@ -13,7 +13,8 @@ place are a substitution, and all such lines are within one edit of each other,
 only; a segment equal to another's variant is an insertion. Such groups are bounded by the alphabet and the segment's
 length. The pairs found are verified by edit distance.
 
-A null text is one empty line. Rows with equal id and text stand for one document and are treated alike; documents
+A text of any length is split into its lines, a line of any length into segments of at most ``SEGMENT`` characters. Of lines
+equal to the earliest nothing else breaks a tie, as their places differ. A null text is one empty line. Rows with equal id and text stand for one document and are treated alike; documents
 without id come first. An empty table gives an empty result.
 """
 
@@ -179,11 +180,9 @@ def removals(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
         F.collect_set("pos").alias("gone"), F.countDistinct(F.when(F.col("near"), F.col("pos"))).alias("near_lines"))
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with ``text`` less the lines that go, and ``n_lines``, ``equal_lines``, ``near_lines`` added.
-
-    Other columns keep their values; a null text becomes empty. Texts are shuffled only for documents that change.
-    """
+def _changed(docs: DataFrame, least: int) -> DataFrame:
+    """The columns of ``docs`` as c0, c1 and so on, ``text`` less the lines that go; at and th of the text as it was, and
+    n_lines, equal_lines, near_lines. Texts are shuffled only for documents that change."""
     names = docs.columns
     changes = stored(removals(docs.select("doc_id", "text"), least), "removals").withColumn("doc", F.xxhash64("at", "th"))
     own = docs.select(
@@ -196,7 +195,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
     def result(rows: DataFrame, remaining: Column, equal: Column, near: Column) -> DataFrame:
         return rows.select(
-            *((remaining if f"c{i}" == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)),
+            *((remaining if f"c{i}" == text else F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))), "at", "th",
             F.size(lines).alias("n_lines"), equal.cast("int").alias("equal_lines"), near.cast("int").alias("near_lines"))
 
     same = result(own.filter("NOT maybe"), F.coalesce(text, F.lit("")), F.lit(0), F.lit(0))
@@ -208,32 +207,30 @@ def deduplicate(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
 
 def without_stubs(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``deduplicate`` less the documents that lost lines and have nothing of their own left.
+    """``docs`` with ``text`` less the lines that go, less the documents that lost lines and have nothing of their own left.
 
-    Of those only short and blank lines are left, and each of the short ones stands in an earlier document too.
+    Of those only short and blank lines are left, and each of the short ones stands in an earlier document too. Other
+    columns keep their names and values, whatever they are called; a null text becomes empty.
     """
-    names, place, lost = docs.columns, "place of the text", "equal_lines + near_lines > 0"
-    found = deduplicate(docs.withColumn(place, F.xxhash64(F.coalesce("text", F.lit("")))), least)
-    long = F.exists(F.split("text", LINE_END), lambda x: (F.char_length(x) >= least) & x.rlike(SEEN))
+    names, lost = docs.columns, "equal_lines + near_lines > 0"
+    text = f"c{names.index('text')}"
+    found = _changed(docs, least)
+    long = F.exists(F.split(text, LINE_END), lambda x: (F.char_length(x) >= least) & x.rlike(SEEN))
     stubs = stored(found.filter(lost).filter(~long), "stubs")
     shorts = _keyed(docs).select("at", "th", F.explode(F.split("text", LINE_END)).alias("line"))
     shorts = shorts.filter((F.char_length("line") < least) & F.col("line").rlike(SEEN)).withColumn("h", F.xxhash64("line"))
-    left = bitmap(stubs.select(F.explode(F.split("text", LINE_END)).alias("line")).select(F.xxhash64("line").alias("h")), "h")
+    left = bitmap(stubs.select(F.explode(F.split(text, LINE_END)).alias("line")).select(F.xxhash64("line").alias("h")), "h")
     firsts = maybe(shorts, "h", left).filter("maybe").groupBy("line").agg(F.min(F.struct("at", "th")).alias("first"))
     owners = firsts.select("first.at", "first.th").distinct()
-    own = stubs.select(
-        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(stubs.columns)),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("at"), F.col(f"`{place}`").alias("th"))
-    kept = own.join(owners, ["at", "th"], "left_semi").select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(stubs.columns)))
+    kept = stubs.join(owners, ["at", "th"], "left_semi")
     return found.filter(F.expr(f"NOT ({lost})") | long).unionByName(kept).select(
-        *(F.col(f"`{c}`") for c in names), "n_lines", "equal_lines", "near_lines")
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, equal_lines, near_lines and the remaining text of every document."""
-    found = deduplicate(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "equal_lines", "near_lines", "text")
+    return _changed(docs.select("doc_id", "text"), LEAST_CHARS).select(
+        F.col("c0").alias("doc_id"), "n_lines", "equal_lines", "near_lines", F.col("c1").alias("text"))
 
 
 #: For DuckDB: halves instead of segments, all pairs that share one, distance 1 or equality, earlier by (doc_id, pos).

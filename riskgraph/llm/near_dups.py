@@ -9,10 +9,11 @@ chance agreement. Pairs whose estimate isn't far below the threshold are confirm
 Classes of one band are held against a pivot of the band, not against each other: first the smallest, then random
 ones, always leaving out what is already in the pivot's component. Of what still shares a band across components, a
 set's shingles that no other such set has can't count for any link, so sets with too many of them are done; the others
-of like size and estimate are held against each other. No candidate pair that could join two components is left out. With
+of like size are held against each other. Each pair is first estimated from a longer signature made with the sets, and only
+pairs that aren't below the threshold there get their sets. A pair at 0.75 is dropped by it with probability below 1e-5. With
 ``BANDS`` bands of ``ROWS`` minima a pair at similarity 0.75 shares none with probability below 1e-5.
 
-A null or empty text has an empty set and is linked with nothing. Rows with one id are one document. Rows without
+A text of any length is one row and one set. Ties at the threshold are links. A null or empty text has an empty set and is linked with nothing. Rows with one id are one document. Rows without
 id take part, but a component of only such rows has no id, and of them only those are kept that have no other
 document's id to give way to. An empty table gives an empty result.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
+from .lines import bitmap, maybe
 
 WORDS = 5
 THRESHOLD = 75  # hundredths of the union
@@ -35,12 +37,15 @@ BANDS, ROWS = 60, 6
 BITS = 2
 #: Estimates below this are dropped without confirming: five standard deviations under the threshold.
 SCREEN = 0.60
+#: Minima of the longer signature of classes whose sets are fetched, and the estimate from it below which a pair is dropped
+#: before it gets any set: 4.5 standard deviations under the threshold.
+LONG_ROWS, LONG_SCREEN = 1024, 0.675
 RANDOM_ROUNDS = 3
 #: Words whose hash one worker remembers.
 REMEMBERED = 500_000
 #: Ids of classes without any id start here.
 UNNAMED = 1 << 62
-SET_ROWS = "id long, found array<long>"
+SET_ROWS = "id long, found array<long>, long array<long>"
 
 _MULTIPLY = [np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -79,10 +84,9 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(2024)
-    return (rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1),
-            rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32))
+def _seeds(n: int = BANDS * ROWS, start: int = 2024) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(start)
+    return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
 def minima(found: np.ndarray, times: np.ndarray, flip: np.ndarray) -> np.ndarray:
@@ -143,33 +147,44 @@ def signatures(docs: DataFrame) -> DataFrame:
         sign, "doc_id long, th long, n long, d1 long, d2 long, bands array<long>, packed array<long>")
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from packed bits: share of equal minima, less what agrees by chance."""
+def estimate(a: str, b: str, rows: int = BANDS * ROWS) -> Column:
+    """Similarity from packed bits of so many minima: share of equal ones, less what agrees by chance."""
     pairs = 0x5555555555555555
     differing = F.expr(
         f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1)) & {pairs}L)), 0, (s, v) -> s + v)")
     chance = 1 / (1 << BITS)
-    return ((1 - differing / (BANDS * ROWS)) - chance) / (1 - chance)
+    return ((1 - differing / rows) - chance) / (1 - chance)
 
 
 def _digest(found: np.ndarray) -> int:
     return int(_mix(found).sum(dtype=np.uint64).view(np.int64)) if len(found) else 0
 
 
+def _of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` joined with one row per wanted key; a bitmap of fixed size keeps most others out of the shuffle."""
+    hashed = rows.filter(F.col(key).isNotNull()).withColumn("hash", F.xxhash64(key))
+    names = rows.columns
+    some = maybe(hashed, "hash", bitmap(wanted.select(F.xxhash64(key).alias("hash")), "hash")).filter("maybe")
+    return some.join(wanted, key).select(*names, *(c for c in wanted.columns if c != key))
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, found): full sets of the classes that pairs ask for."""
+    """(id, found, long): full sets of the classes that pairs ask for, and the low bits of ``LONG_ROWS`` other minima."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, flip = _seeds(LONG_ROWS, 7)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [shingles(v.as_py()) for v in part.column(1)]
                 names = [_unnamed(_digest(f)) if k is None else k for k, f in zip(part.column(0).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
-                    ["id", "found"])
+                    [pa.array(names, pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
+                     pa.array([packed(minima(f, times, flip)) for f in found], pa.list_(pa.int64()))],
+                    ["id", "found", "long"])
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    named = texts.join(ids, "id", "left_semi").mapInArrow(build, SET_ROWS)
+    ids = stored(ids, "asked")
+    named = _of(texts, "id", ids).mapInArrow(build, SET_ROWS)
     others = texts.filter("id IS NULL").mapInArrow(build, SET_ROWS).join(ids, "id", "left_semi")
     return named.unionByName(others)
 
@@ -200,7 +215,11 @@ class _Groups:
         """Confirm screened pairs on full sets and join the components that they link."""
         near = stored(near, "screened")
         sets = self.fetch(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        checked = near.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a").join(
+        close = near
+        for end in ("a", "b"):
+            close = close.join(sets.select(F.col("id").alias(end), F.col("long").alias(f"long_{end}")), end)
+        close = stored(close.filter(estimate("long_a", "long_b", LONG_ROWS) >= LONG_SCREEN).select("a", "b"), "close")
+        checked = close.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("found").alias("fb")), "b")
         both = F.size(F.array_intersect("fa", "fb"))
         union = F.size("fa") + F.size("fb") - both
@@ -249,7 +268,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     keys = classes.select("id", F.explode("bands").alias("key"))
     live = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other")
-    shared = stored(keys.join(live.select("key", "pivot"), "key"), "bands")
+    live = stored(live.select("key", "pivot"), "live-bands")
+    shared = stored(_of(keys, "key", live), "bands")
 
     found = _Groups(docs, classes)
     found.confirm(found.screen(shared.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()))
@@ -263,24 +283,26 @@ def groups(docs: DataFrame) -> DataFrame:
 
     for turn in range(RANDOM_ROUNDS):
         rows = open_bands()
-        die = F.xxhash64("key", "id", F.lit(turn))
+        die = F.xxhash64("id", F.lit(turn))  # one for all bands, so that bands of one group share pivots
         pivots = rows.groupBy("key").agg(F.min(F.struct(die.alias("die"), "id", "component")).alias("p")).select(
             "key", F.col("p.id").alias("b"), F.col("p.component").alias("other"))
         pairs = rows.join(pivots, "key").filter("component <> other")
         found.confirm(found.screen(pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()))
     # what is left, pair by pair: only where what either set shares with any other is enough for a link
     rows = open_bands()
-    ids = rows.select("id").distinct()
-    owned = found.fetch(ids).join(ids, "id", "left_semi").select("id", F.explode("found").alias("shingle"))
+    ids = stored(rows.select("id").distinct(), "open-ids")
+    full = found.fetch(ids).join(ids, "id", "left_semi")
+    owned = full.select("id", F.explode("found").alias("shingle"))
     alone = owned.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
     alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
     sides = found.sides.join(ids, "id", "left_semi").join(alone, "id", "left").withColumn(
         "most", F.col("n") - F.coalesce("alone", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
+    sides = stored(sides.drop("packed").join(full.select("id", "long"), "id"), "open-classes")
     rows = rows.join(sides, "id")
-    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "most", "packed")), F.col("id").alias("a"))
-    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "most", "packed")), F.col("id").alias("b"))
+    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "most", "long")), F.col("id").alias("a"))
+    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "most", "long")), F.col("id").alias("b"))
     like = (F.least("most_a", "most_b") * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD) & (
-        estimate("packed_a", "packed_b") >= SCREEN)
+        estimate("long_a", "long_b", LONG_ROWS) >= LONG_SCREEN)
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & like)
     found.confirm(pairs.select("a", "b").distinct())
     labels = found.labels

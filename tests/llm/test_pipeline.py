@@ -6,10 +6,11 @@ import zlib
 import corpus_pipeline
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 from conftest import write
 from test_queries import plain_best_fit, plain_line_dedup
 
-from riskgraph.llm import packing
+from riskgraph.llm import lines, packing
 from riskgraph.llm.common import stored
 from riskgraph.llm.queries import tokenizer_path
 
@@ -49,6 +50,19 @@ def plain_contaminated(text, items):
     return False
 
 
+def plain_without_stubs(docs):
+    """Documents that lost lines go if what is left is blank or short, and all of it stands in an earlier document."""
+    left, earlier, out = plain_line_dedup(sorted(docs.items())), set(), {}
+    short = lambda x: len(x) < lines.LEAST_CHARS
+    for i, text in sorted(docs.items()):
+        kept = [x for x in left[i].split("\n") if x.strip()]
+        own = [x for x in kept if not short(x) or x not in earlier]
+        if len(left[i].split("\n")) == len(text.split("\n")) and left[i] or own or (not text and not left[i]):
+            out[i] = left[i]
+        earlier |= {x for x in text.split("\n") if short(x)}
+    return out
+
+
 def test_stages_equal_plain(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
@@ -61,8 +75,7 @@ def test_stages_equal_plain(spark, sf_dir):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{sf_dir}/documents.parquet')").fetchall())
     got = {n: {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()} for n, d in held.items() if n != "pack"}
     assert got["language_id"] == {i: t for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
-    left = plain_line_dedup(sorted(got["language_id"].items()))
-    assert got["line_dedup"] == {i: t for i, t in left.items() if t or not got["language_id"][i]}
+    assert got["line_dedup"] == plain_without_stubs(got["language_id"])
     assert all(r["n_chars"] == len(r["text"]) for r in held["line_dedup"].collect())
     assert got["near_dedup"] == plain_near(got["line_dedup"])
     items = [r[0] for r in duckdb.sql(f"SELECT text FROM read_parquet('{sf_dir}/benchmark.parquet')").fetchall()]
@@ -114,3 +127,16 @@ def test_copies_with_short_or_blank_lines_go(spark, tmp_path):
         1: docs[0][1], 3: docs[2][1], 6: docs[5][1].split("\n", 1)[1], 8: "Haanth.", None: docs[8][1]}
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert packed >= {1, 3, 6} and not packed & {2, 4, 5, 7}
+
+
+def test_clashing_and_dotted_columns(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    extra = ["n_lines", "near_lines", "equal_lines", "a.b", "c0", "at", "th", "own_0", "lang_pred", "maybe", "kept", "place of the text"]
+    wide = docs.drop(*extra).select("*", *(F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = wide.columns
+        wide = stored(stage(spark, wide, edge_dir), name)
+        assert wide.columns == columns
+        for r in wide.collect():
+            assert all(r[c] == f"{c} {'none' if r['doc_id'] is None else r['doc_id']}" for c in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, edge_dir).count() > 0

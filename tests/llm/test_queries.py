@@ -206,7 +206,6 @@ def test_packing(spark, edge_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = rows(spark, "op7_best_fit_packing", edge_dir)
     want, lengths = Counter(), Counter()
     for i, text in table(edge_dir, "SELECT doc_id, text FROM documents"):
@@ -290,7 +289,6 @@ def test_token_files(spark, edge_dir, tmp_path):
     from riskgraph.llm import token_files
 
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     docs = table(edge_dir, "SELECT doc_id, text FROM documents ORDER BY doc_id NULLS FIRST, text")
     ids = [(i, np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")) for i, x in docs]
     got = rows(spark, "op10_token_files", edge_dir)
@@ -302,6 +300,9 @@ def test_token_files(spark, edge_dir, tmp_path):
     for r in got:
         if r["doc_id"] not in (None, 213):
             assert r["start"] == starts[r["doc_id"]]
+    for i in (None, 213):  # repeated ids stand beside each other in any order
+        own = sorted((r["start"], r["n_tokens"]) for r in got if r["doc_id"] == i)
+        assert [s for s, _ in own] == [starts[i] + sum(n for _, n in own[:k]) for k in range(len(own))]
     path = str(tmp_path / "t")
     token_files.write_token_files(spark.read.parquet(f"{edge_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"), path, file_bytes=9000)
     wanted = spark.createDataFrame([(5,), (213,), (9999,), (None,), (-5,)], "doc_id long")
@@ -449,3 +450,42 @@ def test_decontamination_edges(spark, edge_dir):
     got = {r["doc_id"]: r for r in rows(spark, "op3_string_tiling", edge_dir)}
     assert got[10]["contaminated"] and got[10]["item_id"] == 1 and got[10]["covered"] == 1.0 and got[10]["items"] == 2
     assert not any(r["contaminated"] for i, r in got.items() if i != 10)
+
+
+def test_pairs_below_the_threshold_need_no_sets(spark, monkeypatch):
+    import random
+
+    held = {}
+
+    def counted(df, name, stored=near_dups.stored):
+        out = stored(df, name)
+        held[name] = held.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    close = []
+    for n in (100, 200):
+        rng = random.Random(3)
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts = []
+        for _ in range(n):  # any two at similarity 0.62, about
+            words = list(base)
+            for at in rng.sample(range(300), 7):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        linked = texts[5].split()
+        linked[0] = "other"
+        texts.append(" ".join(linked))
+        held.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_dups.duplicates(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+        label = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    x, y = sorted((label[a], label[b]))
+                    label = [x if v == y else v for v in label]
+        assert got == dict(enumerate(label))
+        close.append(held["close"])
+    assert close[1] < 0.1 * 200 * 199 / 2
