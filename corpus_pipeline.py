@@ -26,8 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go; so do documents of which nothing of their own is left: copies with short or
     blank lines between the others. n_chars follows the text."""
-    found = lines.without_stubs(docs)
-    out = found.select(*docs.columns)
+    out = lines.without_stubs(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
 
