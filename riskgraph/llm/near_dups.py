@@ -38,8 +38,8 @@ BITS = 2
 #: Estimates below this are dropped without confirming: five standard deviations under the threshold.
 SCREEN = 0.60
 #: Minima of the longer signature of classes whose sets are fetched, and the estimate from it below which a pair is dropped
-#: before it gets any set: 4.5 standard deviations under the threshold.
-LONG_ROWS, LONG_SCREEN = 1024, 0.675
+#: before it gets any set: 4.3 standard deviations under the threshold.
+LONG_ROWS, LONG_SCREEN = 2048, 0.70
 RANDOM_ROUNDS = 3
 #: Words whose hash one worker remembers.
 REMEMBERED = 500_000

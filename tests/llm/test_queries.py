@@ -468,7 +468,7 @@ def test_pairs_below_the_threshold_need_no_sets(spark, monkeypatch):
         rng = random.Random(3)
         base = [f"w{rng.randrange(5000)}" for _ in range(300)]
         texts = []
-        for _ in range(n):  # any two at similarity 0.62, about
+        for _ in range(n):  # any two at similarity 0.65, about
             words = list(base)
             for at in rng.sample(range(300), 7):
                 words[at] = f"x{rng.randrange(10**6)}"
@@ -488,4 +488,4 @@ def test_pairs_below_the_threshold_need_no_sets(spark, monkeypatch):
                     label = [x if v == y else v for v in label]
         assert got == dict(enumerate(label))
         close.append(held["close"])
-    assert close[1] < 0.1 * 200 * 199 / 2
+    assert close[1] < 0.15 * 200 * 199 / 2, close
