@@ -297,12 +297,14 @@ def groups(docs: DataFrame) -> DataFrame:
     alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
     sides = found.sides.join(ids, "id", "left_semi").join(alone, "id", "left").withColumn(
         "most", F.col("n") - F.coalesce("alone", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
-    sides = stored(sides.drop("packed").join(full.select("id", "long"), "id"), "open-classes")
+    own_bands = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most
+    sides = stored(sides.drop("packed").join(full.select("id", "long"), "id").join(own_bands, "id"), "open-classes")
     rows = rows.join(sides, "id")
-    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "most", "long")), F.col("id").alias("a"))
-    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "most", "long")), F.col("id").alias("b"))
+    left = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "most", "long", "keys")), F.col("id").alias("a"))
+    right = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "most", "long", "keys")), F.col("id").alias("b"))
     like = (F.least("most_a", "most_b") * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD) & (
-        estimate("long_a", "long_b", LONG_ROWS) >= LONG_SCREEN)
+        estimate("long_a", "long_b", LONG_ROWS) >= LONG_SCREEN) & (
+        F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"])  # of the bands that two share, one puts them out
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & like)
     found.confirm(pairs.select("a", "b").distinct())
     labels = found.labels
