@@ -11,14 +11,19 @@ paragraphs and of differing paragraphs.
 The printed fingerprint is the sketch of a fixed small size with the number of paragraphs, so equal texts have equal
 ones. Peeling runs as aggregations over (pair, cell), all rows of a pair in one partition.
 
-A null text is empty; two texts without paragraphs are alike (1.0). The document after the last is the first; a
+``near_edited`` and ``near_next`` come from sketches of each pair's own size, which decode; the printed ones are too small
+for that. A text of any length is one row; its digests grow with it. A null text is empty; two texts without paragraphs are alike (1.0). The document after the last is the first; a
 single document follows itself. Rows without id come first, repeated ids stand in the order of their texts' hashes. An
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,7 +40,8 @@ NEAR, FAR = 0.25, 0.62
 LEAST_CELLS = 8
 TRIES = 8
 ROWS_PER_BUCKET = 1024
-MOST_BUCKETS = 1 << 18
+#: Quantiles of the ids that buckets are cut at.
+CELLS = 256
 NO_ID = -(1 << 63)
 
 
@@ -115,35 +121,69 @@ def likeness(a: Column, b: Column, differing: Column) -> Column:
     return F.when(a + b == 0, F.lit(1.0)).otherwise((a + b - differing) / (a + b + differing))
 
 
-def ordered(docs: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame, rows_per_bucket: int) -> tuple[Callable[[Column, Column], Column], int]:
+    """Bucket of (at, th), rising with both, and the number of buckets: ranges of ids between quantiles, cut evenly where
+    there are more buckets than ``CELLS``; an id that fills several ranges alone is cut by its texts' hashes."""
+    n = rows.count()
+    wanted = max(1, -(-n // rows_per_bucket))
+    cells = min(CELLS, wanted)
+    each = -(-wanted // cells)
+    found = rows.agg(
+        F.percentile_approx("at", [i / cells for i in range(cells)], F.lit(100 * CELLS)).alias("cuts"), F.max("at").alias("hi")).first()
+    cuts = Counter(found["cuts"] or [0])
+    starts = sorted(cuts)
+    ends = [*starts[1:], (found["hi"] or 0) + 1]
+    alone = [cuts[x] * each if cuts[x] > 1 else 0 for x in starts]
+    bases = [sum(alone[:k]) + k * each for k in range(len(starts))]
+
+    def bucket(at: Column, th: Column) -> Column:
+        k = F.greatest(F.size(F.filter(F.lit(starts), lambda c: c <= at)), F.lit(1))
+        start, end, heavy, base = (F.element_at(F.lit(x), k) for x in (starts, ends, alone, bases))
+        inside = F.least(F.floor((at.cast("double") - start) / (end.cast("double") - start) * each), F.lit(each - 1))
+        by_hash = F.least(F.floor((th / F.lit(2.0**64) + 0.5) * heavy), heavy - 1)
+        place = base + F.when((heavy > 0) & (at == start), by_hash).otherwise(heavy + F.greatest(inside, F.lit(0)))
+        # never null, or the join below would filter one of two equal exchanges and neither could be reused
+        return F.coalesce(place.cast("int"), F.lit(0))
+
+    return bucket, bases[-1] + alone[-1] + each
+
+
+def ordered(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """at (the id; ``NO_ID`` for none), text, bucket, place in the bucket, and what follows by ascending doc_id.
 
-    Buckets are ranges of ids; the first rows of each are copied behind the last of the bucket before it.
+    Buckets are ranges of ids; the first row of each is copied behind the last of the bucket before it.
     """
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    rows = docs.select(at.alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    stats = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = stats["lo"] or 0, stats["hi"] or 0, stats["n"]
-    buckets = max(1, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-    width = (hi - lo) // buckets + 1
-
-    def bucket(at: Column) -> Column:
-        # never null, or the join below would filter one of two equal exchanges and neither could be reused
-        return F.coalesce(F.when(at < lo, -1).otherwise(F.floor((at - lo) / F.lit(width))).cast("int"), F.lit(-1))
-
-    firsts = docs.select(at.alias("at")).withColumn("bucket", bucket(F.col("at"))).groupBy("bucket").agg(F.min("at").alias("at"))
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    bucket, buckets = _buckets(rows.select("at"), rows_per_bucket)
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    firsts = rows.select("at", "th", bucket(F.col("at"), F.col("th")).alias("bucket")).groupBy("bucket").agg(
+        F.min(F.struct("at", "th")).alias("first"))
     order = W.orderBy("bucket")  # a row per bucket
     last = F.max("bucket").over(W.partitionBy())
-    firsts = firsts.select("at", F.coalesce(F.lag("bucket").over(order), last, F.lit(-1)).alias("before"))
-    own = rows.select("at", "text", bucket(F.col("at")).alias("bucket"), F.lit(0).alias("copy"))
-    copies = rows.join(F.broadcast(firsts), "at").select("at", "text", F.col("before").alias("bucket"), F.lit(1).alias("copy"))
-    rows = own.unionByName(copies).repartition(buckets, "bucket")  # firsts: MOST_BUCKETS rows at most
-    w = W.partitionBy("bucket").orderBy("copy", "at", F.xxhash64("text"))
+    firsts = firsts.select("first.at", "first.th", F.coalesce(F.lag("bucket").over(order), last, F.lit(0)).alias("before"))
+    own = rows.select("at", "text", "th", bucket(F.col("at"), F.col("th")).alias("bucket"), F.lit(0).alias("copy"))
+    copies = rows.join(F.broadcast(firsts), ["at", "th"]).select(
+        "at", "text", "th", F.col("before").alias("bucket"), F.lit(1).alias("copy"))
+    rows = own.unionByName(copies).repartition(buckets, "bucket")  # firsts: a row for each bucket
+    w = W.partitionBy("bucket").orderBy("copy", "at", "th")
     return rows.select(
         "at", "text", "bucket", "copy", F.row_number().over(w).alias("pair"), F.lead("text").over(w).alias("next"),
         F.lead(digests(F.col("text"))).over(w).alias("next_set")).filter("copy = 0").drop("copy")
 
 
+@contextmanager
+def _dealt_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Joins on (bucket, pair) of rows that are dealt by bucket already need no shuffle."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _counted(stuck: DataFrame) -> DataFrame:
     """Rows that no size of sketch settled, their differing digests counted from the sets they carry."""
     def near(other: str) -> Column:
@@ -195,7 +235,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             F.coalesce("stuck", F.lit(False)).alias("stuck"),
             *(F.when(F.col("stuck"), F.col(s)).alias(s) for s in sets))
 
-    result = stored(near(base.join(compared(rows.select("bucket", "pair", *sets), 0), ["bucket", "pair"], "left")), "fingerprints")
+    with _dealt_by_bucket(docs.sparkSession):
+        result = stored(near(base.join(compared(rows.select("bucket", "pair", *sets), 0), ["bucket", "pair"], "left")), "fingerprints")
     done = [result.filter("NOT stuck")]
     for attempt in range(1, TRIES + 1):
         failed = result.filter("stuck")
@@ -203,7 +244,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             break
         again = failed.drop("near_edited", "near_next", "stuck")
         split = again.select("bucket", "pair", *sets).repartition("bucket")
-        result = stored(near(again.join(compared(split, attempt), ["bucket", "pair"], "left")), "fingerprints")
+        with _dealt_by_bucket(docs.sparkSession):
+            result = stored(near(again.join(compared(split, attempt), ["bucket", "pair"], "left")), "fingerprints")
         done.append(result.filter("NOT stuck"))
     else:
         done.append(_counted(result.filter("stuck")))
