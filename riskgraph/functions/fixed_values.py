@@ -111,6 +111,7 @@ HISTORY_LINE = "Lịch sử phản ánh cùng STK: "
 MORE_LABEL = "Xem thêm"
 GENERIC_HEADING = "Thông tin cảnh báo:"
 BODY_END = "#s1"
+QUICK_SUMMARY_START = "Họ Tên:"
 QUICK_SUMMARY = (
     r"Họ Tên:\s*(.*?)\s*,\s*SĐT:\s*(.*?)\s*,\s*STK:\s*([0-9*]+)\s*,"
     r"\s*Ngân hàng:\s*(.*?)\s*,\s*(.*?)(?:#s1|KIỂM TRA & TỐ CÁO SCAM)"

@@ -128,8 +128,12 @@ def incident_fields(text) -> Column:
     def capture(pattern: str, group: int = 1) -> Column:
         return strip(F.regexp_extract(t, pattern, group))
 
+    # the summary's lazy pattern is only tried on the few texts that can hold one
+    summarised = t.contains(V.QUICK_SUMMARY_START)
+
     def first(group: int, pattern: str, dots: bool = False) -> Column:
-        quick, single = capture(V.QUICK_SUMMARY, group), capture(pattern)
+        quick = F.when(summarised, capture(V.QUICK_SUMMARY, group)).otherwise(F.lit(""))
+        single = capture(pattern)
         if dots:
             quick = F.regexp_replace(quick, r"^\.+|\.+$", "")
             single = F.regexp_replace(single, r"^\.+|\.+$", "")

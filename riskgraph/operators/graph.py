@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.subjects import classify_value, normalize_subject, parse_mention, subject_id
 from ..session import cut_lineage
+from .hubs import heavy_keys, split_join
 from .ranking import top_n
 
 LINK_KEY = ["subject_a_id", "subject_b_id", "link_type"]
@@ -38,9 +39,11 @@ def mention_rows(evidence: DataFrame) -> DataFrame:
 
 
 def resolve_mentions(mentions: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Mentions whose subject exists and is another one; adds ``other_id``."""
+    """Mentions whose subject exists and is another one; adds ``other_id``.
+
+    A value that much of the evidence names is joined in parts."""
     known = subjects.select("subject_type", "value", F.col("id").alias("other_id"))
-    return mentions.join(known, ["subject_type", "value"]).where(
+    return split_join(mentions, known, ["subject_type", "value"], F.col("subject_id")).where(
         F.col("other_id") != F.col("subject_id"))
 
 
@@ -141,9 +144,12 @@ def symmetrise(links: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return links.select(F.inline(ends), *keep)
 
 
-def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root_id, id) one hop further; repeats are left to the aggregation that follows."""
-    return frontier.join(edges, frontier["id"] == edges["src"]).select(
+def expand(frontier: DataFrame, edges: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """(root_id, id) one hop further; repeats are left to the aggregation that follows.
+
+    A hub's edges are dealt over parts, each of which meets the frontier's rows of the hub."""
+    here = frontier.select("root_id", F.col("id").alias("src"))
+    return split_join(edges.select("src", "dst"), here, ["src"], F.col("dst"), heavy).select(
         "root_id", F.col("dst").alias("id"))
 
 
@@ -158,11 +164,13 @@ def min_depth(nodes: DataFrame) -> DataFrame:
 def reached(links: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """(root_id, id, depth) of all nodes within ``depth`` hops (1..3) of each root."""
     depth = min(max(depth, 1), 3)
-    edges = symmetrise(links)
+    # hubs are looked for and each hop joins the same edges: made once, without parallel links of other types
+    edges = cut_lineage(symmetrise(links).distinct())
+    heavy = cut_lineage(heavy_keys(edges, ["src"]))
     nodes = roots.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("depth")).distinct()
     for hop in range(1, depth + 1):
         frontier = nodes.where(F.col("depth") == hop - 1)
-        found = expand(frontier, edges).withColumn("depth", F.lit(hop))
+        found = expand(frontier, edges, heavy).withColumn("depth", F.lit(hop))
         nodes = min_depth(nodes.unionByName(found))
         if hop < depth:
             # each hop reads the nodes twice; without the cut the plan would double per hop
@@ -209,7 +217,7 @@ def neighbours(subjects: DataFrame, links: DataFrame, wanted: DataFrame | None =
     other = subjects.select(
         F.col("id").alias("dst"), "value", "subject_type", "risk_score", "risk_level",
         "last_seen_at")
-    rows = edges.join(other, "dst").select(
+    rows = split_join(edges, other, ["dst"], F.col("src")).select(
         F.col("src").alias("subject_id"), F.col("dst").alias("other_id"), "value",
         "subject_type", "risk_score", "risk_level", "last_seen_at", "link_type", "strength")
     order = [F.desc("strength"), F.desc("last_seen_at"), "other_id", "link_type"]

@@ -301,7 +301,7 @@ def order_posts(spark, sf_dir) -> DataFrame:
         .otherwise(F.lit("")),
         F.lit('</div><a class="gallery" href="https://checkscam.vn/wp-content/uploads/'),
         (key % 50).cast("string"), F.lit('.jpg?v=1">x</a><p>#s1 more</p></body></html>'))
-    return table(spark, sf_dir, "orders").select(
+    return dealt(table(spark, sf_dir, "orders")).select(
         key.alias("id"), F.concat(F.lit("https://checkscam.vn/post-"), key.cast("string"), F.lit("/"))
         .alias("link"), F.concat(F.lit("Order "), key.cast("string")).alias("title"),
         body.alias("html"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))

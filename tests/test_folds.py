@@ -259,3 +259,34 @@ def test_investigation_mentions(spark):
     got = {(r["subject_type"], r["value"]) for r in graph.investigation_mentions(df).collect()}
     assert got == {("phone", "84912345679"), ("bank", "12345678"), ("url", "https://a.vn")}
     assert spark.range(1).select(classify_value(F.lit("x")).alias("c")).first()["c"] is None
+
+
+def test_hub_join_equals_plain_join_in_even_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from riskgraph.operators.hubs import heavy_keys, split_join
+
+    rng = random.Random(8)
+    rows = [("hub", f"d{k}") for k in range(20_000)] + [(f"k{rng.randrange(4000)}", f"d{k}") for k in range(20_000)] + [(None, "x")]
+    many = spark.createDataFrame(rows, "src string, dst string")
+    few = spark.createDataFrame(
+        [("hub", 1), ("hub", 2)] + [(f"k{k}", k) for k in range(0, 4000, 2)] + [("absent", 0), (None, 5)], "src string, root int")
+    assert [r["hash"] for r in heavy_keys(many, ["src"]).collect()] == [
+        r[0] for r in spark.range(1).select(F.xxhash64(F.lit("hub"))).collect()]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = split_join(many, few, ["src"], F.col("dst"))
+        tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(tasks) <= 2 * sorted(tasks)[len(tasks) // 2]
+        for how in ("inner", "left", "left_semi"):
+            got = split_join(many, few, ["src"], F.col("dst"), how=how)
+            want = many.join(few, "src", how)
+            assert got.columns == want.columns
+            assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    empty = many.limit(0)
+    assert heavy_keys(empty, ["src"]).count() == 0 and split_join(empty, few, ["src"], F.col("dst")).count() == 0
