@@ -9,7 +9,8 @@ from .. import schemas as S
 from ..functions import risk as FR
 from ..functions import subjects as FJ
 from ..operators import graph, history, kb, metrics, models, ranking, risk, triage
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
+from ..sources import change_log
 from ..sources import driver_tables as D
 from ..streaming import admission, reports, state
 from . import submissions
@@ -993,3 +994,28 @@ def merge_ids(spark, d):
     a = e.where(F.col("k") < 60).select("user_id", "k")
     b = e.where(F.col("k") >= 40).select("user_id", "k")
     return graph.union_distinct(a, b).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("change_log", """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' moved' ELSE c_name END AS name,
+       CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 200 WHEN c_custkey % 3 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS place
+FROM customer WHERE c_custkey % 7 <> 0""")
+def change_log_(spark, d):
+    """Customers written by three commits and a compaction, read back: added, replaced twice, gone."""
+    import uuid
+
+    base, keys = f"{checkpoint_dir(spark)}/change-log-{uuid.uuid4().hex}", {"customers": ["id"]}
+    rows = D.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("int").alias("place"))
+    third = F.col("id") % 3 == 0
+    moved = rows.withColumn("name", F.when(third, F.concat("name", F.lit(" moved"))).otherwise(F.col("name"))).withColumn(
+        "place", F.when(third, F.col("place") + 100).otherwise(F.col("place")))
+    fifth = F.when(F.col("id") % 5 == 0, F.pmod("place", F.lit(100)) + 200).otherwise(F.col("place"))
+    last = moved.withColumn("place", fifth).where(F.col("id") % 7 != 0)
+    version = 0
+    for old, new in ((rows.limit(0), rows), (rows, moved), (moved, last)):
+        changes = {"customers": change_log.changes_between(old, new, ["id"])}
+        version = change_log.commit(spark, base, version, changes, keys)
+        if version == 2:
+            version = change_log.compact(spark, base, 1, keys)
+    return change_log.read(spark, base, "customers", keys=["id"])

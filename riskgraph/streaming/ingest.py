@@ -14,6 +14,7 @@ from ..functions.base import lookup
 from ..functions.risk import found_count
 from ..operators import history, kb, triage
 from ..plans.investigate import engine_results, ingest_investigations
+from ..sources import change_log
 from ..sources.snapshots import drop_old_versions, read_tables, write_tables
 
 
@@ -33,12 +34,41 @@ def ingest_batch(base: str, clock: Callable[[], datetime] | None = None):
     return run
 
 
+def ingest_changes(base: str, clock: Callable[[], datetime] | None = None, name: str = "investigations", tries: int = 5):
+    """foreachBatch function over a change log: only the rows that the batch adds or replaces are written.
+
+    A batch of stream ``name`` that is delivered again changes nothing, whatever the clock says by then. If another
+    writer commits meanwhile, the batch is worked out again from what that writer left."""
+    now = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
+    changed = ["subjects", "investigations", "evidence", "subject_links", "link_evidence"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        for left in reversed(range(tries)):
+            at = change_log.state(spark, base)
+            if at["streams"].get(name, -1) >= batch_id:
+                return
+            tables = change_log.read_all(spark, base, at)
+            out = ingest_investigations(tables, batch, now())
+            rows = {t: change_log.changes_between(tables[t], out[t], change_log.KEYS[t]) for t in changed}
+            try:
+                change_log.commit(spark, base, at["version"], rows, stream=(name, batch_id))
+                return
+            except change_log.Conflict:
+                if not left:
+                    raise
+
+    return run
+
+
 def ingest_stream(spark: SparkSession, source: str, base: str, checkpoint: str,
-                  clock: Callable[[], datetime] | None = None, files_per_trigger: int = 100):
-    """Start the ingest of JSON results; the caller stops or awaits the returned query."""
+                  clock: Callable[[], datetime] | None = None, files_per_trigger: int = 100, batch=ingest_batch):
+    """Start the ingest of JSON results; the caller stops or awaits the returned query.
+
+    ``batch`` is ``ingest_batch`` (whole versions) or ``ingest_changes`` (a change log)."""
     stream = (spark.readStream.schema(S.INVESTIGATION_RESULT)
               .option("maxFilesPerTrigger", files_per_trigger).json(source))
-    return (stream.writeStream.foreachBatch(ingest_batch(base, clock))
+    return (stream.writeStream.foreachBatch(batch(base, clock))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

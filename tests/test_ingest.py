@@ -11,7 +11,7 @@ from riskgraph.operators import history, kb, models, risk, summaries
 from riskgraph.plans import ingest_blacklist as IB
 from riskgraph.plans import ingest_posts as IP
 from riskgraph.plans import investigate as INV
-from riskgraph.sources import readers
+from riskgraph.sources import change_log, readers
 from riskgraph.sources.snapshots import (
     read_snapshot, read_tables, versions, write_snapshot, write_tables,
 )
@@ -361,3 +361,68 @@ def test_investigate_without_models(spark):
     base = {r["source"]: r for r in summaries.baseline_summaries(results).collect()}
     assert base["CheckScam"]["summary"].startswith("Nguồn CheckScam ghi nhận 4 mục liên quan.")
     assert base["CheckScam"]["risk_signals"] == ["Nguồn CheckScam có 4 mục liên quan cần điều tra sâu hơn."]
+
+
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def many_investigations(spark, first, n):
+    return finished(spark, *((f"i{k}", f"09{k:08d}", "phone", "high", 0.9, True, f"08{k % 50:08d}") for k in range(first, first + n)))
+
+
+def test_change_log_grows_by_its_changes(spark, empty, tmp_path):
+    base = str(tmp_path / "log")
+    ingest.ingest_changes(base, lambda: NOW)(many_investigations(spark, 0, 3000), 0)
+    large = folder_bytes(tmp_path / "log")
+    at = change_log.state(spark, base)
+    assert at["version"] == 1 and at["streams"] == {"investigations": 0}
+    later = NOW + timedelta(days=1)
+    ingest.ingest_changes(base, lambda: later)(many_investigations(spark, 3000, 5), 1)
+    assert folder_bytes(tmp_path / "log") - large < 0.2 * large
+    # the same rows as one plan over whole tables, also once compacted
+    step = INV.ingest_investigations(saved(spark, INV.ingest_investigations(
+        empty, many_investigations(spark, 0, 3000), NOW), str(tmp_path / "kb")), many_investigations(spark, 3000, 5), later)
+    changed = ("subjects", "investigations", "evidence", "subject_links", "link_evidence")
+    want = {n: sorted(map(str, step[n].select(*S.TABLES[n].fieldNames()).collect())) for n in changed}
+    for _ in range(2):
+        got = change_log.read_all(spark, base)
+        assert {n: sorted(map(str, got[n].collect())) for n in changed} == want
+        change_log.compact(spark, base, 1)
+    assert change_log.state(spark, base)["version"] == 3
+    buckets = [change_log.read(spark, base, "subjects", buckets=[b]).count() for b in range(change_log.BUCKETS)]
+    assert sum(buckets) == len(want["subjects"]) and max(buckets) < 0.1 * sum(buckets)
+    # a batch that comes again changes nothing
+    before = change_log.state(spark, base)
+    ingest.ingest_changes(base, lambda: later + timedelta(days=9))(many_investigations(spark, 3000, 5), 1)
+    assert change_log.state(spark, base) == before
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    base, keys = str(tmp_path / "log"), {"t": ["id"]}
+    row = lambda i, v, gone=False: {"t": spark.createDataFrame([(i, v, gone)], "id long, v string, gone boolean")}
+    change_log.commit(spark, base, 0, row(1, "a"), keys)
+    with pytest.raises(change_log.Conflict):
+        change_log.commit(spark, base, 0, row(2, "late"), keys)
+    # both have read version 1; the other's entry comes between this one's look and its own entry
+    real = change_log.state
+    seen = real(spark, base)
+    change_log.commit(spark, base, 1, row(1, "b"), keys)
+    monkeypatch.setattr(change_log, "state", lambda *_: seen)
+    with pytest.raises(change_log.Conflict):
+        change_log.commit(spark, base, 1, row(3, "lost"), keys)
+    monkeypatch.setattr(change_log, "state", real)
+    assert [tuple(r) for r in change_log.read(spark, base, "t", keys=["id"]).collect()] == [(1, "b")]
+    assert not [f for f in (tmp_path / "log" / "_log").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+    change_log.commit(spark, base, 2, row(1, None, True), keys)
+    assert change_log.read(spark, base, "t", keys=["id"]).count() == 0
+
+
+def test_stream_into_a_change_log(spark, tmp_path):
+    base, src = str(tmp_path / "log"), str(tmp_path / "in")
+    for k in range(2):
+        finished(spark, (f"i{k}", "0912345678", "phone", "high", 0.9, True, "0987654321")).write.mode("append").json(src)
+        ingest.ingest_stream(spark, src, base, str(tmp_path / "cp"), lambda: NOW, batch=ingest.ingest_changes).awaitTermination(120)
+    tables = change_log.read_all(spark, base)
+    assert tables["investigations"].count() == 2
+    assert tables["subjects"].where(F.col("value") == "0912345678").first()["investigation_count"] == 2
