@@ -40,6 +40,8 @@ NEAR, FAR = 0.25, 0.62
 LEAST_CELLS = 8
 TRIES = 8
 ROWS_PER_BUCKET = 1024
+#: Buckets, and so first rows that are broadcast; above 268 million rows buckets hold more, sorted outside memory.
+MOST_BUCKETS = 1 << 18
 #: Quantiles of the ids that buckets are cut at.
 CELLS = 256
 NO_ID = -(1 << 63)
@@ -125,7 +127,7 @@ def _buckets(rows: DataFrame, rows_per_bucket: int) -> tuple[Callable[[Column, C
     """Bucket of (at, th), rising with both, and the number of buckets: ranges of ids between quantiles, cut evenly where
     there are more buckets than ``CELLS``; an id that fills several ranges alone is cut by its texts' hashes."""
     n = rows.count()
-    wanted = max(1, -(-n // rows_per_bucket))
+    wanted = max(1, min(MOST_BUCKETS, -(-n // rows_per_bucket)))
     cells = min(CELLS, wanted)
     each = -(-wanted // cells)
     found = rows.agg(
@@ -165,7 +167,7 @@ def ordered(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFram
     own = rows.select("at", "text", "th", bucket(F.col("at"), F.col("th")).alias("bucket"), F.lit(0).alias("copy"))
     copies = rows.join(F.broadcast(firsts), ["at", "th"]).select(
         "at", "text", "th", F.col("before").alias("bucket"), F.lit(1).alias("copy"))
-    rows = own.unionByName(copies).repartition(buckets, "bucket")  # firsts: a row for each bucket
+    rows = own.unionByName(copies).repartition(buckets, "bucket")  # firsts: about MOST_BUCKETS rows at most
     w = W.partitionBy("bucket").orderBy("copy", "at", "th")
     return rows.select(
         "at", "text", "bucket", "copy", F.row_number().over(w).alias("pair"), F.lead("text").over(w).alias("next"),
