@@ -79,6 +79,26 @@ def co_mention_pairs(evidence: DataFrame, subjects: DataFrame, source: str | Non
         "subject_a_id", "subject_b_id", F.lit("co_mentioned").alias("link_type"), "evidence_id")
 
 
+def mention_index(evidence: DataFrame, source: str | None = None) -> DataFrame:
+    """Inverted index of the evidence: one row per (subject_type, value, evidence_id), with the evidence's subject."""
+    return mention_rows(evidence_with_mentions(evidence, source)).distinct()
+
+
+def replace_indexed(index: DataFrame, changed_ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The index (or another frame by ``evidence_id``) once the evidence ``changed_ids(evidence_id)`` has ``rows``."""
+    return index.join(changed_ids, "evidence_id", "left_anti").unionByName(rows)
+
+
+def new_co_mention_pairs(index: DataFrame, added: DataFrame, subjects: DataFrame, new_subjects: DataFrame) -> DataFrame:
+    """Change rows for ``upsert_links`` that index rows ``added`` to ``index`` and ``new_subjects`` bring.
+
+    Added rows look among all subjects, all indexed rows among the new subjects only; pairs of old evidence with old
+    subjects are links already."""
+    rows = resolve_mentions(added, subjects).unionByName(resolve_mentions(index, new_subjects)).distinct()
+    return ordered_pair(rows).select(
+        "subject_a_id", "subject_b_id", F.lit("co_mentioned").alias("link_type"), "evidence_id")
+
+
 def investigation_mentions(investigations: DataFrame) -> DataFrame:
     """Subjects named in the summaries and extractions of an investigation.
 

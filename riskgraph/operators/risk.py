@@ -30,9 +30,23 @@ def approved_counts(reports: DataFrame) -> DataFrame:
 def crawl_floors(evidence: DataFrame, source: str | None = V.POST_SOURCE) -> DataFrame:
     """Floor of each subject with evidence of the source, by its largest report count."""
     kept = evidence if source is None else evidence.where(F.col("source") == source)
+    return floors_of_counts(kept.select("subject_id", _report_count().alias("report_count")))
+
+
+def _report_count() -> Column:
     count = F.nullif(F.get_json_object("data", "$.report_count"), F.lit("")).try_cast("int")
-    return kept.groupBy("subject_id").agg(
-        F.max(F.coalesce(count, F.lit(0))).alias("report_count_max")
+    return F.coalesce(count, F.lit(0))
+
+
+def evidence_counts(evidence: DataFrame, source: str = V.POST_SOURCE) -> DataFrame:
+    """(evidence_id, subject_id, report_count): all that floors need of the evidence."""
+    return evidence.where(F.col("source") == source).select(
+        F.col("id").alias("evidence_id"), "subject_id", _report_count().alias("report_count"))
+
+
+def floors_of_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("subject_id").agg(
+        F.max("report_count").alias("report_count_max")
     ).select("subject_id", crawl_floor("report_count_max").alias("floor"))
 
 

@@ -212,6 +212,27 @@ def upsert_links(spark, d):
     return links.select("subject_a_id", "subject_b_id", "strength")
 
 
+@check("co_mention_increments", f"""SELECT least(x, y) AS subject_a_id, greatest(x, y) AS subject_b_id,
+  'co_mentioned' AS link_type, CAST(count(*) AS DOUBLE) AS strength
+FROM (SELECT {q_pid('user_id')} AS x, c.id AS y FROM (SELECT user_id, {K} AS k FROM events) e
+      JOIN (SELECT {q_pid('c_custkey')} AS id, c_custkey FROM customer) c ON c.id = {q_pid('e.k')} WHERE e.k <> e.user_id)
+WHERE x <> y GROUP BY 1, 2""")
+def co_mention_increments(spark, d):
+    """Evidence and subjects that come in two halves, the second one through the index of the first."""
+    ev, subjects = D.evidence(spark, d), D.customers(spark, d)
+    first, known = F.pmod(F.xxhash64("id"), F.lit(2)) == 0, F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    now = F.lit("2024-02-01").cast("timestamp")
+    links, stored = spark.createDataFrame([], S.LINKS), spark.createDataFrame([], S.LINK_EVIDENCE)
+    index = graph.mention_index(ev.limit(0))
+    for new_rows, new_subjects, all_subjects in (
+            (ev.where(first), subjects.where(known), subjects.where(known)), (ev.where(~first), subjects.where(~known), subjects)):
+        added = cut_lineage(graph.mention_index(new_rows))
+        index = graph.replace_indexed(index, new_rows.select(F.col("id").alias("evidence_id")), added)
+        pairs = graph.new_co_mention_pairs(index, added, all_subjects, new_subjects)
+        links, stored = map(cut_lineage, graph.upsert_links(links, stored, pairs, now))
+    return links.select("subject_a_id", "subject_b_id", "link_type", "strength")
+
+
 # --- risk ---------------------------------------------------------------------------------
 @check("weighted_risk", f"""WITH {Q_INV}
 SELECT subject_id, round(coalesce(sum(score * quality) / nullif(sum(quality), 0), 0), 6) AS

@@ -45,6 +45,12 @@ TABLES = {
     "media": MEDIA, "crawl_log": FAILURE_LOG, "analysis_cache": REUSE,
 }
 
+# narrow frames beside the tables, from which links and floors follow without the stored evidence
+INDEXES = {
+    "mention_index": struct(evidence_id=_S, subject_id=_S, subject_type=_S, value=_S),
+    "evidence_counts": struct(evidence_id=_S, subject_id=_S, report_count=_I),
+}
+
 POST = T.StructType([
     T.StructField("id", _L), T.StructField("link", _S),
     T.StructField("title", struct(rendered=_S)), T.StructField("content", struct(rendered=_S)),

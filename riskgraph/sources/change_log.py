@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import TABLES
+from ..schemas import INDEXES, TABLES
 from .snapshots import _fs
 
 KEYS = {
@@ -25,7 +25,9 @@ KEYS = {
     "subject_links": ["subject_a_id", "subject_b_id", "link_type"],
     "link_evidence": ["subject_a_id", "subject_b_id", "link_type", "evidence_id"],
     "crawl_log": ["url", "ts"], "analysis_cache": ["query", "agent_name", "prompt_hash", "input_hash"],
+    "mention_index": ["subject_type", "value", "evidence_id"], "evidence_counts": ["evidence_id"],
 }
+SCHEMAS = TABLES | INDEXES
 #: Buckets of a base, a folder each.
 BUCKETS = 64
 #: Folders of changes after which ``compact`` makes a new base.
@@ -102,8 +104,8 @@ def commit(spark: SparkSession, base: str, version: int, changes: dict[str, Data
     entry = {"version": version + 1, "tables": dict(current["tables"]), "streams": dict(current["streams"])}
     for name, rows in changes.items():
         folder = f"{name}/c{version + 1:08d}-{uuid.uuid4().hex}"
-        if name in TABLES:
-            rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name].fields), "gone")
+        if name in SCHEMAS:
+            rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields), "gone")
         rows.withColumn("bucket", _bucket(keys[name])).write.parquet(f"{base}/{folder}")
         known = entry["tables"].get(name, {"base": None, "changes": [], "schema": rows.drop("gone").schema.json()})
         if not spark.read.schema("bucket int").parquet(f"{base}/{folder}").isEmpty():
@@ -119,7 +121,7 @@ def read(spark: SparkSession, base: str, name: str, at: dict | None = None, keys
     """Rows of a table in an entry (by default the newest); of some key buckets only, if asked."""
     found = (at or state(spark, base))["tables"].get(name)
     if found is None:
-        return spark.createDataFrame([], TABLES[name])
+        return spark.createDataFrame([], SCHEMAS[name])
     keys = keys or KEYS[name]
     schema = T.StructType.fromJson(json.loads(found["schema"]))
     columns = schema.fieldNames()

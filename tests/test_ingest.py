@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph import schemas as S
+from riskgraph.functions.subjects import subject_id
 from riskgraph.operators import history, kb, models, risk, summaries
 from riskgraph.plans import ingest_blacklist as IB
 from riskgraph.plans import ingest_posts as IP
@@ -426,3 +427,53 @@ def test_stream_into_a_change_log(spark, tmp_path):
     tables = change_log.read_all(spark, base)
     assert tables["investigations"].count() == 2
     assert tables["subjects"].where(F.col("value") == "0912345678").first()["investigation_count"] == 2
+
+
+def test_links_of_two_halves_equal_one_pass(spark, empty):
+    import random
+
+    rng = random.Random(5)
+    value = lambda i: f"09{i:08d}"
+    ids = {i: spark.range(1).select(subject_id(F.lit("phone"), F.lit(value(i)))).first()[0] for i in range(12)}
+    subjects = spark.createDataFrame(
+        [(ids[i], value(i), "phone", 0.0, "unknown", 0, 0, NOW, NOW) for i in range(12)], S.SUBJECTS)
+    evidence = spark.createDataFrame(
+        [(f"e{k}", ids[rng.randrange(12)], None, "checkscam_crawl" if k % 9 else "other", "external_report",
+          f'{{"report_count": "{rng.randrange(15)}"}}', [],
+          [f"phone:{value(rng.randrange(15))}" for _ in range(rng.randrange(4))], NOW) for k in range(200)], S.EVIDENCE)
+    reports = spark.createDataFrame(
+        [(f"r{i}", ids[i], "h", "d", "c", "approved", None, None, NOW) for i in range(0, 12, 2)], S.REPORTS)
+    stored = {**empty, "user_reports": reports}
+    whole = IP.link_pass({**stored, "subjects": subjects, "evidence": evidence}, NOW)
+    # the second half brings evidence and subjects, and replaces some of the first half's rows
+    early = F.substring("id", 2, 9).cast("int") < 120
+    again = F.substring("id", 2, 9).cast("int").between(100, 110)
+    old = evidence.where(early).withColumn(
+        "mentioned_subjects", F.when(again, F.array().cast("array<string>")).otherwise(F.col("mentioned_subjects")))
+    known = subjects.where(F.col("value") < value(8))
+    fresh = subjects.where(F.col("value") >= value(8))
+    nothing = IP.with_indexes(stored)
+    first = IP.link_changes({**nothing, "subjects": known}, old, known, NOW)
+    first = {n: spark.createDataFrame(t.collect(), t.schema) for n, t in first.items()}
+    del first["evidence"]
+    second = IP.link_changes(
+        {**first, "subjects": first["subjects"].unionByName(fresh)}, evidence.where(~early | again), fresh, NOW)
+    for table in ("subjects", "subject_links", "link_evidence"):
+        assert sorted(map(str, second[table].collect())) == sorted(map(str, whole[table].collect())), table
+    assert whole["subject_links"].count() > 30
+    want = IP.with_indexes({**stored, "evidence": evidence})
+    for name in S.INDEXES:
+        assert sorted(map(str, second[name].collect())) == sorted(map(str, want[name].collect())), name
+
+
+def test_posts_with_indexes_equal_posts_without(spark, empty):
+    halves = [posts(spark, post(1, "0912345678", "123456"), post(2, "0912345678", "999999", "b", 1)),
+              posts(spark, post(3, "0987654321", "123456", "c", 9), post(1, "0912345678", "123456", "a", 12))]
+    plain, indexed = empty, IP.with_indexes(empty)
+    for half in halves:
+        plain, _ = IP.ingest_posts(plain, half, NOW, files(spark, "a"))
+        indexed, _ = IP.ingest_posts(indexed, half, NOW, files(spark, "a"))
+        plain, indexed = ({n: spark.createDataFrame(t.collect(), t.schema) for n, t in k.items()} for k in (plain, indexed))
+    for table in ("subjects", "evidence", "subject_links", "link_evidence"):
+        assert sorted(map(str, indexed[table].select(*S.TABLES[table].fieldNames()).collect())) == sorted(
+            map(str, plain[table].select(*S.TABLES[table].fieldNames()).collect())), table
