@@ -847,11 +847,16 @@ def investigation_progress(spark, d):
 
 
 @check("investigation_state", f"""WITH {Q_LOGEV}, failed AS (SELECT investigation_id,
-  coalesce(bool_or(false), false) AS failed FROM e GROUP BY 1)
-SELECT roll.*, started_phases, progress, CASE WHEN complete THEN 'complete' ELSE 'running' END AS status
-FROM roll JOIN progress USING (investigation_id)""")
+  bool_or(type = 'source_status' AND value < 5 AND k % 3 = 0) AS failed FROM e GROUP BY 1)
+SELECT roll.*, started_phases, progress,
+  CASE WHEN complete THEN 'complete' WHEN failed THEN 'failed' ELSE 'running' END AS status
+FROM roll JOIN progress USING (investigation_id) JOIN failed USING (investigation_id)""")
 def investigation_state(spark, d):
-    return state.investigation_state_batch(D.event_log(spark, d))
+    """Errors of low value end the investigation unless they are recoverable."""
+    errors = D.events(spark, d).where((F.col("event_type") == "error") & (F.col("value") < 5)).select(
+        F.col("user_id").cast("string").alias("investigation_id"), F.col("event_id").alias("seq"),
+        F.lit("error").alias("type"), (F.col("k") % 3 > 0).alias("recoverable"))
+    return state.investigation_state_batch(D.event_log(spark, d).unionByName(errors, allowMissingColumns=True))
 
 
 @check("latest_per_key", f"""SELECT user_id, event_type, min(event_id) AS first_seq,
