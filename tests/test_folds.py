@@ -136,6 +136,37 @@ def test_admission_matches_fold(spark):
     assert set(got.values()) == {"accepted", "duplicate", "rate_limited"}
 
 
+def test_busy_reporters_match_fold(spark):
+    rows = random_submissions(5, 900)
+    # times on both sides of midnight and equal times within the day
+    rows += [(1000 + i, T0 + timedelta(hours=20, seconds=i // 3), 7, i % 11) for i in range(60)]
+    rows += [(2000 + i, T0 + timedelta(hours=44, seconds=i // 3), 7, (i * 7) % 13) for i in range(60)]
+    want = naive_admission(rows)
+    for busy in (1, 150):  # all reporters, and only the busiest
+        got = {r["event_id"]: r["outcome"]
+               for r in admission.admit_reports_batch(submissions(spark, rows), busy).collect()}
+        assert got == want
+    # each second day nothing; a day's last entry expires in a later day without reports
+    one = [(i, T0 + timedelta(days=2 * (i // 40), minutes=17 * (i % 40)), 1, i % 9) for i in range(160)]
+    got = {r["event_id"]: r["outcome"] for r in admission.admit_reports_batch(submissions(spark, one), 1).collect()}
+    assert got == naive_admission(one)
+
+
+def test_a_busy_reporter_uses_all_tasks(spark):
+    """All rows of one reporter on one day: every stage over them has several tasks with work."""
+    rows = spark.range(200_000).select(
+        F.col("id").alias("event_id"), F.lit("r").alias("reporter_ip_hash"),
+        F.concat(F.lit("s"), F.col("id") % 5000).alias("subject_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 100_000).alias("created_at"),
+        (F.lit(1_700_000_000_000_000) + F.col("id") * 100_000).alias("__us"))
+    keep = ["event_id", "reporter_ip_hash", "subject_id", "created_at"]
+    out = admission._settle_days(rows, ["r"], keep)
+    got = {r["outcome"]: r["count"] for r in out.groupBy("outcome").count().collect()}
+    assert got == {"accepted": 5, "rate_limited": 199_995}
+    sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_admission_rejects_and_touches(spark):
     df = submissions(spark, [(1, T0, 1, 1), (2, T0 + timedelta(minutes=1), 1, 1)])
     bad = df.withColumn("description", F.lit("đ" * 1001)).withColumn("event_id", F.col("event_id") + 10)
