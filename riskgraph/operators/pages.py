@@ -21,7 +21,7 @@ from ..functions.text import (
 from ..functions.urls import (
     absolute_url, is_social_url, unwrap_redirect, unwrap_result_link,
 )
-from .ranking import dedup_first, with_rank
+from .ranking import dedup_first, top_n
 
 ALL = 2**31 - 1
 
@@ -57,7 +57,19 @@ def node_at(nodes: Column, position: Column) -> Column:
 
 
 def parent(nodes: Column, node: Column, up: int = 1) -> Column:
-    return node_at(nodes, F.try_element_at(node["anc"], F.lit(-up)))
+    for _ in range(up):
+        node = node_at(nodes, node["up"])
+    return node
+
+
+def climb(nodes: Column, node: Column, start: Column, step) -> Column:
+    """Folds the ancestors of an element, the closest first: ``step(state, ancestor)`` is the next state."""
+    way = F.aggregate(
+        F.array_repeat(F.lit(0), node["depth"]),
+        F.struct(node["up"].alias("at"), start.alias("state")),
+        lambda w, _: F.struct(
+            node_at(nodes, w["at"])["up"].alias("at"), step(w["state"], node_at(nodes, w["at"])).alias("state")))
+    return way["state"]
 
 
 def descendants(nodes: Column, node: Column, test) -> Column:
@@ -67,13 +79,9 @@ def descendants(nodes: Column, node: Column, test) -> Column:
 
 def under(nodes: Column, node: Column, *classes: str) -> Column:
     """node lies below elements with these classes, outermost first."""
-    wanted = F.array(*[F.lit(f" {c} ") for c in classes])
-    matched = F.aggregate(
-        node["anc"], F.lit(0),
-        lambda n, i: F.when(
-            (n < len(classes))
-            & node_at(nodes, i)["cls"].contains(F.try_element_at(wanted, n + 1)), n + 1,
-        ).otherwise(n))
+    wanted = F.array(*[F.lit(f" {c} ") for c in reversed(classes)])
+    matched = climb(nodes, node, F.lit(0), lambda n, e: F.when(
+        (n < len(classes)) & e["cls"].contains(F.get(wanted, n)), n + 1).otherwise(n))
     return matched == len(classes)
 
 
@@ -161,41 +169,58 @@ def _is_snippet(n: Column) -> Column:
     )
 
 
-def _heading_rows(nodes: DataFrame) -> DataFrame:
-    """Headings with link and nearest snippet: in the closest ancestor that has one."""
-    n = F.col("nodes")
+#: Steps of a binary search, enough for any array that fits in a row.
+_HALVES = [1 << k for k in range(27, -1, -1)]
+
+
+def _n_upto(sorted_ids: Column, bound: Column) -> Column:
+    """How many of the ascending ids are at most bound, by binary search."""
+    return F.aggregate(
+        F.array(*[F.lit(h) for h in _HALVES]), F.lit(0),
+        lambda n, h: F.when(F.get(sorted_ids, n + h - 1) <= bound, n + h).otherwise(n))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _heading_items(n: Column) -> Column:
+    """Headings with link and nearest snippet: the first one in the closest ancestor that has any.
+
+    Elements are in document order, so an ancestor holds a snippet just if it reaches the next one after the
+    heading or begins before the last one ahead of it.  A heading costs its depth and two binary searches.
+    """
     snippets = F.filter(
         F.transform(elements(n, _is_snippet), lambda s: F.struct(
             s["id"].alias("id"), strip(text_of(n, s)).alias("text"))),
         lambda s: s["text"] != "")
 
-    def heading(h: Column) -> Column:
-        around = F.transform(F.reverse(h["anc"]), lambda i: node_at(n, i))
-        links = F.filter(around, lambda a: (a["tag"] == "a") & attr(a, "href").isNotNull())
+    def near(h: Column, snips: Column) -> Column:
+        """Its title, the two snippets around it and its way up."""
+        ahead = _n_upto(snips["id"], h["id"])
         return F.struct(
-            strip(text_of(n, h)).alias("title"), attr(first(links), "href").alias("href"),
-            F.transform(around, lambda a: F.struct(a["id"].alias("a"), a["last"].alias("b"))).alias(
-                "around"))
-
-    staged = nodes.withColumn("__snips", snippets)
-    rows = _rows(
-        staged, F.transform(elements(n, lambda e: e["tag"] == "h3"), heading), ["__snips"])
-    per_ancestor = F.transform(
-        F.col("__r.around"),
-        lambda a: first(F.filter(
-            F.col("__snips"), lambda s: (a["a"] < s["id"]) & (s["id"] <= a["b"])))["text"])
-    nearest = F.array_compact(per_ancestor)
-    keys = [c for c in nodes.columns if c != "nodes"]
-    return rows.select(
-        *keys, "pos", F.col("__r.title").alias("title"),
-        unwrap_redirect("__r.href").alias("url"),
-        F.coalesce(first(nearest), F.lit("")).alias("snippet"),
-    ).where(F.col("url").rlike("^https?://"))
-
-
-def _block_rows(nodes: DataFrame) -> DataFrame:
-    n = F.col("nodes")
+            h.alias("h"), F.get(snips["id"], ahead - 1).alias("before"), F.get(snips["id"], ahead).alias("after"))
 
+    def way(r: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("href"), F.lit(None).cast("int").alias("holder"))
+        return F.struct(strip(text_of(n, r["h"])).alias("title"), climb(n, r["h"], start, lambda w, e: F.struct(
+            F.coalesce(w["href"], F.when(e["tag"] == "a", attr(e, "href"))).alias("href"),
+            F.coalesce(w["holder"], F.when(
+                (e["last"] >= r["after"]) | (e["id"] < r["before"]), e["id"])).alias("holder"))).alias("w"))
+
+    def item(r: Column, snips: Column) -> Column:
+        return F.struct(
+            r["title"].alias("title"), unwrap_redirect(r["w"]["href"]).alias("url"),
+            F.coalesce(F.get(snips, _n_upto(snips["id"], r["w"]["holder"]))["text"], F.lit("")).alias("snippet"))
+
+    headings = elements(n, lambda e: e["tag"] == "h3")
+    found = _let(snippets, lambda snips: F.transform(
+        F.transform(F.transform(headings, lambda h: near(h, snips)), way), lambda r: item(r, snips)))
+    return F.filter(found, lambda r: r["url"].rlike("^https?://"))
+
+
+def _block_items(n: Column) -> Column:
     def pick(block: Column) -> Column:
         return F.struct(
             first(descendants(n, block, lambda a: has_class(a, "result__a") | (
@@ -204,29 +229,23 @@ def _block_rows(nodes: DataFrame) -> DataFrame:
 
     blocks = F.slice(elements(n, lambda e: has_class(e, "result")), 1, V.CANDIDATE_LIMIT)
     picked = F.filter(F.transform(blocks, pick), lambda p: p["link"].isNotNull())
-    texts = F.transform(picked, lambda p: F.struct(
-        strip(text_of(n, p["link"])).alias("title"), attr(p["link"], "href").alias("href"),
+    return F.transform(picked, lambda p: F.struct(
+        strip(text_of(n, p["link"])).alias("title"),
+        F.coalesce(unwrap_result_link(attr(p["link"], "href")), F.lit("")).alias("url"),
         F.coalesce(strip(text_of(n, p["text"])), F.lit("")).alias("snippet")))
-    rows = _rows(nodes, texts)
-    keys = [c for c in nodes.columns if c != "nodes"]
-    return rows.select(
-        *keys, "pos", F.col("__r.title").alias("title"),
-        F.coalesce(unwrap_result_link("__r.href"), F.lit("")).alias("url"),
-        F.col("__r.snippet").alias("snippet"))
 
 
-def search_results(nodes: DataFrame, layout: str = "headings", keys: list[str] | None = None
-                   ) -> DataFrame:
+def search_results(nodes: DataFrame, layout: str = "headings") -> DataFrame:
     """One row per result with its 1-based position, at most 30 per page.
 
-    The page's own url, title or snippet column is kept as ``page_url`` and so on.
+    Results are found, numbered and cut inside the page's row: no shuffle.  The page's own url, title or
+    snippet column is kept as ``page_url`` and so on.
     """
     nodes = nodes.withColumnsRenamed({c: f"page_{c}" for c in ("url", "title", "snippet", "pos")})
-    keys = keys or [c for c in nodes.columns if c != "nodes"]
-    rows = {"headings": _heading_rows, "blocks": _block_rows}[layout](nodes)
-    return with_rank(
-        rows.withColumnRenamed("pos", "__pos"), keys, ["__pos"], "pos", V.CANDIDATE_LIMIT
-    ).drop("__pos")
+    items = {"headings": _heading_items, "blocks": _block_items}[layout](F.col("nodes"))
+    rows = _rows(nodes, F.slice(items, 1, V.CANDIDATE_LIMIT))
+    others = [c for c in nodes.columns if c != "nodes"]
+    return rows.select(*others, "__r.title", "__r.url", "__r.snippet", (F.col("pos") + 1).alias("pos"))
 
 
 def result_links(nodes: DataFrame, domain: str = V.POST_SITE) -> DataFrame:
@@ -255,9 +274,16 @@ def slug_links(nodes: DataFrame, domain: str = V.POST_SITE) -> DataFrame:
                 F.split_part(attr(a, "href"), F.lit(domain + "/"), F.lit(2)), "^/+|/+$", "")
             ).alias("slug"),
             attr(a, "href").alias("href"), strip(text_of(n, a)).alias("title")))
-    keys = [c for c in nodes.columns if c != "nodes"]
-    kept = _fields(_rows(nodes, F.filter(links, lambda r: valid_slug(r["slug"]))))
-    return dedup_first(kept, [*keys, "slug"], ["pos"])
+    valid = F.transform(
+        F.filter(links, lambda r: valid_slug(r["slug"])),
+        lambda r, i: F.struct(r["slug"].alias("slug"), i.alias("place"), r["href"].alias("href"), r["title"].alias("title")))
+    # neighbours in the order of slug and place: the first of each slug stays, back in the order of the page
+    once = _let(F.array_sort(valid), lambda by_slug: F.filter(
+        by_slug, lambda r, i: ~r["slug"].eqNullSafe(F.get(by_slug, i - 1)["slug"])))
+    kept = F.array_sort(F.transform(once, lambda r: F.struct(
+        r["place"].alias("pos"), r["slug"].alias("slug"), r["href"].alias("href"), r["title"].alias("title"))))
+    others = [c for c in nodes.columns if c not in ("nodes", "pos")]
+    return _rows(nodes.drop("pos"), kept).drop("pos").select(*others, "__r.*")
 
 
 def valid_slug(slug) -> Column:
@@ -492,8 +518,6 @@ def reports_for_queries(queries: DataFrame, candidates: DataFrame, slugs: DataFr
     queries(query_id, query); candidates and slugs(query_id, pos, url, title, content, date).
     Repeated URLs go first, then the first ``limit`` pages count.
     """
-    from .ranking import top_n
-
     def first_pages(rows: DataFrame) -> DataFrame:
         return top_n(dedup_first(rows, ["query_id", "url"], ["pos"]), ["query_id"], ["pos"], limit)
 

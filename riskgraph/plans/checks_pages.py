@@ -285,16 +285,25 @@ def main_text(spark, d):
     return pages.main_text(page_nodes(D.pages(spark, d), keep_html=True))
 
 
-Q_RESULT_ROWS = f"""WITH {Q_TITLES} SELECT page_id, 1 AS pos, {q_strip(q_decode('title'))} AS title, url,
-  {q_strip(q_decode('snippet'))} AS snippet FROM titles"""
+def q_result_rows(first: str, second: str) -> str:
+    """Three results a page with the snippets of the first two; the second has none of its own."""
+    return f"""WITH {Q_TITLES}, t AS (SELECT page_id, url, {q_strip(q_decode('title'))} AS title,
+  {q_strip(q_decode('snippet'))} AS snippet, 'https://more.example/' || page_id AS more, 'own ' || page_id AS own
+  FROM titles)
+SELECT page_id, 1 AS pos, title, url, {first} AS snippet FROM t
+UNION ALL SELECT page_id, 2, 'More', more, {second} FROM t
+UNION ALL SELECT page_id, 3, 'Own', more || '/own', own FROM t"""
 
 
-@check("search_results", Q_RESULT_ROWS)
+Q_FIRST_SNIPPET = "CASE WHEN snippet = '' THEN own ELSE snippet END"  # a heading without one takes the page's first
+
+
+@check("search_results", q_result_rows(Q_FIRST_SNIPPET, Q_FIRST_SNIPPET))
 def search_results(spark, d):
     return pages.search_results(page_nodes(D.result_pages(spark, d), "headings", ["page_id"]))
 
 
-@check("search_results_blocks", Q_RESULT_ROWS)
+@check("search_results_blocks", q_result_rows("snippet", "''"))
 def search_results_blocks(spark, d):
     return pages.search_results(
         page_nodes(D.result_pages(spark, d), "blocks", ["page_id"]), "blocks")

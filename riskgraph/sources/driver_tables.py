@@ -371,17 +371,34 @@ def detail_pages(spark, sf_dir) -> DataFrame:
 
 
 def result_pages(spark, sf_dir) -> DataFrame:
-    """Each page wrapped as one entry of a result page, either layout."""
+    """Each page as the first entry of a result page, either layout, before two more and one without an address."""
     t = page_titles(spark, sf_dir)
-    encoded = F.url_encode("url")
+    encoded, key = F.url_encode("url"), F.col("page_id").cast("string")
+
+    def heading(href, title, snippet):
+        return F.concat(
+            F.lit('<div class="MjjYud"><div><a href="'), href, F.lit('"><div><h3> '), title, F.lit("</h3></div></a>"),
+            snippet, F.lit("</div></div>"))
+
+    def block(href, title, snippet):
+        return F.concat(
+            F.lit('<div class="result"><h2 class="result__title"><a href="'), href, F.lit('">'), title,
+            F.lit("</a></h2>"), snippet, F.lit("</div>"))
+
+    more, none = F.concat(F.lit("https://more.example/"), key), F.lit("")
+    own = F.concat(F.lit("own "), key)
     headings = F.concat(
-        F.lit('<div class="MjjYud"><div><a href="/url?q='), encoded, F.lit('&amp;sa=U"><div><h3> '),
-        F.col("title"), F.lit('</h3></div></a><div class="BNeawe s3v9rd"> '), F.col("snippet"),
-        F.lit("</div></div></div>"))
+        heading(F.concat(F.lit("/url?q="), encoded, F.lit("&amp;sa=U")), F.col("title"), F.concat(
+            F.lit('<div class="BNeawe s3v9rd"> '), F.col("snippet"), F.lit("</div>"))),
+        heading(more, F.lit("More"), none), heading(F.lit("/relative"), F.lit("Relative"), none),
+        heading(F.concat(more, F.lit("/own")), F.lit("Own"), F.concat(
+            F.lit('<span class="aCOpRe">'), own, F.lit("</span>"))))
     blocks = F.concat(
-        F.lit('<div class="result"><h2 class="result__title"><a href="//duckduckgo.com/l/?uddg='),
-        encoded, F.lit('&amp;rut=1">'), F.col("title"),
-        F.lit('</a></h2><a class="result__snippet">'), F.col("snippet"), F.lit("</a></div>"))
+        block(F.concat(F.lit("//duckduckgo.com/l/?uddg="), encoded, F.lit("&amp;rut=1")), F.col("title"), F.concat(
+            F.lit('<a class="result__snippet">'), F.col("snippet"), F.lit("</a>"))),
+        block(more, F.lit("More"), none), F.lit('<div class="result">no link</div>'),
+        block(F.concat(more, F.lit("/own")), F.lit("Own"), F.concat(
+            F.lit('<a class="result__snippet">'), own, F.lit("</a>"))))
     return t.select("page_id", headings.alias("headings"), blocks.alias("blocks"))
 
 

@@ -6,8 +6,9 @@ page text.  Everything that reads pages afterwards is a Column expression on tha
 splits by page whatever the distribution of hosts or sources is.
 
 ``nodes.list`` holds the elements: ``id`` is the position, ``last`` the position of the last
-element inside, ``anc`` the positions of the ancestors (outermost first), ``cls`` the classes
-between blanks.  ``nodes.text`` is the concatenated text, ``nodes.spaced`` the same with a blank
+element inside, ``up`` the position of its parent and ``depth`` the number of its ancestors, ``cls`` the
+classes between blanks.  An element lies in another if its ``id`` is above the other's and at most its ``last``,
+so a page takes room for its elements however deep they are nested.  ``nodes.text`` is the concatenated text, ``nodes.spaced`` the same with a blank
 between text pieces; ``t0..t1`` and ``s0..s1`` are the element's share of them.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 NODE = T.StructType([
     T.StructField("id", T.IntegerType()),
     T.StructField("last", T.IntegerType()),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
+    T.StructField("up", T.IntegerType()), T.StructField("depth", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("cls", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
@@ -38,8 +39,6 @@ NODES = T.StructType([
     T.StructField("spaced", T.StringType()),
 ])
 
-# as in browsers, elements nested deeper than this become siblings; no text is lost
-_MAX_DEPTH = 512
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -68,13 +67,15 @@ class _Nodes(HTMLParser):
         self.with_scripts = with_scripts
         self.tags: list[str] = []
         self.attrs: list[list[tuple[str, str]]] = []
-        self.anc: list[list[int]] = []
+        self.up: list[int | None] = []
+        self.depth: list[int] = []
         self.last: list[int] = []
         self.spans: list[list[int]] = []
         self.pieces: list[str] = []
         self.length = 0
         self.spaced = 0
         self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}  # depths at which a tag is open, below html and head or body
         self.merge = False
         self.body = False
         self._push("html", [])
@@ -84,14 +85,15 @@ class _Nodes(HTMLParser):
         node = len(self.tags)
         self.tags.append(tag)
         self.attrs.append(attrs)
-        self.anc.append(list(self.open))
+        self.up.append(self.open[-1] if self.open else None)
+        self.depth.append(len(self.open))
         self.last.append(node)
         self.spans.append([self.length, self.length, self.spaced, self.spaced])
         return node
 
     def _push(self, tag: str, attrs: list) -> None:
-        if len(self.open) >= _MAX_DEPTH:
-            self._pop_to(_MAX_DEPTH - 1)
+        if len(self.open) > 1:
+            self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(self._add(tag, attrs))
 
     def _pop_to(self, depth: int) -> None:
@@ -100,8 +102,13 @@ class _Nodes(HTMLParser):
             self.last[node] = end
             self.spans[node][1] = self.length
             self.spans[node][3] = self.spaced
+        for node in self.open[max(depth, 2):]:
+            self.places[self.tags[node]].pop()
         del self.open[depth:]
 
+    def _deepest(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _need_body(self, attrs: list | None = None) -> None:
         if not self.body:
             self._pop_to(1)
@@ -109,13 +116,9 @@ class _Nodes(HTMLParser):
             self.body = True
 
     def _close(self, tags: set | frozenset, stop: set | frozenset) -> None:
-        for depth in range(len(self.open) - 1, 1, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in tags:
-                self._pop_to(depth)
-                return
-            if tag in stop:
-                return
+        depth = self._deepest(tags)
+        if depth > self._deepest(stop - tags):
+            self._pop_to(depth)
 
     def handle_starttag(self, tag, attrs):
         self.merge = False
@@ -149,10 +152,9 @@ class _Nodes(HTMLParser):
             if tag == "head" and not self.body:
                 self._pop_to(2)
             return
-        for depth in range(len(self.open) - 1, 1, -1):
-            if self.tags[self.open[depth]] == tag:
-                self._pop_to(depth)
-                return
+        depth = self._deepest([tag])
+        if depth > 0:
+            self._pop_to(depth)
 
     def handle_data(self, data):
         in_head_element = not self.body and len(self.open) > 2
@@ -187,22 +189,21 @@ def _parse(html: str, with_scripts: bool) -> _Nodes:
     return page
 
 
-def _ints(values: Iterable[int]) -> pa.Array:
+def _ints(values: Iterable[int | None]) -> pa.Array:
     return pa.array(values, pa.int32())
 
 
 def _node_arrays(pages: Iterable[str | None], with_scripts: bool) -> pa.StructArray:
     parsed = [_parse(html or "", with_scripts) for html in pages]
-    offsets, attr_offsets, anc_offsets = [0], [0], [0]
-    ids, last, anc, tags, classes, keys, values, spans = [], [], [], [], [], [], [], []
+    offsets, attr_offsets = [0], [0]
+    ids, last, up, depth, tags, classes, keys, values, spans = [], [], [], [], [], [], [], [], []
     for page in parsed:
         ids.extend(range(len(page.tags)))
         last.extend(page.last)
         tags.extend(page.tags)
         spans.extend(page.spans)
-        for chain in page.anc:
-            anc.extend(chain)
-            anc_offsets.append(len(anc))
+        up.extend(page.up)
+        depth.extend(page.depth)
         for pairs in page.attrs:
             cls = ""
             for key, value in pairs:
@@ -216,7 +217,7 @@ def _node_arrays(pages: Iterable[str | None], with_scripts: bool) -> pa.StructAr
     attrs = pa.MapArray.from_arrays(
         _ints(attr_offsets), pa.array(keys, pa.string()), pa.array(values, pa.string()))
     elements = pa.StructArray.from_arrays(
-        [_ints(ids), _ints(last), pa.ListArray.from_arrays(_ints(anc_offsets), _ints(anc)),
+        [_ints(ids), _ints(last), _ints(up), _ints(depth),
          pa.array(tags, pa.string()), pa.array(classes, pa.string()), attrs,
          *[_ints([span[i] for span in spans]) for i in range(4)]],
         names=NODE.fieldNames())

@@ -1,5 +1,7 @@
 """Page rules on small literal pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from riskgraph.operators import pages as P
@@ -20,15 +22,82 @@ def test_structure(spark):
     assert n[0]["nodes"]["text"] == "ab12c"
     assert n[0]["nodes"]["spaced"] == "a b 1 2 c"
     ul = n[0]["nodes"]["list"][5]
-    assert (ul["last"], ul["anc"], ul["t0"], ul["t1"]) == (7, [0, 2], 2, 4)
+    assert (ul["last"], ul["up"], ul["depth"], ul["t0"], ul["t1"]) == (7, 2, 2, 2, 4)
     assert n[1]["nodes"]["text"] == "plain" and n[1]["nodes"]["list"][2]["t1"] == 5
     assert [len(r["nodes"]["list"]) for r in n[2:]] == [3, 3]
 
 
-def test_deep_nesting_keeps_all_text(spark):
-    deep = "<div>" * 3000 + "x" + "</div>" * 3000 + "y"
-    n = nodes(spark, deep).first()["nodes"]
-    assert n["text"] == "xy" and max(len(e["anc"]) for e in n["list"]) < 512
+def test_deep_pages_keep_their_tree(spark):
+    deep = ('<div class="outer">' + "<div>" * 5000 + '<a href="https://e.x/1"><h3>t</h3></a><p>one<p>two'
+            + '<div class="VwiC3b">near</div>' + "</div>" * 5000 + '</div><div class="VwiC3b">far</div>y')
+    n = nodes(spark, deep)
+    page = n.first()["nodes"]
+    assert page["text"] == "tonetwonearfary" and max(e["depth"] for e in page["list"]) > 5000
+    for e in page["list"][1:]:
+        up = page["list"][e["up"]]
+        assert up["id"] < e["id"] <= e["last"] <= up["last"] and up["depth"] == e["depth"] - 1
+    assert [(r["url"], r["snippet"]) for r in P.search_results(n).collect()] == [("https://e.x/1", "near")]
+    inside = n.select(F.transform(P.elements(F.col("nodes"), lambda e: e["tag"] == "h3"), lambda h: F.struct(
+        P.under(F.col("nodes"), h, "outer"), P.under(F.col("nodes"), h, "outer", "outer"))).alias("x")).first()["x"]
+    assert [tuple(x) for x in inside] == [(True, False)]
+    # very deep nesting takes time in proportion to the page
+    far = nodes(spark, "<div>" * 100_000 + "x" + "</div>" * 100_000 + "y").first()["nodes"]
+    assert far["text"] == "xy" and far["list"][-1]["depth"] == 100_001
+
+
+def naive_nearest(page, h):
+    """The first snippet inside the closest ancestor that holds one."""
+    snips = [e for e in page["list"] if " VwiC3b " in e["cls"] and page["text"][e["t0"]:e["t1"]].strip()]
+    at = h["up"]
+    while at is not None:
+        a = page["list"][at]
+        inside = [s for s in snips if a["id"] < s["id"] <= a["last"]]
+        if inside:
+            return page["text"][inside[0]["t0"]:inside[0]["t1"]].strip()
+        at = a["up"]
+    return ""
+
+
+def test_nearest_snippets_and_positions(spark):
+    rng = random.Random(7)
+    html = []
+    for _ in range(40):
+        parts, open_ = [], 0
+        for i in range(rng.randint(0, 60)):
+            kind = rng.random()
+            if kind < 0.4:
+                parts.append(rng.choice(["<div>", '<div class="VwiC3b">']))
+                open_ += 1
+            elif kind < 0.65 and open_:
+                parts.append("</div>")
+                open_ -= 1
+            elif kind < 0.85:
+                parts.append(f'<a href="https://e.x/{i}"><h3>t{i}</h3></a>')
+            else:
+                parts.append(f'<div class="VwiC3b">{rng.choice(["", f"s{i}"])}</div>')
+        html.append("".join(parts))
+    n = nodes(spark, *html).select("page_id", "nodes")
+    got = {}
+    for r in P.search_results(n).orderBy("page_id", "pos").collect():
+        got.setdefault(r["page_id"], []).append((r["pos"], r["title"], r["snippet"]))
+    want = {}
+    for r in n.collect():
+        page = r["nodes"]
+        heads = [h for h in page["list"] if h["tag"] == "h3"][:30]
+        if heads:
+            want[r["page_id"]] = [(i + 1, page["text"][h["t0"]:h["t1"]], naive_nearest(page, h))
+                                  for i, h in enumerate(heads)]
+    assert got == want and any(s for rows in want.values() for _, _, s in rows)
+
+
+def test_slugs_once_without_a_shuffle(spark):
+    links = ["b/", "a", "wp-x", "b", "a/", "c/d", "c", "b"]
+    html = "".join(f'<a href="https://checkscam.vn/{s}">{i}</a>' for i, s in enumerate(links))
+    out = P.slug_links(nodes(spark, html, "", html))
+    assert [(r["page_id"], r["slug"], r["title"]) for r in out.collect()] == [
+        (p, s, t) for p in (0, 2) for s, t in [("b", "0"), ("a", "1"), ("c", "6")]]
+    for rows in (out, P.search_results(nodes(spark, html)), P.search_results(nodes(spark, html), "blocks")):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_main_text(spark):
