@@ -105,19 +105,18 @@ def investigation_mentions(investigations: DataFrame) -> DataFrame:
     investigations(subject_id, query, query_type, summaries, extractions); the investigated
     value itself is left out whatever the type.
     """
-    named = F.concat(
+    named = F.array_distinct(F.concat(
         F.flatten(F.transform("summaries", lambda s: s["phone_mentions"])),
-        F.flatten(F.transform("extractions", lambda e: e["related_numbers"])))
-    return (
-        investigations.select(
-            "subject_id", normalize_subject("query", "query_type").alias("__own"),
-            F.explode(F.array_distinct(named)).alias("__m"))
-        .withColumn("subject_type", classify_value("__m"))
-        .withColumn("value", normalize_subject("__m", "subject_type"))
-        .where(F.col("subject_type").isNotNull() & (F.col("value") != "")
-               & (F.col("value") != F.col("__own")))
-        .select("subject_id", "subject_type", "value").distinct()
-    )
+        F.flatten(F.transform("extractions", lambda e: e["related_numbers"]))))
+    # typed, normalised and sifted inside the row: as columns the optimizer repeats each step in the next
+    typed = F.transform(named, lambda m: F.struct(m.alias("m"), classify_value(m).alias("subject_type")))
+    values = F.transform(typed, lambda r: F.struct(
+        r["subject_type"].alias("subject_type"), normalize_subject(r["m"], r["subject_type"]).alias("value")))
+    kept = F.flatten(F.transform(
+        F.array(normalize_subject("query", "query_type")), lambda own: F.filter(
+            values, lambda r: r["subject_type"].isNotNull() & (r["value"] != "") & (r["value"] != own))))
+    return investigations.select("subject_id", F.explode_outer(kept).alias("__m")).where(
+        F.col("__m").isNotNull()).select("subject_id", "__m.subject_type", "__m.value").distinct()
 
 
 def mention_pairs(mentions: DataFrame) -> DataFrame:

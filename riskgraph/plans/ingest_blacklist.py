@@ -12,6 +12,7 @@ from ..functions.base import as_of_lit, count_if
 from ..functions.subjects import normalize_subject, subject_id
 from ..functions.text import is_known_org, slugify
 from ..operators import graph, kb, risk
+from ..session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -56,9 +57,10 @@ def blacklist_stats(records: DataFrame) -> DataFrame:
 def ingest_blacklist(tables: Tables, records: DataFrame, as_of: datetime, dry_run: bool = False
                      ) -> tuple[Tables, DataFrame]:
     """records as given by ``pages.blacklist_records``; later rows of a page win."""
-    stats = blacklist_stats(records)
     if dry_run:
-        return tables, stats
+        return tables, blacklist_stats(records)
+    records = cut_lineage(records)  # every table below reads them, pages are parsed once
+    stats = blacklist_stats(records)
     now = as_of_lit(as_of).cast("timestamp")
     changes = record_evidence(records)
     seen = changes.select(

@@ -477,3 +477,15 @@ def test_posts_with_indexes_equal_posts_without(spark, empty):
     for table in ("subjects", "evidence", "subject_links", "link_evidence"):
         assert sorted(map(str, indexed[table].select(*S.TABLES[table].fieldNames()).collect())) == sorted(
             map(str, plain[table].select(*S.TABLES[table].fieldNames()).collect())), table
+
+
+def test_ingest_of_investigations_compiles(spark, sf_dir):
+    """The code of every stage fits: without the way back to interpreted stages, one that doesn't would fail."""
+    from riskgraph.plans.checks import QUERIES
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("ingest_investigations", "link_mentions"):
+            assert QUERIES[name](spark, sf_dir).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
