@@ -14,6 +14,7 @@ from .ranking import latest_per_key
 COUNTERS = [
     "posts_discovered", "posts_processed", "posts_skipped", "post_errors", "subjects_upserted",
     "evidence_inserted", "evidence_updated", "media_attached", "media_reused", "media_downloaded",
+    "links_created", "risk_updated",
 ]
 
 

@@ -13,7 +13,7 @@ from ..functions import search as FS
 from ..functions import subjects as FJ
 from ..functions import text as FT
 from ..functions import urls as FU
-from ..operators import models, pages, risk, summaries, triage
+from ..operators import kb, models, pages, risk, summaries, triage
 from ..session import cut_lineage
 from ..sources import driver_tables as D
 from ..sources.html_nodes import page_nodes
@@ -362,6 +362,24 @@ def ingest_posts(spark, d):
     return out["subjects"].select("id", "value", "subject_type", "risk_score", "risk_level")
 
 
+@check("retry_failures", """SELECT 'https://checkscam.vn/post-' || o_orderkey || '/' AS url,
+  CAST(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, o_custkey % 3 <> 0 AS resolved
+FROM orders WHERE o_custkey % 4 = 0""")
+def retry_failures(spark, d):
+    """Posts of every fourth customer failed; a third of the customers' posts still has no page."""
+    orders = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    posts = D.order_posts(spark, d).join(orders, "id")
+    failed = posts.where(F.col("o_custkey") % 4 == 0).select(
+        F.col("link").alias("url"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(False).alias("ok"),
+        F.lit("detail_fetch").alias("phase"), F.lit("timeout").alias("message"))
+    empty = _empty_tables(spark)
+    tables = {**empty, "crawl_log": empty["crawl_log"].unionByName(failed)}
+    again = posts.withColumn("html", F.when(F.col("o_custkey") % 3 != 0, F.col("html"))).drop("o_custkey")
+    out, _ = IP.retry_failures(tables, again, D.AS_OF)
+    return kb.failure_state(out["crawl_log"]).where(F.col("url").contains("/post-")).select(
+        "url", "retry_count", "resolved")
+
+
 @check("ingest_posts_links", f"""WITH {Q_POSTS}, p AS (
   SELECT sha256('phone|' || phone) AS x, sha256('bank|' || account) AS y, id FROM posts)
 SELECT least(x, y) AS subject_a_id, greatest(x, y) AS subject_b_id, 'co_mentioned' AS link_type,

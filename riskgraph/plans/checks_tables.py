@@ -315,12 +315,22 @@ def risk_scales(spark, d):
 @check("crawl_stats", f"""SELECT CAST(count(*) AS BIGINT) AS posts_discovered,
   CAST(sum(CASE WHEN {K} % 4 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS posts_processed,
   CAST(sum(CASE WHEN {K} % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS posts_skipped,
-  CAST(sum({K}) AS BIGINT) AS subjects_upserted FROM events""")
+  CAST(sum(CASE WHEN {K} % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS post_errors,
+  CAST(sum({K}) AS BIGINT) AS subjects_upserted, CAST(sum({K} % 3) AS BIGINT) AS evidence_inserted,
+  CAST(sum({K} % 2) AS BIGINT) AS evidence_updated, CAST(sum({K} % 6) AS BIGINT) AS media_attached,
+  CAST(sum(CASE WHEN {K} % 6 > 2 THEN {K} % 6 ELSE 0 END) AS BIGINT) AS media_reused,
+  CAST(sum(CASE WHEN {K} % 6 > 2 THEN 0 ELSE {K} % 6 END) AS BIGINT) AS media_downloaded,
+  CAST(sum({K} % 7) AS BIGINT) AS links_created, CAST(sum({K} % 8) AS BIGINT) AS risk_updated FROM events""")
 def crawl_stats(spark, d):
-    skipped = F.col("k") % 4 == 0
+    k = F.col("k")
+    skipped, media = k % 4 == 0, k % 6
     return metrics.crawl_stats(D.events(spark, d).select(
         F.lit(1).alias("posts_discovered"), F.when(skipped, 0).otherwise(1).alias("posts_processed"),
-        F.when(skipped, 1).otherwise(0).alias("posts_skipped"), F.col("k").alias("subjects_upserted")))
+        F.when(skipped, 1).otherwise(0).alias("posts_skipped"), F.when(k % 11 == 0, 1).alias("post_errors"),
+        k.alias("subjects_upserted"), (k % 3).alias("evidence_inserted"), (k % 2).alias("evidence_updated"),
+        media.alias("media_attached"), F.when(media > 2, media).alias("media_reused"),
+        F.when(media <= 2, media).alias("media_downloaded"), (k % 7).alias("links_created"),
+        (k % 8).alias("risk_updated")))
 
 
 # --- history ------------------------------------------------------------------------------

@@ -81,6 +81,34 @@ def test_posts_twice_equals_once(spark, empty, tmp_path):
     assert [r["url"] for r in queue] == ["https://checkscam.vn/wp-content/uploads/b.jpg"]
 
 
+def test_failed_posts_are_tried_again(spark, empty, tmp_path, monkeypatch):
+    gone = (2, "https://checkscam.vn/p2/", "STK 123456789", None, "2024-01-01")
+    batch = posts(spark, post(1, "0912345678", "123456"), gone, (3, "https://checkscam.vn/p3/", "t", None, "2024-01-01"))
+    out, stats = IP.ingest_posts(empty, batch, NOW, files(spark, "a"))
+    s = stats.first()
+    assert (s["posts_discovered"], s["posts_processed"], s["post_errors"]) == (3, 1, 1 + 1)
+    # both subjects of the post name each other in their evidence, and both get a new risk
+    assert (s["links_created"], s["risk_updated"]) == (2, 2)
+    first = saved(spark, out, str(tmp_path / "kb"))
+    assert rows(kb.retry_queue(kb.failure_state(first["crawl_log"])), "url", "retry_count") == [
+        ("https://checkscam.vn/p2/", 0), ("https://checkscam.vn/p3/", 0)]
+    now = posts(spark, post(1, "0999999999", "777777"), post(2, "0987654321", "999999"), post(4, "0988888888", "888888"))
+    later = NOW + timedelta(days=1)
+    for named in (IP.NAMED_URLS, 1):  # in the filter, and joined
+        monkeypatch.setattr(IP, "NAMED_URLS", named)
+        tables, counts = IP.retry_failures(first, now, later, files(spark, "a"))
+        assert tuple(counts.first()) == (1, 1)
+        # only the failed post was read: nothing of the others is new
+        assert {r["value"] for r in tables["subjects"].collect()} == {"0912345678", "123456", "0987654321", "999999"}
+        got = rows(kb.failure_state(tables["crawl_log"]), "url", "retry_count", "resolved")
+        assert got == [("https://checkscam.vn/p2/", 0, True), ("https://checkscam.vn/p3/", 1, False)]
+    second = saved(spark, tables, str(tmp_path / "kb2"))
+    tables, counts = IP.retry_failures(second, posts(spark, post(3, "0977777777", "666666")), later + timedelta(days=1),
+                                       files(spark, "a"))
+    assert tuple(counts.first()) == (1, 0)
+    assert kb.retry_queue(kb.failure_state(tables["crawl_log"])).count() == 0
+
+
 def test_resume_skips_complete_posts(spark, empty, tmp_path):
     batch = posts(spark, post(1, "0912345678", "123456"), post(2, "0987654321", "999999", "b"))
     out, _ = IP.ingest_posts(empty, batch, NOW, files(spark, "a"))
