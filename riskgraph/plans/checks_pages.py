@@ -17,6 +17,7 @@ from ..operators import kb, models, pages, risk, summaries, triage
 from ..session import cut_lineage
 from ..sources import driver_tables as D
 from ..sources.html_nodes import page_nodes
+from ..sources.readers import media_facts as media_facts_of
 from ..streaming import ingest
 from . import ingest_blacklist as IB
 from . import ingest_posts as IP
@@ -362,6 +363,26 @@ def ingest_posts(spark, d):
     return out["subjects"].select("id", "value", "subject_type", "risk_score", "risk_level")
 
 
+@check("media_facts", """WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'GIF89a' WHEN 1 THEN '%PDF-'
+    WHEN 2 THEN 'RIFF0000WEBP' WHEN 3 THEN 'RIFF0000WAVE' WHEN 4 THEN '<svg' ELSE '' END || html AS content,
+  'https://checkscam.vn/f/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '' END AS path
+  FROM pages WHERE html IS NOT NULL)
+SELECT sha256(content) AS sha, min(path) AS path, any_value(strlen(content)) AS file_size_bytes,
+  any_value(CASE page_id % 6 WHEN 0 THEN 'image/gif' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/webp'
+    WHEN 4 THEN 'image/svg+xml' ELSE 'application/octet-stream' END) AS content_type FROM f GROUP BY 1""")
+def media_facts(spark, d):
+    """Pages as downloaded files behind the leading bytes of some formats, each file twice."""
+    n = F.col("page_id") % 6
+    head = B.lookup(n, {0: "GIF89a", 1: "%PDF-", 2: "RIFF0000WEBP", 3: "RIFF0000WAVE", 4: "<svg"}, "")
+    path = F.concat(F.lit("https://checkscam.vn/f/"), F.col("page_id").cast("string"))
+    content = F.encode(F.concat(head, "html"), "UTF-8")
+    files = D.pages(spark, d).select(
+        F.concat(path, F.when(F.col("page_id") % 2 == 0, ".png").otherwise("")).alias("path"),
+        F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
+    again = files.withColumn("path", F.concat("path", F.lit("~copy")))
+    return media_facts_of(files.unionByName(again)).select("sha", "path", "file_size_bytes", "content_type")
+
+
 @check("retry_failures", """SELECT 'https://checkscam.vn/post-' || o_orderkey || '/' AS url,
   CAST(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, o_custkey % 3 <> 0 AS resolved
 FROM orders WHERE o_custkey % 4 = 0""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.media import content_type
 from ..functions.urls import file_extension
 from ..operators.ranking import dedup_first
 from .html_nodes import page_nodes
@@ -56,19 +57,29 @@ def listing_range(pages: DataFrame, mode: str = "all", from_page: int = 1, max_p
     return kept if max_pages <= 0 else kept.where(F.col("page") < start + max_pages)
 
 
-def read_media(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files with content hash, size and extension; the bytes stay out of the result.
+def read_media(spark: SparkSession, path: str, pattern: str = "*", stored: DataFrame | None = None) -> DataFrame:
+    """Files below a folder with content hash, size, type and extension; see ``media_facts``.
 
-    Files with the same content appear once, under the first path.
-    """
-    files = (
+    Spark's file scan leaves out files without a byte."""
+    return media_facts(
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True).load(path)
-    )
+        .option("recursiveFileLookup", True).load(path), stored)
+
+
+def media_facts(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One row per content of files(path, length, content), under its first path; the bytes stay out.
+
+    Hash and content type come from one look at the bytes in the scan's own stage, and only these narrow rows are
+    shuffled to find equal contents, a copied file once for each task.  Files whose hash is among ``stored`` (a column
+    sha) are left out.  A file that couldn't be read (content NULL) has no row, an empty one has.
+    """
     known = F.lit(None).cast("string")
-    facts = files.select(
+    facts = files.where(F.col("content").isNotNull()).select(
         "path", F.sha2("content", 256).alias("sha"), F.col("length").alias("file_size_bytes"),
+        content_type("content").alias("content_type"),
         file_extension(known, F.regexp_replace("path", "^[a-z]+:/*", "https://file/")).alias("ext"))
+    if stored is not None:
+        facts = facts.join(stored.select("sha").distinct(), "sha", "left_anti")
     return dedup_first(facts, ["sha"], ["path"]).withColumn(
         "file_path", F.concat_ws(".", "sha", "ext"))
 

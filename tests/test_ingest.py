@@ -517,3 +517,23 @@ def test_ingest_of_investigations_compiles(spark, sf_dir):
             assert QUERIES[name](spark, sf_dir).count() > 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_media_types_by_leading_bytes(spark, tmp_path):
+    contents = {
+        "a.txt": bytes.fromhex("FFD8FFE000104A46"), "b": bytes.fromhex("89504E470D0A1A0A00"), "c.bin": b"BM12",
+        "d": b"\0\0\0\x1cftypavif", "e": b"RIFF1234WEBPVP8 ", "f.png": b"RIFF1234WAVE", "g": b"", "h": b"B",
+        "i.jpg": bytes.fromhex("FFD8FFE000104A46")}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    from riskgraph.sources.readers import media_facts, read_media
+
+    out = read_media(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: (r["content_type"], r["file_size_bytes"]) for r in out.collect()}
+    none = "application/octet-stream"
+    assert got == {"a.txt": ("image/jpeg", 8), "b": ("image/png", 9), "c.bin": ("image/bmp", 4), "d": ("image/avif", 12),
+                   "e": ("image/webp", 16), "f.png": (none, 12), "h": (none, 1)}
+    stored = out.where(F.col("content_type") == none).select("sha")
+    assert read_media(spark, str(tmp_path), stored=stored).count() == 5
+    rows_ = spark.createDataFrame([("https://x/a", 0, b""), ("https://x/b", 3, None)], "path string, length long, content binary")
+    assert [(r["path"], r["content_type"]) for r in media_facts(rows_).collect()] == [("https://x/a", none)]
