@@ -816,6 +816,26 @@ def fallback_verdict(spark, d):
     return _verdicts(spark, d)
 
 
+Q_OWN_SIGNALS = Q_VERDICT.replace(
+    "sum(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)", "count(*) FILTER (WHERE success AND found > 0)")
+
+
+@check("investigate", f"""WITH {Q_OWN_SIGNALS}, q AS (SELECT DISTINCT doc_id // 7 AS query_id FROM documents)
+SELECT query_id, {q_phone('query_id')} AS query, CAST(total AS BIGINT) AS total_found, ok AS ok_sources,
+  n AS n_sources, CAST(sig AS BIGINT) AS n_signals, lvl AS risk_level, conf::DOUBLE AS confidence,
+  CAST(ok AS BIGINT) AS n_summaries FROM q JOIN w USING (query_id)""")
+def investigate(spark, d):
+    """Whole investigations without models: candidates, targets, summaries, and the verdict from their signals."""
+    results = D.source_results(spark, d)
+    queries = results.select("query_id", "query", F.lit("phone").alias("query_type")).distinct()
+    out = INV.investigate(queries, results)
+    n = out["summaries"].groupBy("query_id").agg(F.count(F.lit(1)).alias("n_summaries"))
+    return out["verdicts"].join(n, "query_id", "left").select(
+        "query_id", "query", "total_found", "ok_sources", "n_sources",
+        F.coalesce("n_signals", F.lit(0)).cast("bigint").alias("n_signals"), "risk_level", "confidence",
+        F.coalesce("n_summaries", F.lit(0)).alias("n_summaries"))
+
+
 Q_REPORT = q_text(
     V.FALLBACK_REPORT, "'Số điện thoại đang tra cứu'", q_phone("query_id"), "ok", "n", "'s1; s2'",
     "'không có'", "'f1; f2; f3; f4; f5'", "'không có'",
