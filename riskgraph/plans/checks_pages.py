@@ -505,7 +505,7 @@ def slug_links(spark, d):
               '<a href="https://checkscam.vn/a/b">n</a><a href="https://checkscam.vn/post-'), key,
         F.lit('/"> Post '), key, F.lit('</a><a href="https://checkscam.vn/post-'), key,
         F.lit('">again</a><a href="https://checkscam.vn/?s=1">q</a>'))
-    posts = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html"))
+    posts = D.dealt(D.table(spark, d, "orders")).select(F.col("o_orderkey").alias("id"), html.alias("html"))
     return pages.slug_links(page_nodes(posts)).select("id", "slug", "title")
 
 
