@@ -270,7 +270,7 @@ def parse_model_output(spark, d):
            .when(n == 3, F.concat(u, F.lit(', "entities": ["a"], "summary": "t')))
            .when(n == 4, F.concat(u, F.lit(",}"))).otherwise(F.lit("no json")))
     out = models.parse_model_output(
-        D.events(spark, d).select("event_id", raw.alias("raw")), "raw", S.EXTRACTION)
+        D.dealt(D.events(spark, d)).select("event_id", raw.alias("raw")), "raw", S.EXTRACTION)
     return out.select("event_id", F.col("parsed.url").alias("url"), F.when(
         F.col("parsed.entities").isNotNull(), F.size("parsed.entities")).alias("n_entities"))
 
@@ -520,7 +520,7 @@ def result_links(spark, d):
         F.lit('<div class="ct"><div class="ct1"><a href="https://checkscam.vn/?qh_ss=1">q</a></div></div>'
               '<a href="https://checkscam.vn/outside">o</a></div><div class="pst">'
               '<div class="ct"><div class="ct1"><a href="https://checkscam.vn/second">s</a></div></div></div>'))
-    posts = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html"))
+    posts = D.dealt(D.table(spark, d, "orders")).select(F.col("o_orderkey").alias("id"), html.alias("html"))
     return pages.result_links(page_nodes(posts))
 
 

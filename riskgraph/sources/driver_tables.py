@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task takes of a table before per-row work.
+ROWS_DEALT = 20_000
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows of a one-file table dealt over all cores before per-row work."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows of a one-file table dealt before per-row work: over all cores, and to more tasks where there are more rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_DEALT)))
 
 
 def _pad(c: Column | str, prefix: str) -> Column:
@@ -321,7 +325,7 @@ def listing_pages(spark, sf_dir) -> DataFrame:
         (F.col("c_custkey") % 30 + 1).cast("string"),
         F.lit('</a><span class="page-link">»</span></div>'))
     kind = F.when(F.col("c_custkey") % 2 == 0, "web").otherwise("social")
-    return table(spark, sf_dir, "customer").select(
+    return dealt(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("page"), kind.alias("fake_type"),
         F.concat(F.lit("https://list.example.com/?page="), key).alias("listing_page"),
         html.alias("html"))
@@ -340,8 +344,8 @@ def card_pages(spark, sf_dir) -> DataFrame:
         F.lit(' kết quả</div><div class="scam-card"><div class="scam-title"><span class="limit">'),
         F.col("s_name"), F.lit("</span></div>"), columns,
         F.lit('<a class="btn stretched-link" href="/scams/'), key, F.lit('">go</a></div>'))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"),
-                                                   html.alias("html"))
+    return dealt(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("page_id"),
+                                                          html.alias("html"))
 
 
 def detail_pages(spark, sf_dir) -> DataFrame:
@@ -365,7 +369,7 @@ def detail_pages(spark, sf_dir) -> DataFrame:
         F.lit('<a data-fancybox="scammer-images" href="/img/'), key,
         F.lit('.png">x</a><span class="information-item_vote__approved">'),
         (F.col("s_suppkey") % 9).cast("string"), F.lit(" phiếu</span></body></html>"))
-    return table(spark, sf_dir, "supplier").select(
+    return dealt(table(spark, sf_dir, "supplier")).select(
         F.col("s_suppkey").alias("page_id"),
         F.concat(F.lit("https://admin.vn/scams/"), key).alias("url"), html.alias("html"))
 

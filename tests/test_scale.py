@@ -75,3 +75,14 @@ def test_edges_between_nodes_of_one_depth(spark):
         [("r", x) for x in "abc"] + [("q", x) for x in "cd"] + [("p", "c")], "root_id string, id string")
     got = graph.network_edges(links, nodes).select("root_id", "subject_a_id", "subject_b_id").collect()
     assert {tuple(r) for r in got} == {("r", "a", "b"), ("r", "a", "c"), ("r", "b", "c"), ("q", "c", "d")}
+
+
+def test_per_row_work_gets_tasks_by_rows(spark, sf_dir, monkeypatch):
+    """Pages made of a one-file table are dealt, listing pages as well as posts."""
+    from riskgraph.sources import driver_tables
+
+    monkeypatch.setattr(driver_tables, "ROWS_DEALT", 10)
+    for name, make in (("orders", driver_tables.order_posts), ("customer", driver_tables.listing_pages),
+                       ("supplier", driver_tables.card_pages), ("supplier", driver_tables.detail_pages)):
+        rows = driver_tables.table(spark, sf_dir, name).count()
+        assert make(spark, sf_dir).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-rows // 10))
