@@ -51,6 +51,17 @@ def contains_any(c: Column | str, words: list[str]) -> Column:
     return col(c).rlike(literal_pattern(words))
 
 
+def contains_any_folded(c: Column | str, words: list[str]) -> Column:
+    """``contains_any`` on the ASCII-lowered text, for words without A-Z.
+
+    Lowering all letters keeps every hit, so the words are searched for there one by one; the pattern, which is slow on
+    long texts, is left to the texts that have one of them."""
+    c, each = col(c), F.array(*[F.lit(w) for w in words])
+    # the lambda variable keeps the lowered text for all words
+    some = F.get(F.transform(F.array(F.lower(c)), lambda t: F.exists(each, lambda w: t.contains(w))), F.lit(0))
+    return F.when(some, c.rlike("(?i)" + literal_pattern(words))).when(c.isNotNull(), F.lit(False))
+
+
 def lookup(c: Column | str, table: dict, default=None) -> Column:
     """CASE ladder from a small literal table."""
     c = col(c)

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .base import (
-    ascii_lower, col, collapse, contains_any, digits, literal_pattern, lookup, non_empty,
+    ascii_lower, col, collapse, contains_any_folded, digits, literal_pattern, lookup, non_empty,
     strip,
 )
 
 
 def collapse_truncate(c, n: int) -> Column:
     """Collapse white space, keep the first n characters, mark a cut with '...'."""
-    t = collapse(c)
-    return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
+    c = col(c)
+    # the start decides alone if it has more than n characters; the rest of a long text isn't looked at
+    start, whole = collapse(F.substring(c, 1, 2 * n)), collapse(c)
+
+    def cut(t: Column) -> Column:
+        return F.concat(F.substring(t, 1, n), F.lit("..."))
+
+    return (F.when(F.length(start) > n, cut(start)).when(F.length(c) <= 2 * n, start)
+            .when(F.length(whole) > n, cut(whole)).otherwise(whole))
 
 
 def truncate(c, n: int) -> Column:
@@ -24,17 +31,24 @@ def truncate(c, n: int) -> Column:
 
 def text_signature(c, n: int = 24) -> Column:
     """First n runs of ASCII letters and digits; everything else separates."""
-    words = F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " "))
-    return F.array_join(F.slice(F.split(words, " "), 1, n), " ")
+    c = col(c)
+
+    def words(t: Column) -> Column:
+        return F.split(F.trim(F.regexp_replace(ascii_lower(t), "[^a-z0-9]+", " ")), " ")
+
+    # with one word more behind them, the first n of the start are whole
+    start = words(F.substring(c, 1, 32 * n))
+    found = F.when((F.length(c) <= 32 * n) | (F.size(start) > n), start).otherwise(words(c))
+    return F.array_join(F.slice(found, 1, n), " ")
 
 
 def is_schema_leak(c) -> Column:
-    t = ascii_lower(strip(c))
-    return (t == "") | contains_any(t, V.SCHEMA_FIELD_MARKERS)
+    # nothing but white space is empty once stripped; the markers have none at their ends
+    return ~col(c).rlike(r"(?U)\S") | contains_any_folded(c, V.SCHEMA_FIELD_MARKERS)
 
 
 def has_technical_noise(c) -> Column:
-    return contains_any(ascii_lower(c), V.TECHNICAL_MARKERS)
+    return contains_any_folded(c, V.TECHNICAL_MARKERS)
 
 
 def clean_text(c) -> Column:

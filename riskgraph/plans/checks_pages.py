@@ -188,12 +188,11 @@ def subject_values(spark, d):
   {q_any(q_lower('text'), V.SCAM_KEYWORDS)} AS scam_words, substring(text, 1, 2000) AS head,
   sha256(text) AS hash FROM documents""")
 def text_screens(spark, d):
-    folded = B.ascii_lower("text")
     return D.documents(spark, d).select(
         "doc_id", FT.collapse_truncate("text", 320).alias("cut"),
         FT.text_signature("text").alias("signature"), FT.is_schema_leak("text").alias("leak"),
         FT.has_technical_noise("text").alias("noise"),
-        B.contains_any(folded, V.SCAM_KEYWORDS).alias("scam_words"),
+        B.contains_any_folded("text", V.SCAM_KEYWORDS).alias("scam_words"),
         FT.truncate("text", 2000).alias("head"), FJ.sha256_hex("text").alias("hash"))
 
 

@@ -86,3 +86,34 @@ def test_per_row_work_gets_tasks_by_rows(spark, sf_dir, monkeypatch):
                        ("supplier", driver_tables.card_pages), ("supplier", driver_tables.detail_pages)):
         rows = driver_tables.table(spark, sf_dir, name).count()
         assert make(spark, sf_dir).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-rows // 10))
+
+
+def test_long_texts_are_screened_by_their_start(spark):
+    """Cuts and signatures of long texts come from the start where that is enough; all screens give what whole texts give."""
+    import re
+
+    from riskgraph.functions import base as B
+    from riskgraph.functions import fixed_values as V
+    from riskgraph.functions import text as FT
+
+    words = ["  \t", "word ", "a" * 700, " ", "", "Ā b", "SCAM", "LỪA ĐẢO", "lừa đảo", "sKam cooKies",
+             "COOKIES", "Phone_Mentions", "İ tİmeout", "a1-", "x " * 400, " " * 900, "Ω̂ΣAΣ", "𝔸 𝔸", "\n"]
+    texts = words + [a + b for a in words for b in words] + ["y" + " " * 2000 + "z 1", "w " * 24, "w " * 25, "m" * 320, "m" * 321]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r["i"]: r for r in rows.select(
+        "i", "t", FT.collapse_truncate("t", 320).alias("cut"), FT.text_signature("t").alias("sig"),
+        FT.is_schema_leak("t").alias("leak"), FT.has_technical_noise("t").alias("noise"),
+        B.contains_any_folded("t", V.SCAM_KEYWORDS).alias("scam")).collect()}
+    lower = str.maketrans(B.UPPER, B.LOWER)
+    for i, t in enumerate(texts):
+        flat, low = re.sub(r"\s+", " ", t).strip(" "), t.translate(lower)
+        want = (flat[:320] + "..." if len(flat) > 320 else flat,
+                " ".join(re.sub("[^a-z0-9]+", " ", low).strip().split(" ")[:24]),
+                not t.strip() or any(w in low for w in V.SCHEMA_FIELD_MARKERS),
+                any(w in low for w in V.TECHNICAL_MARKERS), any(w in low for w in V.SCAM_KEYWORDS))
+        assert tuple(got[i])[2:] == want, t
+    assert tuple(got[len(texts)])[2:] == (None,) * 5
+    for words in (V.SCHEMA_FIELD_MARKERS, V.TECHNICAL_MARKERS, V.SCAM_KEYWORDS):
+        assert all(w == w.translate(lower) and w == w.strip() for w in words)
+    # no letter of a whole text is looked up in a map
+    assert "translate" not in rows.select(FT.has_technical_noise("t"))._jdf.queryExecution().optimizedPlan().toString()
