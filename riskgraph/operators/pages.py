@@ -21,7 +21,7 @@ from ..functions.text import (
 from ..functions.urls import (
     absolute_url, is_social_url, unwrap_redirect, unwrap_result_link,
 )
-from .ranking import dedup_first, top_n
+from .ranking import dedup_first, sifted, top_n
 
 ALL = 2**31 - 1
 
@@ -519,7 +519,11 @@ def reports_for_queries(queries: DataFrame, candidates: DataFrame, slugs: DataFr
     Repeated URLs go first, then the first ``limit`` pages count.
     """
     def first_pages(rows: DataFrame) -> DataFrame:
-        return top_n(dedup_first(rows, ["query_id", "url"], ["pos"]), ["query_id"], ["pos"], limit)
+        # found among the numbers first, so that repeats aren't sorted with their contents; no position comes first
+        first = F.when(F.count("pos") == F.count(F.lit(1)), F.min("pos")).alias("pos")
+        once = top_n(rows.groupBy("query_id", "url").agg(first), ["query_id"], ["pos"], limit)
+        some = sifted(rows, ["query_id", "url", "pos"], once)
+        return top_n(dedup_first(some, ["query_id", "url"], ["pos"]), ["query_id"], ["pos"], limit)
 
     direct = (
         first_pages(candidates).join(queries, "query_id")

@@ -32,6 +32,22 @@ def dedup_first(df: DataFrame, keys: list[str], order) -> DataFrame:
     return top_n(df, keys, order, 1)
 
 
+#: Rows of 64 bits of the bitmap that spares wide rows a sort; its size is fixed, the exact ranking follows it.
+BITMAP_SLOTS = 1 << 19
+
+
+def sifted(df: DataFrame, keys: list[str], chosen: DataFrame) -> DataFrame:
+    """All rows of ``df`` whose ``keys`` are among those of ``chosen``, and few others: nothing is shuffled or sorted.
+
+    The keys' hashes set the bits of a bitmap of at most ``BITMAP_SLOTS`` rows, which is broadcast."""
+    slot, bit = F.shiftright("__h", 6).bitwiseAND(F.lit(BITMAP_SLOTS - 1)).alias("__slot"), "CAST(__h & 63L AS INT)"
+    hashed = chosen.select(F.xxhash64(*keys).alias("__h"))
+    bits = hashed.select(slot, F.expr(f"shiftleft(1L, {bit})").alias("__bit")).groupBy("__slot").agg(
+        F.bit_or("__bit").alias("__bits"))
+    met = df.withColumn("__h", F.xxhash64(*keys)).withColumn("__slot", slot).join(F.broadcast(bits), "__slot")
+    return met.where(F.expr(f"(shiftrightunsigned(__bits, {bit}) & 1L) = 1")).select(*df.columns)
+
+
 def with_rank(df: DataFrame, keys: list[str], order, name: str = "rank", limit: int | None = None
               ) -> DataFrame:
     """1-based position within the key; with a limit only that many are ranked."""

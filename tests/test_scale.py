@@ -88,6 +88,29 @@ def test_per_row_work_gets_tasks_by_rows(spark, sf_dir, monkeypatch):
         assert make(spark, sf_dir).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-rows // 10))
 
 
+def test_reports_sort_one_copy_of_a_page(spark, monkeypatch):
+    """Repeats of a page go before their contents are sorted; first pages and their order stay, rows without position first."""
+    from riskgraph.operators import pages, ranking
+
+    rows = [(q, p, f"u{u}", "t", "c the", "") for q in range(3) for u in range(30) for p in range(u, u + 600, 20)]
+    rows += [(0, None, "u7", "t", "c the", ""), (1, 5, None, "t", "the", ""), (None, 1, "u1", "t", "the", "")]
+    found = spark.createDataFrame(
+        rows, "query_id long, pos long, url string, title string, content string, date string")
+    queries = spark.createDataFrame([(0, " The"), (1, "the"), (2, "zzz")], "query_id long, query string")
+    sifted, sorted_rows = ranking.sifted, []
+
+    def seen(*args):
+        out = sifted(*args)
+        sorted_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pages, "sifted", seen)
+    got = pages.reports_for_queries(queries, found, found.limit(0), limit=4)
+    assert sorted_rows[0] <= 20 and sorted_rows[1] == 0
+    assert sorted((r["query_id"], -1 if r["pos"] is None else r["pos"], r["url"]) for r in got.collect()) == [
+        (0, -1, "u7"), (0, 0, "u0"), (0, 1, "u1"), (0, 2, "u2"), (1, 0, "u0"), (1, 1, "u1"), (1, 2, "u2"), (1, 3, "u3")]
+
+
 def test_long_texts_are_screened_by_their_start(spark):
     """Cuts and signatures of long texts come from the start where that is enough; all screens give what whole texts give."""
     import re
