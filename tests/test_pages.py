@@ -196,3 +196,44 @@ def test_comments(spark):
 def test_site_count(spark):
     assert spark.range(1).select(P.site_report_count(F.lit("không")).alias("x")).first()["x"] == 0
     assert spark.range(1).select(P.site_report_count(F.lit("Có 12 cảnh báo")).alias("x")).first()["x"] == 12
+
+
+def test_plain_markup_has_its_own_path(spark, monkeypatch):
+    """Whatever the spelling, the elements are those of the standard parser; plain pages don't go through it."""
+    from html.parser import HTMLParser
+
+    from riskgraph.sources import html_nodes as H
+
+    class Standard(H._Nodes):
+        feed = HTMLParser.feed
+
+    def tree(kind, html, with_scripts):
+        page = kind(with_scripts)
+        page.feed(html)
+        page.finish()
+        attrs = [[tuple(a) for a in pairs] for pairs in page.attrs]
+        return page.tags, attrs, page.up, page.depth, page.last, page.t0, page.t1, page.s0, page.s1, page.pieces
+
+    bits = [
+        "<p>", "</p>", '<P Class="a  b">', "<div id=x>", "<div id=\"x\" id='y' checked>", "</div >", "</div>", "<br/>", "<br />",
+        "<img src=\"a&amp;b\" alt='<>\"'/>", "text", "a &amp; b", "&", "&am", "&#65;", "<", "<3", " < ", "<!-- c -->", "<!-- a-b -->",
+        "<!--x", "-->", "<!DOCTYPE html>", '<!doctype x "[>', "<?pi?>", "<script>", "if(a<b){}</p>", "</script>", "<style>", "</style>",
+        "<title>", "</title>", "<textarea>", "</textarea>", "<ul>", "<li>", '<li a="1"b="2">', "</ul>", "<table>", "<tr>", "<td>",
+        "</table>", '<html lang="v">', "<head>", "</head>", '<body class="q">', "</body>", "</html>", "  \n", '<a href="x"y>',
+        '<a href = "x">', '<a\thref="x"\n>', '<a/href="x">', "<a-b c='d'>", "</a-b>", '<x y="&lt;&quot;">', "ấ", "\x00",
+        '<a \x0b b="c">', "<noscript>", '<a href="open', '<a href="">', "<![CDATA[x]]>", '<a b="c" //>', "</>", "</ p>", "<p\r\n>"]
+    rng = random.Random(3)
+    for _ in range(4000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        for with_scripts in (True, False):
+            assert tree(H._Nodes, html, with_scripts) == tree(Standard, html, with_scripts), html
+
+    def refuse(*args):
+        raise AssertionError("the standard parser was asked")
+
+    monkeypatch.setattr(HTMLParser, "parse_starttag", refuse)
+    monkeypatch.setattr(HTMLParser, "parse_endtag", refuse)
+    page = '<!DOCTYPE html><html><body><!-- c --><h2 class="a b">T &amp; t</h2><a href=\'x?a=1&amp;b\' checked>x</a><br/>y</body></html>z'
+    tags, attrs, *_, pieces = tree(H._Nodes, page, True)
+    assert tags == ["html", "head", "body", "h2", "a", "br"] and pieces == ["T & t", "x", "y", "z"]
+    assert attrs[4] == [("href", "x?a=1&b"), ("checked", "")]
