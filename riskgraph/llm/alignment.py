@@ -4,10 +4,11 @@ A text, with a space before it, is encoded by A (byte-level) and by B (pieces, w
 tokens of both end cut it into groups; an A and a B token whose byte ranges overlap are linked. An id pair's count is the
 number of documents that hold it linked.
 
-First pass: each task aligns its documents and sums the pairs' document counts. The distinct pairs are dealt into shards of
+Texts are aligned once, in blocks, whose words, links and digests are written to the shared folder. First pass over these:
+each task sums the pairs' document counts. The distinct pairs are dealt into shards of
 bounded size, each with a minimal perfect hash and its keys in slot order. The tasks' counts become dense vectors indexed by
-the hash, a few tasks to a vector, which are summed in a tree. Second pass: documents are aligned again and their
-links looked up; a key that isn't the one stored in its slot is an error. Vectors of up to ``LOOKUP_BYTES`` are broadcast at
+the hash, a few tasks to a vector, which are summed in a tree. Second pass: the blocks' links are
+looked up; a key that isn't the one stored in its slot is an error. Vectors of up to ``LOOKUP_BYTES`` are broadcast at
 once; if all pairs together need more, the second pass runs once for each such part and the parts' sums are added.
 
 Both vocabularies end a token before a space or line end that stands alone between other characters, so words are aligned
@@ -31,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_worker, stored
 from .resampling import blocks
 from .token_files import PerfectHash, _mix
 
 #: Bytes of texts aligned together; words, and bytes of them and their groups, that one worker remembers from one block to the next.
 BLOCK_BYTES = 1 << 20
 REMEMBERED, REMEMBERED_BYTES = 400_000, 48 << 20
-#: Bits of a pair's code; a block has at most 2**20 texts.
-CODE_BITS = 43
 #: Pairs that one task sums before it puts them out.
 TASK_PAIRS = 4 << 20
 #: Keys of one hash, about; vectors added at once; bytes of keys, counts and hashes broadcast at once.
@@ -47,6 +46,9 @@ SHARD_KEYS = 1 << 16
 FAN = 16
 LOOKUP_BYTES = 64 << 20
 
+#: Files of blocks are cut into parts of so many bytes, as a reader holds a part at once; a block is a row of more than a MB.
+PART_BYTES = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
+
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -108,10 +110,10 @@ class Pair:
             a, b = ids
             a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
             ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in contents])
-            both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+            # what lies between two neighbouring ends of either side belongs to one token of each: a link
+            either, times = _distinct(np.concatenate([a_ends, b_ends]))
+            both = either[times == 2]
             if np.isin(ends, both, assume_unique=True).all():
-                # what lies between two neighbouring ends of either side belongs to one token of each: a link
-                either = np.union1d(a_ends, b_ends)
                 codes = a[np.searchsorted(a_ends, either)] * self.width + b[np.searchsorted(b_ends, either)]
                 sizes = np.stack([np.bincount(np.searchsorted(ends, e), minlength=len(ends)) for e in (a_ends, b_ends, both, either)], 1)
                 a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
@@ -202,15 +204,12 @@ class Words(dict):
         return np.array(self.codes, np.int64), np.concatenate([[0], np.cumsum(n)])
 
 
-_words: dict[tuple[str, str], Words] = {}
-
-
 def _remembered(paths: tuple[str, str]) -> Words:
     """The worker's words, begun anew when they are too many."""
-    known = _words.get(paths)
-    if known is None or len(known) > REMEMBERED or known.bytes > REMEMBERED_BYTES:
-        known = _words[paths] = Words(known.pair if known is not None else Pair(*paths))
-    return known
+    held = in_worker(("words", paths), lambda: [Words(Pair(*paths))])
+    if len(held[0]) > REMEMBERED or held[0].bytes > REMEMBERED_BYTES:
+        held[0] = Words(held[0].pair)
+    return held[0]
 
 
 def _spread(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +222,7 @@ def _spread(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and how often each occurs."""
-    x = np.sort(x)
+    x = np.sort(x, kind="stable")  # fast on a few sorted runs, which most are
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
     return x[at], np.diff(np.append(at, len(x)))
 
@@ -237,8 +236,53 @@ def shard_hash(codes: np.ndarray) -> np.ndarray:
     return (_mix(codes, 77) >> np.uint64(34)).astype(np.int32)
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """code (A id times B's vocabulary, plus B id), hash and n, the number of a task's documents that hold it; part, the task."""
+def _array(data: bytes, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(data, kind)
+
+
+ALIGNED = ("doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
+           "groups_sha256 array<string>, ends binary, words binary, times binary, word_ends binary, links binary, codes binary")
+_LINKS = ("ends", "words", "times", "word_ends", "links", "codes")
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """A row for each block of texts: their ids, sizes and digests. For the links: ``codes``, the block's distinct pairs (A id
+    times B's vocabulary, plus B id), 64-bit; ``links``, the words' links as places in codes; ``word_ends``, where each word's
+    links end; ``words`` and ``times``, each text's distinct words and how often it holds them; ``ends``, where each text's end."""
+    names = [c.split()[0] for c in ALIGNED.split(", ")]
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column(1), BLOCK_BYTES):
+                known = _remembered((a_path, b_path))
+                numbers, ends = known.of_texts(texts)
+                codes, starts = known.links()
+                bounds = np.concatenate([[0], ends])
+                sizes = np.array(known.sizes, np.int64).reshape(-1, 4)
+                numbers_list, b = numbers.tolist(), bounds.tolist()
+                digests = [hashlib.sha256(b";".join(map(known.groups.__getitem__, numbers_list[s:e]))).hexdigest() if e > s else ""
+                           for s, e in zip(b[:-1], b[1:], strict=True)]
+                used, _ = _distinct(numbers)
+                place = np.zeros(len(known.groups), np.int64)
+                place[used] = np.arange(len(used))
+                of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+                words, times = _distinct(of * max(1, len(used)) + place[numbers])
+                text_ends = np.searchsorted(words, np.arange(1, len(texts) + 1) * max(1, len(used)))
+                owner, at = _spread(used, starts)
+                pairs, _ = _distinct(codes[at])
+                row = [batch.column(0).slice(first, len(texts)).to_pylist(),
+                       *(np.diff(np.concatenate([[0], np.cumsum(v[numbers])])[bounds]) for v in sizes.T), digests,
+                       *(x.astype(np.int32).tobytes() for x in (
+                           text_ends, words % max(1, len(used)), times, np.cumsum(np.bincount(owner, minlength=len(used))),
+                           np.searchsorted(pairs, codes[at]))), pairs.tobytes()]
+                kinds = [*[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.binary()] * len(_LINKS)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(align, ALIGNED)
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """Of aligned blocks: code, hash and n, the number of a task's documents that hold it; part, the task."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -249,20 +293,16 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 [pa.array(codes[0]), pa.array(shard_hash(codes[0])), pa.array(counts[0])], ["code", "hash", "n"])
 
         for batch in batches:
-            for _, texts in blocks(batch.column(0), BLOCK_BYTES):
-                words = _remembered((a_path, b_path))
-                numbers, ends = words.of_texts(texts)
-                if not len(numbers):
+            for ends, words, word_ends, links, keys in zip(*batch.columns, strict=True):
+                ends, words, word_ends, links = (_array(x.as_py()) for x in (ends, words, word_ends, links))
+                keys = _array(keys.as_py(), np.int64)
+                if not len(keys):
                     continue
-                link_codes, starts = words.links()
-                of = np.searchsorted(ends, np.arange(len(numbers)), "right")
-                once, _ = _distinct(of * len(words.groups) + numbers)
-                owner, at = _spread(once % len(words.groups), starts)
-                # a block has few enough texts for the rest of the bits
-                in_doc, _ = _distinct((once[owner] // len(words.groups) << CODE_BITS) + link_codes[at])
-                keys, n = _distinct(in_doc & ((1 << CODE_BITS) - 1))
+                owner, at = _spread(words, np.concatenate([[0], word_ends]))
+                of = np.searchsorted(ends, np.arange(len(words)), "right")
+                in_doc, _ = _distinct(of[owner] * len(keys) + links[at])
                 codes.append(keys)
-                counts.append(n)
+                counts.append(np.bincount(in_doc % len(keys), minlength=len(keys)))
                 held += len(keys)
                 if held > 2 * done + TASK_PAIRS // 4:
                     summed = _summed(codes, counts)
@@ -276,7 +316,8 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             codes, counts = [summed[0]], [summed[1]]
             yield out()
 
-    return docs.select("text").mapInArrow(count, "code long, hash int, n long").withColumn("part", F.spark_partition_id())
+    return rows.select("ends", "words", "word_ends", "links", "codes").mapInArrow(
+        count, "code long, hash int, n long").withColumn("part", F.spark_partition_id())
 
 
 INDEX = "shard int, keys long, sizes array<long>, levels array<binary>, codes binary"
@@ -344,7 +385,7 @@ class Lookup:
     """Counts of the pairs of some shards, and the highest count of each A id."""
 
     def __init__(self, rows: list[dict], shards: int, best: np.ndarray, width: int) -> None:
-        self.shards, self.best, self.width, self.words = shards, best, width, None
+        self.shards, self.best, self.width = shards, best, width
         self.of = {r["shard"]: (_index(r), np.frombuffer(r["codes"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows}
 
     def counts(self, codes: np.ndarray) -> np.ndarray:
@@ -362,50 +403,34 @@ class Lookup:
                 out[mine] = counts[slots]
         return out
 
-    def of_words(self, words: Words, numbers: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word: its links' counts added up, and how many links have their A id's highest count. Only the words
-        asked for are looked up, once each."""
-        if self.words is not words:
-            self.words, self.sums, self.bests = words, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        more = len(words.groups) - len(self.sums)
-        self.sums = np.concatenate([self.sums, np.full(more, -1)])
-        self.bests = np.concatenate([self.bests, np.zeros(more, np.int64)])
-        new, _ = _distinct(numbers)
-        new = new[self.sums[new] < 0]
-        owner, at = _spread(new, starts)
-        found = self.counts(codes[at])
-        best = (found > 0) & (found == self.best[codes[at] // self.width])
-        self.sums[new] = 0
-        np.add.at(self.sums, new[owner], found)
-        np.add.at(self.bests, new[owner], best)
-        return self.sums, self.bests
+    def best_of(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether each code has its A id's highest count."""
+        return (counts > 0) & (counts == self.best[codes // self.width])
 
 
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
-def _measured(docs: DataFrame, a_path: str, b_path: str, lookup) -> DataFrame:
-    """The second pass, with the pairs of one broadcast lookup."""
+def _measured(rows: DataFrame, lookup) -> DataFrame:
+    """The second pass over aligned blocks, with the pairs of one broadcast lookup."""
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column(1), BLOCK_BYTES):
-                words = _remembered((a_path, b_path))
-                numbers, ends = words.of_texts(texts)
-                codes, starts = words.links()
-                sums, bests = lookup.value.of_words(words, numbers, codes, starts)
-                sizes = np.array(words.sizes, np.int64).reshape(-1, 4)
-                per_word = [*sizes.T, bests, sums]
-                bounds = np.concatenate([[0], ends])
-                columns = [pa.array(np.diff(np.concatenate([[0], np.cumsum(v[numbers])])[bounds])) for v in per_word]
-                numbers_list, b = numbers.tolist(), bounds.tolist()
-                digests = [hashlib.sha256(b";".join(map(words.groups.__getitem__, numbers_list[s:e]))).hexdigest() if e > s else ""
-                           for s, e in zip(b[:-1], b[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), *columns, pa.array(digests, pa.string())], names)
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for i in range(batch.num_rows):
+                ends, words, times, word_ends, links = (_array(column[c][i].as_py()) for c in _LINKS[:-1])
+                codes = _array(column["codes"][i].as_py(), np.int64)
+                counts = lookup.value.counts(codes)
+
+                def of_texts(per_code: np.ndarray) -> pa.Array:
+                    of_word = np.diff(np.concatenate([[0], np.cumsum(per_code[links])])[np.concatenate([[0], word_ends])])
+                    return pa.array(np.diff(np.concatenate([[0], np.cumsum(of_word[words] * times)])[np.concatenate([[0], ends])]))
+
+                found = {"n_best": of_texts(lookup.value.best_of(codes, counts).astype(np.int64)), "count_sum": of_texts(counts)}
+                yield pa.RecordBatch.from_arrays([found[c] if c in found else column[c][i].values for c in names], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, RESULT)
+    return rows.mapInArrow(measure, RESULT)
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, shard_keys: int = SHARD_KEYS, fan: int = FAN,
@@ -414,7 +439,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, shard_keys: int =
     spark = docs.sparkSession
     pair = Pair(a_path, b_path)
     width, vocabulary = pair.width, len(pair.a_bytes)
-    pairs = stored(pair_counts(docs, a_path, b_path), "pairs")
+    done = stored(aligned(docs, a_path, b_path), "aligned", **PART_BYTES)
+    pairs = stored(pair_counts(done), "pairs")
     index, shards = hashes(pairs, shard_keys)
     table = stored(index.join(count_vectors(pairs, index, shards, fan), "shard"), "pair-counts")
 
@@ -440,7 +466,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, shard_keys: int =
     for part in parts:  # no more than lookup_bytes, or one shard, on the driver at once
         rows = table.filter(F.col("shard").between(min(part), max(part))).collect() if part else []
         lookup = spark.sparkContext.broadcast(Lookup([r.asDict() for r in rows], shards, best, width))
-        measured = _measured(docs, a_path, b_path, lookup)
+        measured = _measured(done, lookup)
         if len(parts) == 1:
             return measured
         found.append(stored(measured, "measured"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+T = TypeVar("T")
+_kept: dict[object, object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,14 +25,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_worker(name: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under ``name``. Workers go on from one step to the next, so what another
+    step kept is dropped first: a worker holds the tables of one step, not of all it ever worked for."""
+    if name not in _kept:
+        forget()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Drop what earlier steps kept in this worker."""
+    if _kept:
+        _kept.clear()
+        gc.collect()  # an encoder and its pieces refer to each other
+
+
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

@@ -126,3 +126,18 @@ def test_a_missing_pair_is_an_error():
     assert lookup.counts(codes).tolist() == (codes * 2).tolist()
     with pytest.raises(ValueError):
         lookup.counts(np.array([11]))
+
+
+def test_texts_are_encoded_in_one_pass(spark, tmp_path):
+    """Encoding is the costly part: what the lookups need is read from the first pass."""
+    rows = [(i, f"some words of text {i} and words again") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    got = alignment.align_documents(docs.mapInArrow(counted, "doc_id long, text string"), tokenizer_path(A), tokenizer_path(B))
+    assert len(got.collect()) == 40 and calls.value == 40
