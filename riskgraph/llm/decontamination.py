@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 LEAST = 5
 THRESHOLD = 0.75
 #: Bits of the bitmap of seeds.
@@ -44,12 +46,10 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = _WORD.findall((text or "").lower())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(in_worker("window words", _WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def windows(h: np.ndarray) -> np.ndarray:

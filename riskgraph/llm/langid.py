@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, stored
+from .common import forget, held_out, learnable, stored
 
 #: Labelled rows of each language that the classifiers are fitted on; half weigh n-grams, half calibrate.
 PER_LANGUAGE = 3000
@@ -192,6 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out: list[tuple] = []
             for v in batch.column(at):
@@ -204,6 +205,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             new = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *new], [*(f"c{i}" for i in range(len(names))), "p0", "p1", "p2", "p3"])
+        pa.default_memory_pool().release_unused()  # the worker stays while the next step runs
 
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_worker, stored
 from .components import components
 from .lines import bitmap, maybe
 
@@ -61,8 +61,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -76,7 +74,7 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(in_worker("shingle words", _WordHashes).__getitem__, words), np.uint64, n)
     width = min(n, size)
     total = np.full(n - width + 1, width, np.uint64)
     for i in range(width):

@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from array import array
 
+from .common import in_worker
+
 #: Pieces remembered by one Python worker; later new pieces are encoded each time they occur.
 REMEMBERED = 400_000
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ž]*)([.,;:!?|()%$&*#+=-]*)")
-_encoders: dict[str, PieceEncoder] = {}
 
 
 class _Uneven(Exception):
@@ -110,7 +111,5 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """One encoder per worker process, as long as it goes on with the same file."""
+    return in_worker(("encoder", path), lambda: PieceEncoder(path))

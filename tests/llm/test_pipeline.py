@@ -140,3 +140,21 @@ def test_clashing_and_dotted_columns(spark, edge_dir):
         for r in wide.collect():
             assert all(r[c] == f"{c} {'none' if r['doc_id'] is None else r['doc_id']}" for c in extra), name
     assert corpus_pipeline.STAGES[-1][1](spark, wide, edge_dir).count() > 0
+
+
+def test_workers_hold_one_steps_tables():
+    """Python workers go on from stage to stage: what one remembered isn't kept through the next."""
+    from riskgraph.llm import common, decontamination, near_dups, tokens
+
+    common.forget()
+    near_dups.shingles("some words of a text")
+    assert list(common._kept) == ["shingle words"] and len(common._kept["shingle words"]) == 5
+    near_dups.shingles("some more words")
+    assert len(common._kept["shingle words"]) == 6
+    decontamination.word_hashes("some words of a text")
+    assert list(common._kept) == ["window words"]
+    path = tokenizer_path("byte_bpe_50k.json")
+    first = tokens.encoder(path)
+    assert tokens.encoder(path) is first and list(common._kept) == [("encoder", path)]
+    common.forget()
+    assert not common._kept
