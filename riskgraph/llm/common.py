@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable
-from typing import TypeVar
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, small_batches
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 T = TypeVar("T")
 _kept: dict[object, object] = {}
@@ -33,6 +36,13 @@ def stored(df: DataFrame, name: str, **options: int) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_batches(
+        df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` by batches of bounded bytes, however long the rows are."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def in_worker(name: object, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task under ``name``. Workers go on from one step to the next, so what another
     step kept is dropped first: a worker holds the tables of one step, not of all it ever worked for."""

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker
+from .common import by_batches, in_worker
 
 LEAST = 5
 THRESHOLD = 0.75
 #: Bits of the bitmap of seeds.
 BITMAP_BITS = 22
 #: Words whose hash one worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1 << 16
 NO_ID = -(1 << 63)
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x100000001B3)
@@ -77,7 +77,8 @@ def seeds(items: DataFrame) -> DataFrame:
                     ["item_id", "version", "words", "place", "seed"])
 
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
-    return texts.dropDuplicates(["item_id", "version"]).mapInArrow(
+    return by_batches(
+        texts.dropDuplicates(["item_id", "version"]),
         cut, "item_id long, version long, words int, place int, seed long")
 
 
@@ -117,7 +118,7 @@ def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
                     [rows.column(0).take(at), rows.column(1).take(at), pa.array(np.concatenate(word)), pa.array(np.concatenate(seed))],
                     ["at", "th", "word", "seed"])
 
-    return keyed(docs).mapInArrow(scan, "at long, th long, word int, seed long")
+    return by_batches(keyed(docs), scan, "at long, th long, word int, seed long")
 
 
 def tiles(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -168,7 +169,8 @@ def coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
                 [*batch.columns[:3], pa.array(share, pa.float64()), pa.array(spans, kind)],
                 ["at", "th", "item_id", "covered", "tiles"])
 
-    return places.select("at", "th", "item_id", "words", "places").mapInArrow(
+    return by_batches(
+        places.select("at", "th", "item_id", "words", "places"),
         tile, "at long, th long, item_id long, covered double, tiles array<struct<word: int, place: int, length: int>>")
 
 

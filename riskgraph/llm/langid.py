@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, held_out, learnable, stored
+from .common import by_batches, forget, held_out, learnable, stored
 
 #: Labelled rows of each language that the classifiers are fitted on; half weigh n-grams, half calibrate.
 PER_LANGUAGE = 3000
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     weighing = rows.filter("half = 1").select("lang", "text")
     # at most BUCKETS numbers for each language
-    table = weighing.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(
+    table = by_batches(weighing, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n")).toArrow().to_pydict()
     languages = sorted(set(table["lang"]))
     code = codewords(len(languages))
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     # at most per_language / 2 rows for each language
     unseen = rows.filter(F.col("half") == 0).filter(F.col("lang").isin(languages)).select("lang", "text")
-    got = unseen.mapInArrow(margins, "lang string, margins array<double>").toArrow().to_pydict()
+    got = by_batches(unseen, margins, "lang string, margins array<double>").toArrow().to_pydict()
     x, y = np.array(got["margins"]).reshape(-1, bits), code[[languages.index(v) for v in got["lang"]]].reshape(-1, bits)
     slope, offset, trust = np.ones(bits), np.zeros(bits), np.ones(bits)
     for b in range(bits):
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
-    done = own.mapInArrow(predict, ", ".join([*fields, "p0 string, p1 double, p2 string, p3 boolean"]))
+    done = by_batches(own, predict, ", ".join([*fields, "p0 string, p1 double, p2 string, p3 boolean"]))
     return done.select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("p0").alias("lang_pred"),
         F.col("p1").alias("score"), F.col("p2").alias("second"), F.col("p3").alias("ambiguous"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker, stored
+from .common import by_batches, in_worker, stored
 from .components import components
 from .lines import bitmap, maybe
 
@@ -42,7 +42,7 @@ SCREEN = 0.60
 LONG_ROWS, LONG_SCREEN = 2048, 0.70
 RANDOM_ROUNDS = 3
 #: Words whose hash one worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1 << 16
 #: Ids of classes without any id start here.
 UNNAMED = 1 << 62
 SET_ROWS = "id long, found array<long>, long array<long>"
@@ -141,7 +141,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:2], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
-    return docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(
+    return by_batches(
+        docs.select("doc_id", _text_hash().alias("th"), "text"),
         sign, "doc_id long, th long, n long, d1 long, d2 long, bands array<long>, packed array<long>")
 
 
@@ -182,8 +183,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     ids = stored(ids, "asked")
-    named = _of(texts, "id", ids).mapInArrow(build, SET_ROWS)
-    others = texts.filter("id IS NULL").mapInArrow(build, SET_ROWS).join(ids, "id", "left_semi")
+    named = by_batches(_of(texts, "id", ids), build, SET_ROWS)
+    others = by_batches(texts.filter("id IS NULL"), build, SET_ROWS).join(ids, "id", "left_semi")
     return named.unionByName(others)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import rows_of, stored
+from .common import by_batches, rows_of, stored
 
 END_ID = 2
 CAPACITY = 1024
@@ -66,7 +66,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                     [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
+    return by_batches(docs.select("doc_id", "text"), encode, PIECES)
 
 
 class OpenSequences:

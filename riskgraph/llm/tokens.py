@@ -15,7 +15,7 @@ from array import array
 from .common import in_worker
 
 #: Pieces remembered by one Python worker; later new pieces are encoded each time they occur.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ž]*)([.,;:!?|()%$&*#+=-]*)")

@@ -6,6 +6,7 @@ import zlib
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from conftest import write
 from test_queries import plain_best_fit, plain_line_dedup
@@ -158,3 +159,38 @@ def test_workers_hold_one_steps_tables():
     assert tokens.encoder(path) is first and list(common._kept) == [("encoder", path)]
     common.forget()
     assert not common._kept
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """Long texts come in small batches, so neither the JVM nor a worker holds many of them; a bound that is set stays."""
+    from riskgraph import session
+    from riskgraph.llm.common import by_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("ten chars "), 1000).alias("text"))
+    try:
+        spark.conf.unset(name)
+        got = by_batches(docs, sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 900 and max(r["bytes"] for r in got) < 2 * session.BATCH_BYTES
+        spark.conf.set(name, 1 << 30)
+        assert by_batches(docs, sizes, "n long, bytes long").count() == 1
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_word_tables_stay_small():
+    """A corpus whose texts all have words of their own fills no worker: hashes beyond the bound are found, not kept."""
+    from riskgraph.llm import common, decontamination, near_dups
+
+    common.forget()
+    text = " ".join(f"w{i}" for i in range(200_000))
+    for hashes, name in ((near_dups.shingles, "shingle words"), (decontamination.word_hashes, "window words")):
+        first = hashes(text)
+        assert len(common._kept[name]) <= 100_000
+        assert (hashes(text) == first).all() and len(np.unique(first)) >= 199_996
+    common.forget()
