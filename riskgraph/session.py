@@ -24,10 +24,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Lets an execution remove its shuffle files as soon as it ends, not when the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the reliable checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the reliable checkpoint folder; the shuffles that made it go from the disks once it is written."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        # a plan of its own: ``df`` may be run again and keeps its shuffles
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
 
 
 #: Rows that a task takes of a shuffle, about: more rows make more tasks, not larger ones.

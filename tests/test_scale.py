@@ -140,3 +140,26 @@ def test_long_texts_are_screened_by_their_start(spark):
         assert all(w == w.translate(lower) and w == w.strip() for w in words)
     # no letter of a whole text is looked up in a map
     assert "translate" not in rows.select(FT.has_technical_noise("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffles_of_a_checkpoint_are_removed(spark):
+    """Once it is written its shuffle files are gone; the rows, the setting and the frame it was made of stay."""
+    import os
+    import time
+
+    def shuffled():
+        folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for top in folder for base, _, files in os.walk(top) for f in files
+                if f.startswith("shuffle_") and f.endswith(".data")}
+
+    rows = spark.range(5000).select((F.col("id") % 700).alias("k")).groupBy("k").count()
+    setting, before = spark.conf.get(session.FREE_SHUFFLES, None), shuffled()
+    cut = session.cut_lineage(rows)
+    end = time.time() + 10  # files go in the background
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(session.FREE_SHUFFLES, None) == setting
+    for _ in range(2):
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, rows.collect()))
+    assert shuffled() - before  # a frame that is collected keeps its own, so the look above sees them
